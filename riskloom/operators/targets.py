@@ -22,7 +22,9 @@ def default_flag(df: DataFrame, target_col: str = config.TARGET_COL,
 
 
 def _contract_month_window(key: str, date_col: str):
-    return Window.partitionBy(key).orderBy(month_index(F.col(date_col)))
+    # ascending month, missing dates last: a prefix of the rolling-feature order, so both
+    # windows share one exchange and one sort
+    return Window.partitionBy(key).orderBy(month_index(F.col(date_col)).asc_nulls_last())
 
 
 def forward_target(df: DataFrame, horizon_months: int = config.FORWARD_HORIZON_MONTHS,

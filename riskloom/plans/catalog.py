@@ -135,3 +135,202 @@ def q_panel_rules(spark, sf_dir):
     df = ews.score_and_zone(ews.formula_score(labelled(spark, sf_dir)))
     return joined(df.select("credit_id", "report_date_as_of", "risk_score", *[f"rule_{r['name']}" for r in config.EWS_RULES],
                             "rules_weight_sum", "rules_triggered", "zone"), "rules_triggered")
+
+
+# --------------------------------------------------------------------------- portfolio
+
+from ..operators import features, portfolio, segments  # noqa: E402
+
+MONEY = 3     # sums of 2-3 decimal amounts are exact on the 0.001 grid
+MEAN = 6      # means of large amounts
+RATE = 8      # rates and means of small values
+
+
+@register("portfolio_kpi", O.base(f"""
+SELECT COUNT(DISTINCT credit_id) AS n_contracts, COUNT(DISTINCT borrower_id) AS n_borrowers,
+       round(COALESCE(SUM(total_debt), 0), {MONEY}) AS total_debt,
+       round(COALESCE(SUM(available_limit), 0), {MONEY}) AS available_limit,
+       round(AVG(pdn_current), {RATE}) AS avg_pdn_current, round(AVG(dpd), {RATE}) AS avg_dpd,
+       round(AVG(default_target), {RATE}) AS default_rate,
+       round(COALESCE(SUM(total_debt_reserve), 0), {MONEY}) AS reserve_amount
+FROM last_slice"""))
+def q_portfolio_kpi(spark, sf_dir):
+    """A1 / V3: portfolio KPIs of the last slice."""
+    return rounded(portfolio.portfolio_kpi(last(spark, sf_dir)),
+                   {"total_debt": MONEY, "available_limit": MONEY, "reserve_amount": MONEY,
+                    "avg_pdn_current": RATE, "avg_dpd": RATE, "default_rate": RATE})
+
+
+def _agg_by_sql(dim: str, src: str, limit: str = "") -> str:
+    return f"""
+SELECT {dim}, COUNT(DISTINCT credit_id) AS n_contracts,
+       round(COALESCE(SUM(total_debt), 0), {MONEY}) AS total_debt,
+       round(COALESCE(SUM(available_limit), 0), {MONEY}) AS available_limit,
+       round(COALESCE(SUM(total_debt_reserve), 0), {MONEY}) AS total_debt_reserve,
+       round(COALESCE(SUM(payment_sum_1m), 0), 4) AS payment_sum_1m,
+       round(AVG(pdn_current), {RATE}) AS pdn_current, round(AVG(dpd), {RATE}) AS dpd,
+       round(AVG(utilization), {RATE}) AS utilization, round(AVG(default_target), {RATE}) AS default_rate
+FROM {src} GROUP BY {dim} ORDER BY n_contracts DESC, {dim} NULLS FIRST {limit}"""
+
+
+def _agg_by_rounding():
+    return {"total_debt": MONEY, "available_limit": MONEY, "total_debt_reserve": MONEY, "payment_sum_1m": 4,
+            "pdn_current": RATE, "dpd": RATE, "utilization": RATE, "default_rate": RATE}
+
+
+@register("aggregate_by_region", O.base(_agg_by_sql("region_from_address", "last_slice", "LIMIT 100")))
+def q_aggregate_by_region(spark, sf_dir):
+    """A2 / L3 / V3: last slice by region, top 100 by contracts."""
+    return rounded(portfolio.aggregate_by(last(spark, sf_dir), "region_from_address").limit(100),
+                   _agg_by_rounding())
+
+
+@register("aggregate_by_program_panel", O.base(_agg_by_sql("loan_program", "labelled")))
+def q_aggregate_by_program(spark, sf_dir):
+    """A2 on the whole panel by loan program."""
+    return rounded(portfolio.aggregate_by(labelled(spark, sf_dir), "loan_program"), _agg_by_rounding())
+
+
+@register("aggregate_by_employer", O.base(_agg_by_sql("employer", "last_slice", "LIMIT 20")))
+def q_aggregate_by_employer(spark, sf_dir):
+    """A2 / L3: top 20 employers of the last slice ('UNKNOWN' fills missing employers)."""
+    return rounded(portfolio.aggregate_by(last(spark, sf_dir), "employer").limit(20), _agg_by_rounding())
+
+
+@register("default_rate_over_time", O.base(f"""
+SELECT CAST(date_trunc('month', report_date_as_of) AS TIMESTAMP) AS report_date_as_of,
+       COUNT(DISTINCT credit_id) AS n_contracts, round(COALESCE(SUM(total_debt), 0), {MONEY}) AS total_debt,
+       round(AVG(default_target), {RATE}) AS default_rate, round(AVG(dpd), {RATE}) AS avg_dpd
+FROM labelled WHERE report_date_as_of IS NOT NULL GROUP BY 1"""))
+def q_default_rate_over_time(spark, sf_dir):
+    """A3 / V3: monthly series over the whole panel."""
+    return rounded(portfolio.default_rate_over_time(labelled(spark, sf_dir)),
+                   {"total_debt": MONEY, "default_rate": RATE, "avg_dpd": RATE})
+
+
+_PREP_COL_LIST = [c.strip() for c in PREPARED_COLS.replace("\n", " ").split(",")]
+
+
+@register("schema_profile", O.base("""
+SELECT "column", n_missing, round_even(n_missing / n * 100, 2) AS pct_missing, n_unique
+FROM (
+  SELECT "column", COUNT(*) AS n, COUNT(*) - COUNT(value) AS n_missing, COUNT(DISTINCT value) AS n_unique
+  FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM prepared"
+                                  for c in _PREP_COL_LIST) + """)
+  GROUP BY "column")"""))
+def q_schema_profile(spark, sf_dir):
+    """Missing and distinct counts of every column of the prepared panel."""
+    return portfolio.schema_profile(prepared(spark, sf_dir), with_sample=False).drop("dtype")
+
+
+NUM_PROFILE_COLS = ["total_debt", "available_limit", "dpd", "pdn_current", "psk_current", "payment_sum_1m",
+                    "payment_sum_2m", "payment_sum_3m", "cnt_all_payments", "initial_amount",
+                    "expired_actual_days_count", "reserve_rate", "total_debt_reserve", "pdn_initial"]
+
+
+NUM_LONG_SQL = "num_long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c} AS x FROM prepared" for c in NUM_PROFILE_COLS) + ")"
+
+
+@register("numeric_profile", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, NUM_LONG_SQL,
+                                         O.quantiles_sql("nq", "num_long", "feature", "x",
+                                                         portfolio.NUMERIC_PROBS), body=f"""
+SELECT m.feature, count, mean, std, min, p1.q AS p1, p5.q AS p5, p50.q AS p50, p95.q AS p95, p99.q AS p99,
+       max, n_missing, pct_missing
+FROM (SELECT feature, COUNT(x) AS count, round(AVG(x), {MEAN}) AS mean, round(STDDEV_SAMP(x), {MEAN}) AS std,
+             MIN(x) AS min, MAX(x) AS max, COUNT(*) - COUNT(x) AS n_missing,
+             round_even((COUNT(*) - COUNT(x)) / COUNT(*) * 100, 2) AS pct_missing
+      FROM num_long GROUP BY feature) m
+LEFT JOIN nq p1 ON p1.g = m.feature AND p1.i = 0 LEFT JOIN nq p5 ON p5.g = m.feature AND p5.i = 1
+LEFT JOIN nq p50 ON p50.g = m.feature AND p50.i = 2 LEFT JOIN nq p95 ON p95.g = m.feature AND p95.i = 3
+LEFT JOIN nq p99 ON p99.g = m.feature AND p99.i = 4"""))
+def q_numeric_profile(spark, sf_dir):
+    """describe() of the numeric columns with exact percentiles."""
+    return rounded(portfolio.numeric_profile(prepared(spark, sf_dir), NUM_PROFILE_COLS), {"mean": MEAN, "std": MEAN})
+
+
+@register("histogram_utilization", O.base("""
+SELECT bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, COUNT(*) AS count
+FROM (
+  SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((utilization - lo) / w), 59) END AS INTEGER) AS bin, lo, w
+  FROM labelled, (SELECT MIN(utilization) AS lo, MAX(utilization) AS hi, (MAX(utilization) - MIN(utilization)) / 60 AS w
+                  FROM labelled)
+  WHERE utilization IS NOT NULL)
+GROUP BY bin, lo, w"""))
+def q_histogram_utilization(spark, sf_dir):
+    """60 equal-width bins of utilisation over the panel."""
+    return portfolio.histogram(labelled(spark, sf_dir), "utilization", 60)
+
+
+@register("histogram_dpd_by_zone", O.scored("last_slice", """
+SELECT zone, bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, COUNT(*) AS count
+FROM (
+  SELECT zone, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((dpd - lo) / w), 59) END AS INTEGER) AS bin, lo, w
+  FROM recommended, (SELECT MIN(dpd) AS lo, MAX(dpd) AS hi, (MAX(dpd) - MIN(dpd)) / 60 AS w FROM recommended)
+  WHERE dpd IS NOT NULL)
+GROUP BY zone, bin, lo, w"""))
+def q_histogram_dpd_by_zone(spark, sf_dir):
+    """A8 split by zone (dashboard distribution screen)."""
+    sc = ews.score_and_zone(ews.formula_score(last(spark, sf_dir)))
+    return portfolio.histogram(sc, "dpd", 60, by="zone")
+
+
+# --------------------------------------------------------------------------- segments
+
+SEGMENT_SQL = """CASE WHEN COALESCE(dpd > 30, false) OR COALESCE(is_bankrupt = 1, false) THEN 'delinquent'
+     WHEN COALESCE(payment_ratio_mom < 0.5, false) OR COALESCE(days_since_last_payment > 45, false) THEN 'stress'
+     WHEN COALESCE(utilization > 0.6, false) AND COALESCE(dpd <= 5, false) THEN 'growing'
+     ELSE 'stable' END"""
+
+PROFILE_RAW_SQL = f"""
+SELECT segment, COUNT(DISTINCT credit_id) AS n_contracts, COALESCE(SUM(total_debt), 0) AS total_debt,
+       COALESCE(SUM(available_limit), 0) AS available_limit, COALESCE(SUM(payment_sum_1m), 0) AS payment_sum_1m,
+       AVG(pdn_current) AS pdn_current, AVG(dpd) AS dpd, AVG(utilization) AS utilization,
+       AVG(default_target) AS default_rate
+FROM (SELECT *, {SEGMENT_SQL} AS segment FROM last_slice) GROUP BY segment"""
+
+PROFILE_SQL = f"""
+SELECT segment, n_contracts, round(total_debt, {MONEY}) AS total_debt, round(available_limit, {MONEY}) AS available_limit,
+       round(payment_sum_1m, 4) AS payment_sum_1m, round(pdn_current, {RATE}) AS pdn_current,
+       round(dpd, {RATE}) AS dpd, round(utilization, {RATE}) AS utilization, round(default_rate, {RATE}) AS default_rate
+FROM ({PROFILE_RAW_SQL})"""
+
+PROFILE_ROUND = {"total_debt": MONEY, "available_limit": MONEY, "payment_sum_1m": 4, "pdn_current": RATE,
+                 "dpd": RATE, "utilization": RATE, "default_rate": RATE}
+
+
+def _profile(spark, sf_dir):
+    return segments.segment_profile(segments.rule_segment(labelled(spark, sf_dir)))
+
+
+@register("panel_segments", O.base(f"SELECT credit_id, report_date_as_of, {SEGMENT_SQL} AS segment FROM labelled"))
+def q_panel_segments(spark, sf_dir):
+    """G1: rule segment of every panel row."""
+    return segments.rule_segment(labelled(spark, sf_dir)).select("credit_id", "report_date_as_of", "segment")
+
+
+@register("segment_profile", O.base(PROFILE_SQL))
+def q_segment_profile(spark, sf_dir):
+    """G1 + A4: rule segments, profiled on each contract's latest row with the current-default flag."""
+    return rounded(_profile(spark, sf_dir), PROFILE_ROUND)
+
+
+@register("segment_share", O.base(f"""
+SELECT segment, round_even(n_contracts / SUM(n_contracts) OVER () * 100, 1) AS share_pct, n_contracts,
+       round_even(total_debt / 1e9, 3) AS debt_bn, round_even(utilization * 100, 0) AS util_pct,
+       round_even(default_rate * 100, 2) AS default_pct
+FROM ({PROFILE_RAW_SQL})
+WHERE segment IN ('stable', 'growing', 'stress', 'delinquent')"""))
+def q_segment_share(spark, sf_dir):
+    """A5: dashboard segment table (shares, debt in billions, utilisation and default in %)."""
+    return segments.segment_share(_profile(spark, sf_dir))
+
+
+@register("segment_policy", O.base(f"""
+SELECT *, CASE WHEN COALESCE(default_rate > 0.10, false) THEN '{config.POLICY_TIGHTEN}'
+               WHEN COALESCE(default_rate < 0.02, false) THEN '{config.POLICY_LOOSEN}'
+               ELSE '{config.POLICY_MONITOR}' END AS policy_recommendation
+FROM ({PROFILE_SQL})"""))
+def q_segment_policy(spark, sf_dir):
+    """Policy per rule segment from its default rate."""
+    return segments.segment_policy(rounded(_profile(spark, sf_dir), PROFILE_ROUND))

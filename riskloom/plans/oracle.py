@@ -152,3 +152,27 @@ def scored(src: str, body: str) -> str:
     """Base CTEs + formula score over ``src`` + rules, zones, recommendations, then ``body``
     (which reads ``recommended``)."""
     return with_ctes(RAW_PANEL_SQL, PREPARED_SQL, SCORE_SQL.format(src=src), _rules_sql("scored_src"), body=body)
+
+
+def quantiles_sql(name: str, src: str, group: str, value: str, probs: list[float]) -> str:
+    """CTE ``name``(group, i, q): exact quantiles of ``value`` per ``group`` by order statistics
+    and numpy's linear interpolation (position (n-1)p)."""
+    pv = ", ".join(f"({i}, CAST({p!r} AS DOUBLE))" for i, p in enumerate(probs))
+    return f"""
+{name}_ranked AS (
+  SELECT {group} AS g, {value} AS x, row_number() OVER (PARTITION BY {group} ORDER BY {value}) - 1 AS r,
+         COUNT(*) OVER (PARTITION BY {group}) AS n
+  FROM {src} WHERE {value} IS NOT NULL
+),
+{name}_pos AS (
+  SELECT DISTINCT g, n, pr.i, (n - 1) * pr.p AS pos
+  FROM {name}_ranked, (VALUES {pv}) AS pr(i, p)
+),
+{name} AS (
+  SELECT ps.g, ps.i,
+         CASE WHEN ps.pos - floor(ps.pos) >= 0.5 THEN b.x - (b.x - a.x) * (1 - (ps.pos - floor(ps.pos)))
+              ELSE a.x + (b.x - a.x) * (ps.pos - floor(ps.pos)) END AS q
+  FROM {name}_pos ps
+  JOIN {name}_ranked a ON a.g = ps.g AND a.r = CAST(floor(ps.pos) AS BIGINT)
+  JOIN {name}_ranked b ON b.g = ps.g AND b.r = CAST(ceil(ps.pos) AS BIGINT)
+)"""
