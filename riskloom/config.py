@@ -150,6 +150,7 @@ TECHNICAL_COLS = (
     "cluster",
     "sold_flg",
     "forgiven_flg",
+    "report_month_idx",
 )
 
 # columns the target is built from (a feature is leaky if it equals a prefix

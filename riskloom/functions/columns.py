@@ -39,3 +39,14 @@ def days_between(later: Column, earlier: Column) -> Column:
 def month_index(ts: Column) -> Column:
     """Calendar month as an integer (year * 12 + month - 1)."""
     return F.year(ts) * 12 + F.month(ts) - 1
+
+
+MONTH_COL = "report_month_idx"
+
+
+def with_month_index(df, date_col: str = "report_date_as_of"):
+    """Add the calendar-month index once as a column: every per-contract window then orders by
+    the same attribute, so Spark sorts the exchanged panel once for all of them."""
+    if MONTH_COL in df.columns:
+        return df
+    return df.withColumn(MONTH_COL, month_index(df[date_col]))

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.columns import month_index
+from ..functions.columns import MONTH_COL, with_month_index
 
 
 def contract_window(key: str = "credit_id", date_col: str = "report_date_as_of"):
     """Per-contract row order: calendar month, then the date itself (missing dates last)."""
-    return Window.partitionBy(key).orderBy(month_index(F.col(date_col)).asc_nulls_last(),
-                                           F.col(date_col).asc_nulls_last())
+    return Window.partitionBy(key).orderBy(F.col(MONTH_COL).asc_nulls_last(), F.col(date_col).asc_nulls_last())
 
 
 def pdn_features(df: DataFrame) -> DataFrame:
@@ -37,7 +36,8 @@ def pdn_features(df: DataFrame) -> DataFrame:
 
 
 def _row_mean_std(cols: list[Column]) -> tuple[Column, Column]:
-    """Mean and sample std across columns, skipping missing values (pandas axis=1)."""
+    """Mean and sample std across a fixed list of values, skipping missing ones (pandas axis=1):
+    two-pass formula in a fixed order, so every engine gets the same bits."""
     n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
     mean = F.when(n > 0, total / n)
@@ -84,14 +84,22 @@ def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WI
                      key: str = "credit_id", date_col: str = "report_date_as_of") -> DataFrame:
     """F1-F4 for total_debt, available_limit, pdn_current, dpd, payment_sum_1m: diff and pct
     change to the previous row of the contract (inf -> NULL), rolling mean over 1/3/6 rows
-    (at least one value) and rolling sample std over 3/6 rows (NULL below two values)."""
+    (at least one value) and rolling sample std over 3/6 rows (NULL below two values).
+
+    The std is the two-pass formula over the frame's values taken with ``lag`` (newest first),
+    so it is reproducible bit for bit; all offsets share the one window specification."""
     if not {key, date_col} <= set(df.columns):
         return df
     base = [c for c in config.ROLLING_BASE_COLS if c in df.columns]
     if not base:
         return df
+    df = with_month_index(df, date_col)
     w = contract_window(key, date_col)
-    out = {}
+    out, lags = {}, {}
+    max_lag = max(windows) - 1
+    for c in base:
+        for i in range(1, max(max_lag, 1) + 1):
+            lags[f"_{c}_lag{i}"] = F.lag(F.col(c), i).over(w)
     for c in base:
         prev = F.lag(F.col(c), 1).over(w)
         out[f"{c}_diff_1m"] = F.col(c) - prev
@@ -100,10 +108,28 @@ def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WI
         frame = w.rowsBetween(-(n - 1), Window.currentRow)
         for c in base:
             out[f"{c}_mean_{n}m"] = F.avg(F.col(c)).over(frame)
+    # the lags are computed once by one Window operator; the std arithmetic reads them
+    staged = df.withColumns({**lags, **out})
+    stats = {}
+    for n in windows:
+        if n >= 2:
+            for c in base:
+                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
+                stats[f"_{c}_n{n}"] = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
+                total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
+                stats[f"_{c}_m{n}"] = F.when(stats[f"_{c}_n{n}"] > 0, total / stats[f"_{c}_n{n}"])
+    staged = staged.withColumns(stats) if stats else staged
+    stds = {}
+    for n in windows:
         if n >= 2:
             for c in base:
-                out[f"{c}_std_{n}m"] = F.stddev_samp(F.col(c)).over(frame)
-    return df.withColumns(out)
+                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
+                cnt, mean = F.col(f"_{c}_n{n}"), F.col(f"_{c}_m{n}")
+                ss = sum((F.when(v.isNotNull(), (mean - v) * (mean - v)).otherwise(F.lit(0.0)) for v in vals),
+                         F.lit(0.0))
+                stds[f"{c}_std_{n}m"] = F.when(cnt > 1, F.sqrt(ss / (cnt - 1)))
+    staged = staged.withColumns(stds) if stds else staged
+    return staged.drop(*lags.keys(), *stats.keys())
 
 
 def feature_set(df: DataFrame, include_rolling: bool = True) -> DataFrame:

@@ -127,16 +127,18 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str | Column, p
     hits = (cum.join(targets, gcols)
             .select(*gcols, "value", F.explode(F.filter(
                 "_t", lambda t: ((t["lo"] >= F.col("_before")) & (t["lo"] < F.col("cum_n")))
-                | ((t["hi"] >= F.col("_before")) & (t["hi"] < F.col("cum_n"))))).alias("t"),
+                | ((t["hi"] >= F.col("_before")) & (t["hi"] < F.col("cum_n"))))).alias("_tg"),
                 "_before", "cum_n"))
-    per_prob = hits.groupBy(*gcols, F.col("t.i").alias("i"), F.col("t.pos").alias("pos"),
-                            F.col("t.lo").alias("lo")).agg(
-        F.max(F.when((F.col("t.lo") >= F.col("_before")) & (F.col("t.lo") < F.col("cum_n")), F.col("value"))).alias("v_lo"),
-        F.max(F.when((F.col("t.hi") >= F.col("_before")) & (F.col("t.hi") < F.col("cum_n")), F.col("value"))).alias("v_hi"),
+    per_prob = hits.groupBy(*gcols, F.col("_tg.i").alias("_i"), F.col("_tg.pos").alias("_pos"),
+                            F.col("_tg.lo").alias("_lo")).agg(
+        F.max(F.when((F.col("_tg.lo") >= F.col("_before")) & (F.col("_tg.lo") < F.col("cum_n")),
+                     F.col("value"))).alias("_v_lo"),
+        F.max(F.when((F.col("_tg.hi") >= F.col("_before")) & (F.col("_tg.hi") < F.col("cum_n")),
+                     F.col("value"))).alias("_v_hi"),
     )
-    q = lerp(F.col("v_lo"), F.col("v_hi"), F.col("pos") - F.col("lo"))
+    q = lerp(F.col("_v_lo"), F.col("_v_hi"), F.col("_pos") - F.col("_lo"))
     out = (per_prob.groupBy(*gcols)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col("i"), q.alias("q")))).alias("_qs"))
+           .agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), q.alias("q")))).alias("_qs"))
            .withColumn("quantiles", F.transform("_qs", lambda s: s["q"]))
            .drop("_qs"))
     return _drop_group(out, group_cols)

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.columns import month_index
+from ..functions.columns import MONTH_COL, month_index, with_month_index
+from . import ranks
 
 
 def default_flag(df: DataFrame, target_col: str = config.TARGET_COL,
@@ -24,7 +25,7 @@ def default_flag(df: DataFrame, target_col: str = config.TARGET_COL,
 def _contract_month_window(key: str, date_col: str):
     # ascending month, missing dates last: a prefix of the rolling-feature order, so both
     # windows share one exchange and one sort
-    return Window.partitionBy(key).orderBy(month_index(F.col(date_col)).asc_nulls_last())
+    return Window.partitionBy(key).orderBy(F.col(MONTH_COL).asc_nulls_last())
 
 
 def forward_target(df: DataFrame, horizon_months: int = config.FORWARD_HORIZON_MONTHS,
@@ -41,6 +42,7 @@ def forward_target(df: DataFrame, horizon_months: int = config.FORWARD_HORIZON_M
         raise ValueError(f"forward_target needs {key} and {date_col}")
     if config.TARGET_COL not in df.columns:
         df = default_flag(df)
+    df = with_month_index(df, date_col)
     w = _contract_month_window(key, date_col).rangeBetween(1, horizon_months)
     has_month = F.col(date_col).isNotNull()
     fut_max = F.max(F.col(config.TARGET_COL)).over(w)
@@ -68,8 +70,10 @@ def pre_default_trajectory(df: DataFrame, feature: str = "total_debt", months_be
     aligned = (df.select(key, date_col, feature, config.TARGET_COL)
                .withColumn("_t", (ym - first).cast("long"))
                .filter(F.col("_t").between(-months_before, 0)))
-    return aligned.groupBy(F.col("_t").alias("t")).agg(
+    stats = aligned.groupBy(F.col("_t").alias("t")).agg(
         F.avg(feature).alias("mean"),
-        F.percentile(F.col(feature), 0.5).alias("median"),
         F.count(feature).alias("count"),
     )
+    med = ranks.exact_quantiles(aligned.withColumnRenamed("_t", "t"), ["t"], feature, [0.5],
+                                n_groups_bound=months_before + 1)
+    return stats.join(med, "t", "left").select("t", "mean", F.col("quantiles")[0].alias("median"), "count")

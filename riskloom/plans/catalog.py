@@ -334,3 +334,107 @@ FROM ({PROFILE_SQL})"""))
 def q_segment_policy(spark, sf_dir):
     """Policy per rule segment from its default rate."""
     return segments.segment_policy(rounded(_profile(spark, sf_dir), PROFILE_ROUND))
+
+
+# --------------------------------------------------------------------------- panel windows
+
+def _month_sql(c: str = "report_date_as_of") -> str:
+    return f"(year({c}) * 12 + month({c}) - 1)"
+
+
+def _feature_sql() -> tuple[str, list[str]]:
+    cols = ["pdn_current - pdn_initial AS pdn_delta",
+            "pdn_current / (abs(pdn_initial) + 1e-6) AS pdn_ratio",
+            "CASE WHEN psk_current <= 10 THEN 'low' WHEN psk_current <= 20 THEN 'mid' WHEN psk_current <= 30 "
+            "THEN 'high' WHEN psk_current > 30 THEN 'extreme' END AS psk_bucket",
+            "CASE WHEN pay_n > 0 THEN pay_total / pay_n END AS payment_mean_3m",
+            "CASE WHEN pay_n > 1 THEN sqrt(("
+            + " + ".join(f"CASE WHEN {p} IS NOT NULL THEN (pay_total / pay_n - {p}) * (pay_total / pay_n - {p}) "
+                         f"ELSE 0.0 END" for p in ["payment_sum_1m", "payment_sum_2m", "payment_sum_3m"])
+            + ") / (pay_n - 1)) END AS payment_std_3m",
+            "payment_sum_1m - payment_sum_3m AS payment_trend",
+            "cnt_all_payments / NULLIF(months_on_book + 1e-6, 0) AS payments_per_month",
+            "CASE " + " ".join(f"WHEN COALESCE(dpd, 0) > {lo} AND COALESCE(dpd, 0) <= {hi} THEN '{lab}'" for lo, hi, lab in
+                               zip(config.DPD_EDGES[:-1], config.DPD_EDGES[1:], config.DPD_LABELS)) + " END AS dpd_bucket",
+            "expired_actual_days_count / NULLIF(months_on_book * 30 + 1e-6, 0) AS overdue_density"]
+    names = ["pdn_delta", "pdn_ratio", "psk_bucket", "payment_mean_3m", "payment_std_3m", "payment_trend",
+             "payments_per_month", "dpd_bucket", "overdue_density"]
+    for c in config.ROLLING_BASE_COLS:
+        cols.append(f"{c} - lag({c}) OVER w AS {c}_diff_1m")
+        cols.append(f"CASE WHEN lag({c}) OVER w <> 0 THEN {c} / lag({c}) OVER w END - 1 AS {c}_pct_change_1m")
+        names += [f"{c}_diff_1m", f"{c}_pct_change_1m"]
+    for n in config.ROLLING_WINDOWS:
+        for c in config.ROLLING_BASE_COLS:
+            cols.append(f"AVG({c}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {c}_mean_{n}m")
+            names.append(f"{c}_mean_{n}m")
+        if n >= 2:
+            for c in config.ROLLING_BASE_COLS:
+                xs = [c] + [f"lag({c}, {i}) OVER w" for i in range(1, n)]
+                cnt = " + ".join(f"CAST({x} IS NOT NULL AS INTEGER)" for x in xs)
+                mean = "(" + "0.0 + " + " + ".join(f"COALESCE({x}, 0.0)" for x in xs) + f") / ({cnt})"
+                ss = "0.0 + " + " + ".join(f"CASE WHEN {x} IS NOT NULL THEN ({mean} - {x}) * ({mean} - {x}) ELSE 0.0 END"
+                                           for x in xs)
+                cols.append(f"CASE WHEN ({cnt}) > 1 THEN sqrt(({ss}) / (({cnt}) - 1)) END AS {c}_std_{n}m")
+                names.append(f"{c}_std_{n}m")
+    sql = f"""
+features AS (
+  SELECT *, {", ".join(cols)}
+  FROM (SELECT *,
+               CAST(payment_sum_1m IS NOT NULL AS INTEGER) + CAST(payment_sum_2m IS NOT NULL AS INTEGER)
+                 + CAST(payment_sum_3m IS NOT NULL AS INTEGER) AS pay_n,
+               0.0 + COALESCE(payment_sum_1m, 0.0) + COALESCE(payment_sum_2m, 0.0) + COALESCE(payment_sum_3m, 0.0)
+                 AS pay_total
+        FROM labelled)
+  WINDOW w AS (PARTITION BY credit_id ORDER BY {_month_sql()} ASC NULLS LAST, report_date_as_of ASC NULLS LAST)
+)"""
+    return sql, names
+
+
+FEATURE_SQL, FEATURE_NAMES = _feature_sql()
+
+
+@register("feature_set", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FEATURE_SQL,
+                                     body=f"SELECT credit_id, report_date_as_of, {', '.join(FEATURE_NAMES)} FROM features"))
+def q_feature_set(spark, sf_dir):
+    """PDN, payment, DPD and rolling features (F1-F10) over the whole panel."""
+    return features.feature_set(labelled(spark, sf_dir)).select("credit_id", "report_date_as_of", *FEATURE_NAMES)
+
+
+FORWARD_SQL = f"""
+forward AS (
+  SELECT *,
+         CAST(CASE WHEN report_date_as_of IS NULL THEN 0 ELSE COALESCE(MAX(default_target) OVER fw, 0) END AS INTEGER)
+           AS default_future,
+         CASE WHEN report_date_as_of IS NULL THEN false ELSE COUNT(*) OVER fw > 0 END AS has_future_obs
+  FROM labelled
+  WINDOW fw AS (PARTITION BY credit_id ORDER BY {_month_sql()} ASC NULLS LAST RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING)
+)"""
+
+
+@register("forward_target", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, body="""
+SELECT credit_id, report_date_as_of, default_target, default_future, has_future_obs FROM forward"""))
+def q_forward_target(spark, sf_dir):
+    """T1 + T2 + T3: current default, 3-month forward default and the validity mask."""
+    return targets.forward_target(labelled(spark, sf_dir)).select(
+        "credit_id", "report_date_as_of", "default_target", "default_future", "has_future_obs")
+
+
+TRAJ_SQL = f"""
+traj_rows AS (
+  SELECT t, total_debt FROM (
+    SELECT total_debt, {_month_sql()} - MIN(CASE WHEN default_target = 1 THEN {_month_sql()} END)
+                                          OVER (PARTITION BY credit_id) AS t
+    FROM labelled)
+  WHERE t BETWEEN -6 AND 0
+)"""
+
+
+@register("pre_default_trajectory", O.with_ctes(
+    O.RAW_PANEL_SQL, O.PREPARED_SQL, TRAJ_SQL, O.quantiles_sql("tq", "traj_rows", "t", "total_debt", [0.5]), body=f"""
+SELECT a.t, a.mean, m.q AS median, a.count
+FROM (SELECT CAST(t AS BIGINT) AS t, round(AVG(total_debt), {MEAN}) AS mean, COUNT(total_debt) AS count
+      FROM traj_rows GROUP BY t) a
+LEFT JOIN tq m ON m.g = a.t"""))
+def q_pre_default_trajectory(spark, sf_dir):
+    """T4: total debt in the six months before and at the first default month."""
+    return rounded(targets.pre_default_trajectory(labelled(spark, sf_dir), "total_debt", 6), {"mean": MEAN})
