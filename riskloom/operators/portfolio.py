@@ -150,22 +150,20 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def histogram(df: DataFrame, column: str, bins: int = 60, by: str | None = None) -> DataFrame:
     """Equal-width histogram of ``column`` (optionally split by ``by``); the last edge is
-    closed.  The range is two driver scalars from one global aggregate (a bounded result);
-    the binning and counting stay distributed and are combined map-side."""
+    closed.  The range is a one-row scalar subquery; binning and counting stay distributed
+    and are combined map-side."""
     x = F.col(column).cast("double")
     vals = df.select(x.alias("x"), *([F.col(by)] if by else [])).filter(F.col("x").isNotNull())
-    lo, hi = vals.agg(F.min("x"), F.max("x")).first()
-    if lo is None:
-        return df.sparkSession.createDataFrame([], f"{'`' + by + '` string, ' if by else ''}bin int, "
-                                                   "bin_start double, bin_end double, count long")
+    rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]
     width = (hi - lo) / bins
-    b = F.lit(0) if hi == lo else F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)))
     grouped = vals.withColumn("bin", b.cast("int")).groupBy(*([by] if by else []), "bin").agg(
         F.count(F.lit(1)).alias("count"))
     return grouped.select(
         *([by] if by else []), "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
-        (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
+        (lo + F.col("bin") * width).alias("bin_start"),
+        (lo + (F.col("bin") + 1) * width).alias("bin_end"),
         "count")
 
 

@@ -149,3 +149,46 @@ def average_ranks(hist: DataFrame, group_cols: list[str], buckets: int | None =
     cum = prefix_sums(hist, group_cols, "value", ["n"], buckets=buckets)
     return cum.withColumn("avg_rank", (F.col("cum_n") - F.col("n")) + (F.col("n") + 1) / 2.0)
 
+
+
+def _sample_cuts(keys: DataFrame, buckets: int, seed: int = 42) -> list:
+    """Range cut points over a (possibly composite) sort key, from a bounded sample pulled to the
+    driver - the same approach as Spark's range partitioner.  At most ~64 sampled keys per bucket
+    reach the driver whatever the data size."""
+    n = keys.count()
+    if n == 0 or buckets <= 1:
+        return []
+    frac = min(1.0, 64.0 * buckets / n)
+    sample = sorted((tuple(r) for r in keys.sample(False, frac, seed).collect()),
+                    key=lambda t: tuple((x is None, x) for x in t))
+    if not sample:
+        return []
+    step = len(sample) / buckets
+    cuts = [sample[int(i * step)] for i in range(1, buckets)]
+    return sorted(set(cuts), key=lambda t: tuple((x is None, x) for x in t))
+
+
+def row_positions(df: DataFrame, order: list[tuple[str, bool]], buckets: int | None = None,
+                  pos_col: str = "_pos") -> DataFrame:
+    """0-based global row position under ``order`` = [(column, descending), ...] (the last
+    columns should make the order unique).  Rows are cut into ranges at sampled key tuples,
+    numbered inside each range in parallel, and shifted by the sizes of all lower ranges."""
+    buckets = buckets or _default_buckets(df)
+    names = [c for c, _ in order]
+    key_fields = [(-F.col(c) if desc else F.col(c)).alias(f"_k{i}") for i, (c, desc) in enumerate(order)]
+    keyed = df.withColumn("_key", F.struct(*key_fields))
+    cuts = _sample_cuts(keyed.select(*[F.col("_key")[f"_k{i}"] for i in range(len(names))]), buckets)
+    if cuts:
+        cut_arr = F.array(*[F.struct(*[F.lit(v).cast(keyed.schema["_key"].dataType[f"_k{i}"].dataType).alias(f"_k{i}")
+                                       for i, v in enumerate(t)]) for t in cuts])
+        keyed = keyed.withColumn("_bucket", F.size(F.filter(cut_arr, lambda c: c < F.col("_key"))))
+    else:
+        keyed = keyed.withColumn("_bucket", F.lit(0))
+    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_sz"))
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_sz").over(
+        Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_bucket").orderBy("_key")
+    return (keyed.join(small_broadcast(offsets, buckets), "_bucket")
+            .withColumn(pos_col, F.col("_off") + F.row_number().over(w) - 1)
+            .drop("_key", "_bucket", "_off"))

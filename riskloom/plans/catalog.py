@@ -438,3 +438,91 @@ LEFT JOIN tq m ON m.g = a.t"""))
 def q_pre_default_trajectory(spark, sf_dir):
     """T4: total debt in the six months before and at the first default month."""
     return rounded(targets.pre_default_trajectory(labelled(spark, sf_dir), "total_debt", 6), {"mean": MEAN})
+
+
+# --------------------------------------------------------------------------- metrics
+
+from ..operators import metrics  # noqa: E402
+
+CURVE = 10  # AUC / AP / Brier are sums of doubles in engine-dependent order
+
+
+def eval_rows(spark, sf_dir):
+    """Panel rows with a future observation: label = forward default, score = formula score."""
+    fwd = targets.forward_target(labelled(spark, sf_dir))
+    return ews.formula_score(fwd.filter(F.col("has_future_obs")))
+
+
+EVAL_SQL = f"""
+eval_rows AS (
+  SELECT credit_id, report_date_as_of, default_future AS y,
+         round(least(1.0::DOUBLE, COALESCE(dpd, 0.0) / 300.0::DOUBLE
+                                  + CAST(credit_id % 100 AS DOUBLE) / 250.0::DOUBLE), 4) AS s
+  FROM forward WHERE has_future_obs
+),
+hist AS (SELECT s AS value, SUM(y) AS pos, SUM(1 - y) AS neg FROM eval_rows GROUP BY s),
+cum AS (
+  SELECT *, SUM(pos) OVER (ORDER BY value DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+         SUM(neg) OVER (ORDER BY value DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+         SUM(pos) OVER () AS P, SUM(neg) OVER () AS N
+  FROM hist
+)"""
+
+
+def _eval_sql(body: str) -> str:
+    return O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, EVAL_SQL, body=body)
+
+
+@register("binary_report", _eval_sql(f"""
+SELECT p.n, round(p.positive_rate, {CURVE}) AS positive_rate, round(c.roc_auc, {CURVE}) AS roc_auc,
+       round(c.pr_auc, {CURVE}) AS pr_auc, round(c.roc_auc * 2 - 1, {CURVE}) AS gini, c.ks,
+       round(p.brier, {CURVE}) AS brier,
+       CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision_at_thr,
+       CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall_at_thr,
+       CASE WHEN tp * 2 + fp + fn > 0 THEN tp * 2 / (tp * 2 + fp + fn) ELSE 0.0 END AS f1_at_thr,
+       tp, fp, tn, fn, 0.5::DOUBLE AS threshold
+FROM (SELECT COUNT(*) AS n, AVG(y) AS positive_rate, AVG((s - y) * (s - y)) AS brier,
+             CAST(SUM(CASE WHEN s >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(SUM(CASE WHEN s >= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(SUM(CASE WHEN s < 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+             CAST(SUM(CASE WHEN s < 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
+      FROM eval_rows) p,
+     (SELECT SUM(neg * ((cum_pos - pos) + pos / 2.0)) / (MAX(P) * MAX(N)) AS roc_auc,
+             SUM(pos / P * (cum_pos / (cum_pos + cum_neg))) AS pr_auc,
+             MAX(abs(cum_pos / greatest(P, 1) - cum_neg / greatest(N, 1))) AS ks
+      FROM cum) c"""))
+def q_binary_report(spark, sf_dir):
+    """M1-M5: ROC-AUC, average precision, Gini, KS, Brier and threshold metrics of the formula
+    score against the 3-month forward default."""
+    return rounded(metrics.binary_report(eval_rows(spark, sf_dir), "default_future", "risk_score"),
+                   {c: CURVE for c in ["positive_rate", "roc_auc", "pr_auc", "gini", "brier"]})
+
+
+@register("pr_table", _eval_sql("""
+SELECT value AS threshold, CASE WHEN cum_pos + cum_neg > 0 THEN cum_pos / (cum_pos + cum_neg) ELSE 0.0 END AS precision,
+       cum_pos / P AS recall
+FROM cum
+UNION ALL SELECT 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE"""))
+def q_pr_table(spark, sf_dir):
+    """M6: precision / recall per distinct score threshold."""
+    return metrics.pr_table(eval_rows(spark, sf_dir), "default_future", "risk_score")
+
+
+@register("decile_report", _eval_sql(f"""
+SELECT bucket, n, n_bad, round(avg_score, {CURVE}) AS avg_score, n_bad / n AS bad_rate,
+       CAST(SUM(n_bad) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_bad,
+       SUM(n_bad) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) / SUM(n_bad) OVER () AS cum_bad_pct,
+       (n_bad / n) / greatest(base, 1e-9) AS lift
+FROM (
+  SELECT bucket, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS n_bad, AVG(s) AS avg_score, MAX(base) AS base
+  FROM (
+    SELECT y, s, base,
+           CASE WHEN n_all - 1 <= 0 THEN 1 ELSE greatest(1, (pos * 10 + n_all - 2) // (n_all - 1)) END AS bucket
+    FROM (SELECT y, s, row_number() OVER (ORDER BY s DESC, credit_id) - 1 AS pos, COUNT(*) OVER () AS n_all,
+                 AVG(y) OVER () AS base
+          FROM eval_rows))
+  GROUP BY bucket)"""))
+def q_decile_report(spark, sf_dir):
+    """M7: lift / gain table over score deciles."""
+    return rounded(metrics.decile_report(eval_rows(spark, sf_dir), "default_future", "risk_score"),
+                   {"avg_score": CURVE})
