@@ -526,3 +526,141 @@ def q_decile_report(spark, sf_dir):
     """M7: lift / gain table over score deciles."""
     return rounded(metrics.decile_report(eval_rows(spark, sf_dir), "default_future", "risk_score"),
                    {"avg_score": CURVE})
+
+
+# --------------------------------------------------------------------------- screening
+
+from ..operators import ranks as _ranks, screening  # noqa: E402
+
+SCREEN_FEATURES = ["initial_amount", "total_debt", "available_limit", "pdn_initial", "psk_current", "payment_sum_1m",
+                   "payment_sum_2m", "cnt_all_payments", "age", "months_on_book", "days_since_last_payment",
+                   "utilization", "payment_ratio_mom", "pdn_delta", "payment_std_3m", "total_debt_mean_3m"]
+STAT = 10
+
+
+def featured(spark, sf_dir):
+    return features.feature_set(labelled(spark, sf_dir))
+
+
+def _feat_sql(*ctes: str, body: str) -> str:
+    return O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FEATURE_SQL, *ctes, body=body)
+
+
+def _nan_null(expr: str) -> str:
+    return f"CASE WHEN isnan({expr}) THEN NULL ELSE {expr} END"
+
+
+_PAIRS = [(a, b) for i, a in enumerate(SCREEN_FEATURES) for b in SCREEN_FEATURES[i + 1:]]
+PEARSON_SQL = "pearson AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_nan_null(f'corr({a}, {b})')} AS corr FROM features"
+    for a, b in _PAIRS) + ")"
+
+
+@register("pearson_matrix", _feat_sql(PEARSON_SQL, body=f"SELECT feature_a, feature_b, round(corr, {STAT}) AS corr FROM pearson"))
+def q_pearson_matrix(spark, sf_dir):
+    """A10: pairwise Pearson correlations of the screened features in one aggregate pass."""
+    return rounded(screening.pearson_matrix(featured(spark, sf_dir), SCREEN_FEATURES), {"corr": STAT})
+
+
+@register("multicollinear_pairs", _feat_sql(PEARSON_SQL, body=f"""
+SELECT feature_a, feature_b, round(abs(corr), {STAT}) AS abs_corr FROM pearson WHERE abs(corr) > 0.9"""))
+def q_multicollinear_pairs(spark, sf_dir):
+    """Feature pairs with |r| > 0.9."""
+    return rounded(screening.multicollinear_pairs(featured(spark, sf_dir), SCREEN_FEATURES), {"abs_corr": STAT})
+
+
+LONG_SQL = "scr_long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, CAST(default_target AS DOUBLE) AS y FROM features "
+    f"WHERE {c} IS NOT NULL AND default_target IS NOT NULL" for c in SCREEN_FEATURES) + ")"
+
+
+@register("target_correlation", _feat_sql(LONG_SQL, body=f"""
+SELECT feature, round({_nan_null('corr(r, y)')}, {STAT}) AS corr, round(abs({_nan_null('corr(r, y)')}), {STAT}) AS abs_corr
+FROM (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x)
+                         + (COUNT(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r
+      FROM scr_long)
+GROUP BY feature"""))
+def q_target_correlation(spark, sf_dir):
+    """H1: Spearman correlation of each screened feature with the current-default flag."""
+    return rounded(screening.target_correlation(featured(spark, sf_dir), SCREEN_FEATURES), {"corr": STAT,
+                                                                                          "abs_corr": STAT})
+
+
+WOE_SQL = """
+iv_edges AS (SELECT DISTINCT g AS feature, q AS edge FROM ivq),
+iv_ne AS (SELECT feature, COUNT(*) AS ne FROM iv_edges GROUP BY feature),
+iv_binned AS (
+  SELECT l.feature, l.y,
+         greatest(1, (SELECT COUNT(*) FROM iv_edges e WHERE e.feature = l.feature AND e.edge < l.x)) AS bin
+  FROM scr_long l JOIN iv_ne n ON n.feature = l.feature WHERE n.ne >= 2
+),
+iv_counts AS (SELECT feature, bin, SUM(y) AS bad, COUNT(*) AS total FROM iv_binned GROUP BY feature, bin),
+iv_allbins AS (SELECT feature, CAST(unnest(range(1, ne)) AS INTEGER) AS bin FROM iv_ne WHERE ne >= 2),
+woe AS (
+  SELECT *, SUM(iv_part) OVER (PARTITION BY feature) AS iv FROM (
+    SELECT *, (dist_good - dist_bad) * woe_raw AS iv_part FROM (
+      SELECT *, ln((dist_good + 1e-9) / (dist_bad + 1e-9)) AS woe_raw FROM (
+        SELECT *, good / (SUM(good) OVER (PARTITION BY feature) + 1e-9) AS dist_good,
+                  bad / (SUM(bad) OVER (PARTITION BY feature) + 1e-9) AS dist_bad
+        FROM (SELECT a.feature, a.bin, COALESCE(c.bad, 0.0) AS bad, COALESCE(c.total, 0) AS total,
+                     COALESCE(c.total, 0) - COALESCE(c.bad, 0.0) AS good
+              FROM iv_allbins a LEFT JOIN iv_counts c ON c.feature = a.feature AND c.bin = a.bin)))))
+"""
+
+
+def _woe_ctes():
+    return [LONG_SQL, O.quantiles_sql("ivq", "scr_long", "feature", "x", _ranks.numpy_linspace(10)), WOE_SQL]
+
+
+@register("woe_iv_table", _feat_sql(*_woe_ctes(), body=f"""
+SELECT w.feature, w.bin, lo.edge AS bin_low, hi.edge AS bin_high, w.bad, w.total, w.good,
+       w.dist_good, w.dist_bad, round(w.woe_raw, {STAT}) AS woe, round(w.iv_part, {STAT}) AS iv_part,
+       round(w.iv, {STAT}) AS iv
+FROM woe w
+JOIN (SELECT feature, edge, row_number() OVER (PARTITION BY feature ORDER BY edge) AS k FROM iv_edges) lo
+  ON lo.feature = w.feature AND lo.k = w.bin
+JOIN (SELECT feature, edge, row_number() OVER (PARTITION BY feature ORDER BY edge) AS k FROM iv_edges) hi
+  ON hi.feature = w.feature AND hi.k = w.bin + 1"""))
+def q_woe_iv_table(spark, sf_dir):
+    """H2: WoE / IV tables of all screened features by exact decile bins."""
+    t = screening.woe_iv(featured(spark, sf_dir), SCREEN_FEATURES)
+    return rounded(t.withColumnRenamed("woe", "woe"), {"woe": STAT, "iv_part": STAT, "iv": STAT})
+
+
+@register("iv_ranking", _feat_sql(*_woe_ctes(), body=f"""
+SELECT feature, round(iv, {STAT}) AS iv,
+       CASE WHEN iv <= 0.02 THEN 'unpredictive' WHEN iv <= 0.1 THEN 'weak' WHEN iv <= 0.3 THEN 'medium'
+            WHEN iv <= 0.5 THEN 'strong' WHEN iv > 0.5 THEN 'suspicious' END AS strength
+FROM (SELECT DISTINCT feature, iv FROM woe) WHERE iv IS NOT NULL AND NOT isnan(iv)"""))
+def q_iv_ranking(spark, sf_dir):
+    """H3: IV ranking with strength classes (numeric screened features)."""
+    return rounded(screening.iv_ranking(featured(spark, sf_dir), SCREEN_FEATURES), {"iv": STAT})
+
+
+@register("iv_ranking_categorical", _feat_sql(body=f"""
+SELECT feature, round(iv, {STAT}) AS iv,
+       CASE WHEN iv <= 0.02 THEN 'unpredictive' WHEN iv <= 0.1 THEN 'weak' WHEN iv <= 0.3 THEN 'medium'
+            WHEN iv <= 0.5 THEN 'strong' WHEN iv > 0.5 THEN 'suspicious' END AS strength
+FROM (
+  SELECT DISTINCT feature, SUM(iv_part) OVER (PARTITION BY feature) AS iv FROM (
+    SELECT *, (dist_good - dist_bad) * ln((dist_good + 1e-9) / (dist_bad + 1e-9)) AS iv_part FROM (
+      SELECT *, good / (SUM(good) OVER (PARTITION BY feature) + 1e-9) AS dist_good,
+                bad / (SUM(bad) OVER (PARTITION BY feature) + 1e-9) AS dist_bad FROM (
+        SELECT feature, bin, SUM(y) AS bad, COUNT(*) AS total, COUNT(*) - SUM(y) AS good FROM (
+          """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS bin, "
+                                   f"CAST(default_target AS DOUBLE) AS y FROM features WHERE {c} IS NOT NULL"
+                                   for c in ["sex", "loan_program", "region_from_address", "psk_bucket"]) + """)
+        GROUP BY feature, bin))))"""))
+def q_iv_ranking_categorical(spark, sf_dir):
+    """H3 for the categorical model features (one bin per value)."""
+    return rounded(screening.iv_ranking(featured(spark, sf_dir), [], ["sex", "loan_program", "region_from_address",
+                                                                      "psk_bucket"]), {"iv": STAT})
+
+
+@register("key_indicators")
+def q_key_indicators(spark, sf_dir):
+    """H4: greedy pick of up to 15 key indicators by IV and Spearman rank, suppressing |r| > 0.85
+    (the statistics run on Spark; the pick loops over at most one row per feature)."""
+    df = featured(spark, sf_dir)
+    chosen = screening.key_indicators(df, SCREEN_FEATURES)
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank int, feature string")
