@@ -664,3 +664,137 @@ def q_key_indicators(spark, sf_dir):
     df = featured(spark, sf_dir)
     chosen = screening.key_indicators(df, SCREEN_FEATURES)
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank int, feature string")
+
+
+# --------------------------------------------------------------------------- drift
+
+from ..operators import drift  # noqa: E402
+
+DRIFT_CUTOFF = "1998-07-01"
+DRIFT_NUM = ["total_debt", "available_limit", "utilization", "payment_sum_1m", "payment_ratio_mom", "pdn_current",
+             "dpd", "days_since_last_payment", "months_on_book", "age", "psk_current", "cnt_all_payments"]
+DRIFT_CAT = ["sex", "loan_program", "region_from_address", "quality_category", "psk_bucket", "dpd_bucket"]
+
+
+def drift_sides(spark, sf_dir):
+    """Reference = panel months before the cut-off, current = from the cut-off; each side gets
+    the non-rolling features and the formula score."""
+    df = ews.formula_score(features.feature_set(labelled(spark, sf_dir), include_rolling=False))
+    cut = F.lit(DRIFT_CUTOFF).cast("timestamp_ntz")
+    return df.filter(F.col("report_date_as_of") < cut), df.filter(F.col("report_date_as_of") >= cut)
+
+
+DRIFT_SRC_SQL = f"""
+drift_src AS (
+  SELECT *, CASE WHEN report_date_as_of < TIMESTAMP '{DRIFT_CUTOFF}' THEN 0 ELSE 1 END AS side,
+         round(least(1.0::DOUBLE, COALESCE(dpd, 0.0) / 300.0::DOUBLE
+                                  + CAST(credit_id % 100 AS DOUBLE) / 250.0::DOUBLE), 4) AS risk_score
+  FROM features WHERE report_date_as_of IS NOT NULL
+)"""
+
+
+def _drift_long_sql(cols: list[str]) -> str:
+    return "d_long AS (" + " UNION ALL ".join(
+        f"SELECT side, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM drift_src WHERE {c} IS NOT NULL"
+        for c in cols) + "), d_ref AS (SELECT * FROM d_long WHERE side = 0)"
+
+
+def _psi_sql(cols: list[str]) -> list[str]:
+    feats = ", ".join(f"('{c}')" for c in cols)
+    return [_drift_long_sql(cols), O.quantiles_sql("dq", "d_ref", "feature", "x", _ranks.numpy_linspace(10)), f"""
+d_edges AS (SELECT DISTINCT g AS feature, q AS edge FROM dq),
+d_ne AS (SELECT feature, COUNT(*) AS ne, MIN(edge) AS lo, MAX(edge) AS hi FROM d_edges GROUP BY feature),
+d_binned AS (
+  SELECT l.side, l.feature,
+         least((SELECT COUNT(*) FROM d_edges e WHERE e.feature = l.feature AND e.edge <= l.x) - 1, n.ne - 2) AS bin
+  FROM d_long l JOIN d_ne n ON n.feature = l.feature
+  WHERE n.ne >= 3 AND l.x >= n.lo AND l.x <= n.hi
+),
+d_counts AS (SELECT feature, bin, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS r,
+                    SUM(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS c FROM d_binned GROUP BY feature, bin),
+d_full AS (
+  SELECT a.feature, COALESCE(c.r, 0) AS r, COALESCE(c.c, 0) AS c
+  FROM (SELECT feature, unnest(range(0, ne - 1)) AS bin FROM d_ne WHERE ne >= 3) a
+  LEFT JOIN d_counts c ON c.feature = a.feature AND c.bin = a.bin
+),
+d_psi AS (
+  SELECT feature, SUM((cp - rp) * ln(cp / rp)) AS psi FROM (
+    SELECT feature, r / greatest(SUM(r) OVER (PARTITION BY feature), 1) + 1e-6 AS rp,
+           c / greatest(SUM(c) OVER (PARTITION BY feature), 1) + 1e-6 AS cp FROM d_full)
+  GROUP BY feature
+),
+d_sides AS (SELECT feature, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS n_ref,
+                   SUM(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS n_cur FROM d_long GROUP BY feature),
+psi_out AS (
+  SELECT f.feature,
+         CASE WHEN COALESCE(s.n_ref, 0) = 0 OR COALESCE(s.n_cur, 0) = 0 THEN NULL
+              WHEN COALESCE(n.ne, 0) < 3 THEN 0.0 ELSE p.psi END AS psi
+  FROM (VALUES {feats}) f(feature)
+  LEFT JOIN d_sides s ON s.feature = f.feature LEFT JOIN d_ne n ON n.feature = f.feature
+  LEFT JOIN d_psi p ON p.feature = f.feature
+)"""]
+
+
+def _drift_sql(*ctes, body):
+    return O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FEATURE_SQL, DRIFT_SRC_SQL, *ctes, body=body)
+
+
+@register("psi_drift", _drift_sql(*_psi_sql(DRIFT_NUM), body=f"SELECT feature, round(psi, {STAT}) AS psi FROM psi_out"))
+def q_psi_drift(spark, sf_dir):
+    """PSI of numeric features between the two periods."""
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.psi(ref, cur, DRIFT_NUM), {"psi": STAT})
+
+
+@register("score_psi", _drift_sql(*_psi_sql(["risk_score"]), body=f"SELECT round(psi, {STAT}) AS score_psi FROM psi_out"))
+def q_score_psi(spark, sf_dir):
+    """PSI of the (formula) model score between the two periods."""
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.score_drift(ref, cur), {"score_psi": STAT})
+
+
+@register("ks_drift", _drift_sql(_drift_long_sql(DRIFT_NUM), body=f"""
+SELECT feature, CASE WHEN n1 >= 2 AND n2 >= 2 THEN d END AS ks_stat,
+       CASE WHEN n1 >= 2 AND n2 >= 2 THEN round(
+         CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0,
+           2 * (SELECT SUM(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k)))) END, 8) END AS p_value
+FROM (
+  SELECT feature, d, n1, n2, d * sqrt(CAST(n1 AS DOUBLE) * n2 / (n1 + n2)) AS lam FROM (
+    SELECT feature, MAX(abs(cr / n1 - cc / n2)) AS d, MAX(n1) AS n1, MAX(n2) AS n2 FROM (
+      SELECT feature, SUM(nr) OVER w AS cr, SUM(nc) OVER w AS cc,
+             SUM(nr) OVER (PARTITION BY feature) AS n1, SUM(nc) OVER (PARTITION BY feature) AS n2
+      FROM (SELECT feature, x, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS nr,
+                   SUM(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS nc FROM d_long GROUP BY feature, x)
+      WINDOW w AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING))
+    GROUP BY feature))"""))
+def q_ks_drift(spark, sf_dir):
+    """Two-sample KS statistic and asymptotic p-value per numeric feature."""
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.ks_two_sample(ref, cur, DRIFT_NUM), {"p_value": 8})
+
+
+@register("chi_square_drift", _drift_sql(body=f"""
+SELECT feature, round(SUM(tr + tc), 8) AS chi2 FROM (
+  SELECT feature, (orr - er) * (orr - er) / er AS tr, (occ - ec) * (occ - ec) / ec AS tc FROM (
+    SELECT feature, er, ec,
+           o_r + CASE WHEN k = 2 THEN sign(er - o_r) * least(0.5, abs(er - o_r)) ELSE 0.0 END AS orr,
+           o_c + CASE WHEN k = 2 THEN sign(ec - o_c) * least(0.5, abs(ec - o_c)) ELSE 0.0 END AS occ
+    FROM (
+      SELECT feature, o_r, o_c, k, (o_r + o_c) * R / (R + C) AS er, (o_r + o_c) * C / (R + C) AS ec FROM (
+        SELECT feature, o_r, o_c, SUM(o_r) OVER (PARTITION BY feature) AS R, SUM(o_c) OVER (PARTITION BY feature) AS C,
+               COUNT(*) OVER (PARTITION BY feature) AS k
+        FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, COALESCE(CAST({c} AS VARCHAR), 'nan') AS v, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) + 1 AS o_r, "
+    f"SUM(CASE WHEN side = 1 THEN 1 ELSE 0 END) + 1 AS o_c FROM drift_src GROUP BY 2" for c in DRIFT_CAT) + """)))))
+GROUP BY feature"""))
+def q_chi_square_drift(spark, sf_dir):
+    """Chi-square statistic (Laplace +1, Yates for two categories) per categorical feature."""
+    ref, cur = drift_sides(spark, sf_dir)
+    return rounded(drift.chi_square(ref, cur, DRIFT_CAT).select("feature", "chi2"), {"chi2": 8})
+
+
+@register("data_drift")
+def q_data_drift(spark, sf_dir):
+    """Per-feature drift table (PSI, KS / chi-square, p-value, drift flag) between the periods."""
+    ref, cur = drift_sides(spark, sf_dir)
+    return drift.data_drift(ref, cur, DRIFT_NUM, DRIFT_CAT)
