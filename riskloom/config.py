@@ -210,6 +210,7 @@ SCORED_EXTRA_COLS = [
 RANDOM_STATE = 42
 TEST_SIZE = 0.2
 N_FOLDS = 5
+CV_PARALLELISM = 5
 RARE_CATEGORY_SHARE = 0.01
 DRIFT_PSI_THRESHOLD = 0.25
 DRIFT_KS_PVALUE = 0.01

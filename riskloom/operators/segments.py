@@ -73,3 +73,42 @@ def segment_policy(summary: DataFrame, rate_col: str = "default_rate", high: flo
         F.when(truth(r > high), F.lit(config.POLICY_TIGHTEN))
         .when(truth(r < low), F.lit(config.POLICY_LOOSEN))
         .otherwise(F.lit(config.POLICY_MONITOR)))
+
+
+def kmeans_matrix(df: DataFrame, features: list[str] | None = None):
+    """Behaviour features, missing values -> column median, z-scored (MLlib stages)."""
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    feats = [c for c in (features or config.BEHAVIOR_FEATURES) if c in df.columns]
+    imp = [f"{c}__km" for c in feats]
+    return feats, [Imputer(strategy="median", inputCols=feats, outputCols=imp),
+                   VectorAssembler(inputCols=imp, outputCol="_km_raw"),
+                   StandardScaler(inputCol="_km_raw", outputCol="_km_x", withMean=True, withStd=True)]
+
+
+def kmeans_segment(df: DataFrame, k: int = 4, features: list[str] | None = None, seed: int = config.RANDOM_STATE,
+                   out_col: str = "cluster") -> DataFrame:
+    """K-means cluster label per row (k-means|| initialisation, fixed seed)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    feats, stages = kmeans_matrix(df, features)
+    model = Pipeline(stages=stages + [KMeans(k=k, seed=seed, featuresCol="_km_x", predictionCol=out_col)]).fit(df)
+    return model.transform(df).drop(*[f"{c}__km" for c in feats], "_km_raw", "_km_x")
+
+
+def kmeans_k_search(df: DataFrame, k_values=(2, 3, 4, 5, 6, 7), features: list[str] | None = None,
+                    seed: int = config.RANDOM_STATE) -> DataFrame:
+    """Inertia (training cost) and silhouette (squared Euclidean, MLlib's evaluator, over all
+    rows) for each k.  The scaled matrix is built once and persisted for the loop."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from ..session import keep
+    feats, stages = kmeans_matrix(df, features)
+    x = keep(Pipeline(stages=stages).fit(df).transform(df).select("_km_x"))
+    rows = []
+    for k in k_values:
+        m = KMeans(k=k, seed=seed, featuresCol="_km_x", predictionCol="_c").fit(x)
+        sil = ClusteringEvaluator(featuresCol="_km_x", predictionCol="_c").evaluate(m.transform(x))
+        rows.append((int(k), float(m.summary.trainingCost), float(sil)))
+    x.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

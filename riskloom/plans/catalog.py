@@ -798,3 +798,154 @@ def q_data_drift(spark, sf_dir):
     """Per-feature drift table (PSI, KS / chi-square, p-value, drift flag) between the periods."""
     ref, cur = drift_sides(spark, sf_dir)
     return drift.data_drift(ref, cur, DRIFT_NUM, DRIFT_CAT)
+
+
+# --------------------------------------------------------------------------- modelling
+
+from ..operators import explain, modeling  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def model_frame(spark, sf_dir):
+    """Training rows: the featured panel with the forward label, rows with a future observation."""
+    df = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
+    return df.filter(F.col("has_future_obs"))
+
+
+def model_inputs(df):
+    return cleaning.feature_columns(df)
+
+
+def trained(spark, sf_dir, model_type="logreg", params=None, cv=True):
+    """Fit once per (data, model) in this driver process; the fitted model object is reused by
+    the scoring and interpretation queries."""
+    key = (sf_dir, model_type, tuple(sorted((params or {}).items())), cv)
+    if key not in _MODELS:
+        df = model_frame(spark, sf_dir)
+        num, cat = model_inputs(df)
+        _MODELS[key] = modeling.train_model(df, num, cat, label="default_future", model_type=model_type,
+                                            params=params, cv=cv)
+    return _MODELS[key]
+
+
+def _metrics_rows(spark, m):
+    rows = []
+    for split, d in (("train", m.metrics_train), ("test", m.metrics_test)):
+        rows.append((split, int(d["n"]), float(d["positive_rate"]), float(d["roc_auc"]), float(d["pr_auc"]),
+                     float(d["gini"]), float(d["ks"]), float(d["brier"]), float(d["precision_at_thr"]),
+                     float(d["recall_at_thr"]), float(d["f1_at_thr"]),
+                     float(m.cv_metrics.get("cv_roc_auc_mean", float("nan"))),
+                     float(m.cv_metrics.get("cv_roc_auc_std", float("nan")))))
+    return spark.createDataFrame(rows, "split string, n long, positive_rate double, roc_auc double, pr_auc double, "
+                                       "gini double, ks double, brier double, precision_at_thr double, "
+                                       "recall_at_thr double, f1_at_thr double, cv_roc_auc_mean double, "
+                                       "cv_roc_auc_std double")
+
+
+@register("model_metrics_logreg")
+def q_model_metrics_logreg(spark, sf_dir):
+    """Logistic regression on the 3-month forward label with a time-ordered 80/20 split and
+    5 expanding CV folds; train / test metrics."""
+    return _metrics_rows(spark, trained(spark, sf_dir, "logreg"))
+
+
+@register("model_metrics_gbt")
+def q_model_metrics_gbt(spark, sf_dir):
+    """D4 + D7: gradient-boosted trees (60 trees of depth 6, step 0.05 - fewer trees than the
+    600-tree default to bound the check's run time), no CV; train / test metrics."""
+    return _metrics_rows(spark, trained(spark, sf_dir, "gbt", {"maxIter": 60}, cv=False))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """|coefficient| per encoded feature of the logistic model, highest first."""
+    pairs = modeling.feature_importance(trained(spark, sf_dir, "logreg"))
+    return spark.createDataFrame(pairs, "feature string, importance double")
+
+
+@register("class_weights", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, body="""
+SELECT CAST(default_future AS INTEGER) AS label, COUNT(*) AS n,
+       (SELECT COUNT(*) FROM forward WHERE has_future_obs) / (2.0 * COUNT(*)) AS weight
+FROM forward WHERE has_future_obs GROUP BY 1"""))
+def q_class_weights(spark, sf_dir):
+    """Balanced class weights n / (2 n_class) of the forward label."""
+    df = targets.forward_target(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (df.groupBy(F.col("default_future").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("weight", total / (F.lit(2.0) * F.col("n"))))
+
+
+@register("time_split", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, body="""
+SELECT split, COUNT(*) AS n, MIN(report_date_as_of) AS first_date, MAX(report_date_as_of) AS last_date,
+       CAST(SUM(default_future) AS BIGINT) AS n_pos
+FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY report_date_as_of, credit_id) - 1
+                          < CAST(floor(COUNT(*) OVER () * 0.8) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+      FROM forward WHERE has_future_obs)
+GROUP BY split"""))
+def q_time_split(spark, sf_dir):
+    """Time-ordered 80/20 split (credit_id breaks ties), summarised per part."""
+    df = targets.forward_target(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
+    train, test = modeling.time_split(df)
+
+    def summary(part, name):
+        return part.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n"),
+                        F.min("report_date_as_of").alias("first_date"), F.max("report_date_as_of").alias("last_date"),
+                        F.sum("default_future").cast("long").alias("n_pos"))
+    return summary(train, "train").unionByName(summary(test, "test"))
+
+
+@register("model_scores_last_slice")
+def q_model_scores_last_slice(spark, sf_dir):
+    """D9 + E2-E7: logistic-model probabilities on each contract's latest row (with rolling
+    features from its history), rules, zones and recommendations."""
+    m = trained(spark, sf_dir, "logreg")
+    panel = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
+    last_rows = cleaning.last_slice(panel)
+    return joined(ews.ews_scored(modeling.predict_proba(m, last_rows), with_recommendations=True),
+                  "rules_triggered", "recommendations")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    """Permutation importance (5 repeats) of four raw inputs on the test rows."""
+    m = trained(spark, sf_dir, "logreg")
+    df = model_frame(spark, sf_dir)
+    return explain.permutation_importance(m, df, "default_future",
+                                          ["utilization", "days_since_last_payment", "months_on_book", "loan_program"])
+
+
+@register("linear_contributions")
+def q_linear_contributions(spark, sf_dir):
+    """Per contract (latest row) and encoded feature coef * (x - mean)."""
+    m = trained(spark, sf_dir, "logreg")
+    last_rows = cleaning.last_slice(model_frame(spark, sf_dir))
+    return explain.linear_contributions(m, last_rows)
+
+
+@register("explain_top5")
+def q_explain_top5(spark, sf_dir):
+    """Top five reasons per contract by |contribution|."""
+    m = trained(spark, sf_dir, "logreg")
+    return explain.explain_top(m, cleaning.last_slice(model_frame(spark, sf_dir)), 5)
+
+
+@register("top_contributions")
+def q_top_contributions(spark, sf_dir):
+    """I4: global top 20 features by mean |contribution|."""
+    m = trained(spark, sf_dir, "logreg")
+    return explain.top_contributions(m, model_frame(spark, sf_dir), 20)
+
+
+@register("kmeans_segments")
+def q_kmeans_segments(spark, sf_dir):
+    """G2 + G3 + A4: k-means (k = 4, seed 42) on the behaviour features of the last slice, then
+    the segment profile of the clusters."""
+    seg = segments.kmeans_segment(last(spark, sf_dir), 4).withColumn("segment", F.col("cluster").cast("string"))
+    return segments.segment_profile(seg, dedupe_last_obs=False)
+
+
+@register("kmeans_k_search")
+def q_kmeans_k_search(spark, sf_dir):
+    """Inertia and silhouette for k = 2..7 on the last slice."""
+    return segments.kmeans_k_search(last(spark, sf_dir))
