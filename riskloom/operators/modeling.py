@@ -106,7 +106,8 @@ def build_pipeline(num_cols: list[str], cat_cols: list[str], classifier) -> Pipe
     if cat_cols:
         stages.append(StringIndexer(inputCols=[f"{c}__cat" for c in cat_cols], outputCols=idx, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        # the indexer (keep) already appends an "unknown" level; dropLast removes exactly that level
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=imputed + ohe, outputCol="_raw_features", handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="_raw_features", outputCol="features", withMean=False, withStd=True))
     stages.append(classifier)

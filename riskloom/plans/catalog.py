@@ -4,6 +4,7 @@ to a fixed number of decimals on both sides; arrays are joined with '|' as in th
 """
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -805,12 +806,18 @@ def q_data_drift(spark, sf_dir):
 from ..operators import explain, modeling  # noqa: E402
 
 _MODELS: dict = {}
+_FRAMES: dict = {}
 
 
 def model_frame(spark, sf_dir):
-    """Training rows: the featured panel with the forward label, rows with a future observation."""
-    df = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
-    return df.filter(F.col("has_future_obs"))
+    """Training rows: the featured panel with the forward label, rows with a future observation.
+    Persisted once per session and scale: every fit, score and permutation reads it."""
+    from ..session import keep
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _FRAMES:
+        df = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
+        _FRAMES[k] = keep(df.filter(F.col("has_future_obs")))
+    return _FRAMES[k]
 
 
 def model_inputs(df):
@@ -820,7 +827,7 @@ def model_inputs(df):
 def trained(spark, sf_dir, model_type="logreg", params=None, cv=True):
     """Fit once per (data, model) in this driver process; the fitted model object is reused by
     the scoring and interpretation queries."""
-    key = (sf_dir, model_type, tuple(sorted((params or {}).items())), cv)
+    key = (spark.sparkContext.applicationId, sf_dir, model_type, tuple(sorted((params or {}).items())), cv)
     if key not in _MODELS:
         df = model_frame(spark, sf_dir)
         num, cat = model_inputs(df)
@@ -949,3 +956,30 @@ def q_kmeans_segments(spark, sf_dir):
 def q_kmeans_k_search(spark, sf_dir):
     """Inertia and silhouette for k = 2..7 on the last slice."""
     return segments.kmeans_k_search(last(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- jobs and streaming
+
+from ..plans import jobs  # noqa: E402
+from ..streaming import scoring  # noqa: E402
+
+
+@register("batch_scoring")
+def q_batch_scoring(spark, sf_dir):
+    """V6: batch scoring of every contract's latest row, sold and forgiven debts included."""
+    return joined(jobs.score_batch(raw_panel(spark, sf_dir)), "rules_triggered", "recommendations")
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """V1: the raw panel is written as monthly parquet files, read back as a file stream,
+    scored record by record (availableNow trigger) into a parquet sink, and the sink is returned."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    root = os.path.join(ensure_checkpoint_dir(spark, allow_local_default=True), f"stream-{uuid.uuid4().hex}")
+    raw = raw_panel(spark, sf_dir)
+    raw.withColumn("m", F.date_format("report_date_as_of", "yyyyMM")).write.partitionBy("m").parquet(
+        os.path.join(root, "src"))
+    scoring.run_scoring_stream(spark, os.path.join(root, "src"), raw.schema, os.path.join(root, "sink"),
+                               os.path.join(root, "ckpt"))
+    return joined(spark.read.parquet(os.path.join(root, "sink")), "rules_triggered", "recommendations")
