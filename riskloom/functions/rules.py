@@ -7,6 +7,7 @@ Spark SQL already.  Rule text is never executed as Python.
 """
 from __future__ import annotations
 
+import logging
 import re
 
 import yaml
@@ -32,10 +33,17 @@ def rule_column(df: DataFrame, expr: str) -> Column:
     if _FORBIDDEN.search(sql):
         raise ValueError(f"rule expression must be a plain column predicate: {expr!r}")
     candidate = F.expr(sql)
+    quiet = [logging.getLogger(n) for n in ("SQLQueryContextLogger", "DataFrameQueryContextLogger")]
+    before = [q.disabled for q in quiet]
+    for q in quiet:
+        q.disabled = True  # an unresolvable rule is an expected outcome, not an error to log
     try:
         df.select(candidate.cast("boolean")).schema  # analysis only, no job
     except (AnalysisException, Exception):  # unresolvable or not boolean-castable
         return F.lit(False)
+    finally:
+        for q, b in zip(quiet, before):
+            q.disabled = b
     return F.coalesce(candidate.cast("boolean"), F.lit(False))
 
 
