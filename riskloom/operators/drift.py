@@ -27,22 +27,30 @@ def _stack_numeric(reference: DataFrame, current: DataFrame, features: list[str]
     return both.select("side", "kv.feature", "kv.x").filter(F.col("x").isNotNull())
 
 
-def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+def side_histogram(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value) -> reference and current counts, written once to the checkpoint folder."""
+    from ..session import materialize
+    long = _stack_numeric(reference, current, features)
+    return materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
+        F.sum((F.col("side") == REF).cast("long")).alias("nr"), F.sum((F.col("side") == CUR).cast("long")).alias("nc")))
+
+
+def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10,
+        hist: DataFrame | None = None) -> DataFrame:
     """PSI per feature.  Edges are the distinct exact deciles of the reference; fewer than
     three edges gives 0; counts use [a, b) bins with the last one closed and drop values outside
     the reference range; shares get +1e-6; sum((c - r) ln(c / r)).  A side without values gives
     NULL."""
-    long = _stack_numeric(reference, current, features)
-    ref_long = long.filter(F.col("side") == REF)
-    q = ranks.exact_quantiles(ref_long, ["feature"], "x", ranks.numpy_linspace(bins), n_groups_bound=len(features))
+    hist = hist if hist is not None else side_histogram(reference, current, features)
+    q = ranks.quantiles_from_histogram(hist, ["feature"], ranks.numpy_linspace(bins), n_groups_bound=len(features),
+                                       count_col="nr")
     edges = q.select("feature", F.array_distinct("quantiles").alias("edges"))
     nb = F.size("edges") - 1
-    binned = (long.join(ranks.small_broadcast(edges, len(features)), "feature")
-              .filter((F.size("edges") >= 3) & (F.col("x") >= F.col("edges")[0])
-                      & (F.col("x") <= F.element_at("edges", -1)))
-              .withColumn("bin", F.least(F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1, nb - 1)))
-    counts = binned.groupBy("feature", "bin").agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("r"), F.sum((F.col("side") == CUR).cast("long")).alias("c"))
+    binned = (hist.join(ranks.small_broadcast(edges, len(features)), "feature")
+              .filter((F.size("edges") >= 3) & (F.col("value") >= F.col("edges")[0])
+                      & (F.col("value") <= F.element_at("edges", -1)))
+              .withColumn("bin", F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, nb - 1)))
+    counts = binned.groupBy("feature", "bin").agg(F.sum("nr").alias("r"), F.sum("nc").alias("c"))
     all_bins = (edges.filter(F.size("edges") >= 3)
                 .select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")))
     full = all_bins.join(counts, ["feature", "bin"], "left").fillna(0, ["r", "c"])
@@ -52,8 +60,7 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
         (F.col("r") / F.greatest(F.sum("r").over(w), F.lit(1)) + 1e-6).alias("rp"),
         (F.col("c") / F.greatest(F.sum("c").over(w), F.lit(1)) + 1e-6).alias("cp"))
     value = shares.groupBy("feature").agg(F.sum((F.col("cp") - F.col("rp")) * F.ln(F.col("cp") / F.col("rp"))).alias("psi"))
-    sides = long.groupBy("feature").agg(F.sum((F.col("side") == REF).cast("long")).alias("n_ref"),
-                                        F.sum((F.col("side") == CUR).cast("long")).alias("n_cur"))
+    sides = hist.groupBy("feature").agg(F.sum("nr").alias("n_ref"), F.sum("nc").alias("n_cur"))
     feats = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return (feats.join(sides, "feature", "left").join(edges, "feature", "left").join(value, "feature", "left")
             .select("feature",
@@ -62,12 +69,11 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
                     .otherwise(F.col("psi")).cast("double").alias("psi")))
 
 
-def ks_two_sample(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+def ks_two_sample(reference: DataFrame, current: DataFrame, features: list[str],
+                  hist: DataFrame | None = None) -> DataFrame:
     """Two-sample KS statistic D (largest gap of the two empirical CDFs, evaluated at every
     distinct value) and its asymptotic p-value; fewer than two values on a side gives NULL."""
-    long = _stack_numeric(reference, current, features)
-    hist = long.groupBy("feature", F.col("x").alias("value")).agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("nr"), F.sum((F.col("side") == CUR).cast("long")).alias("nc"))
+    hist = hist if hist is not None else side_histogram(reference, current, features)
     cum = ranks.prefix_sums(hist, ["feature"], "value", ["nr", "nc"], n_groups_bound=len(features))
     tot = hist.groupBy("feature").agg(F.sum("nr").alias("_n1"), F.sum("nc").alias("_n2"))
     d = (cum.join(ranks.small_broadcast(tot, len(features)), "feature")
@@ -87,9 +93,10 @@ def chi_square(reference: DataFrame, current: DataFrame, features: list[str]) ->
             F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("v"))
             for c in features])).alias("kv"))
     long = side(reference, REF).unionByName(side(current, CUR)).select("side", "kv.feature", "kv.v")
-    cells = long.groupBy("feature", "v").agg(
+    from ..session import materialize
+    cells = materialize(long.groupBy("feature", "v").agg(
         (F.sum((F.col("side") == REF).cast("long")) + 1).alias("o_r"),
-        (F.sum((F.col("side") == CUR).cast("long")) + 1).alias("o_c"))
+        (F.sum((F.col("side") == CUR).cast("long")) + 1).alias("o_c")))
     # per-feature margins from a grouped total (one row per feature), not a window over values
     margins = cells.groupBy("feature").agg(F.sum("o_r").alias("R"), F.sum("o_c").alias("C"),
                                            F.count(F.lit(1)).alias("k"))
@@ -113,7 +120,9 @@ def data_drift(reference: DataFrame, current: DataFrame, num_features: list[str]
     cat = [f for f in cat_features if f in reference.columns and f in current.columns]
     parts = []
     if num:
-        n = psi(reference, current, num).join(ks_two_sample(reference, current, num), "feature", "left")
+        hist = side_histogram(reference, current, num)  # shared by PSI and KS
+        n = psi(reference, current, num, hist=hist).join(ks_two_sample(reference, current, num, hist=hist),
+                                                          "feature", "left")
         parts.append(n.select(
             "feature", F.lit("num").alias("kind"), "psi", "ks_stat", "p_value",
             (truth(F.col("psi") > config.DRIFT_PSI_THRESHOLD)

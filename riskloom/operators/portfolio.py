@@ -125,23 +125,32 @@ NUMERIC_PROBS = [0.01, 0.05, 0.5, 0.95, 0.99]
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column count, mean, sample std, min, p1, p5, p50, p95, p99, max, missing
-    count and %.  Percentiles are exact (linear interpolation) via the distributed quantile helper."""
+    count and %.  One (column, value) histogram - combined map-side and written once to the
+    checkpoint folder - feeds the moments (two-pass std over the histogram) and the exact
+    percentiles (distributed prefix sums)."""
+    from ..session import materialize
     cols = columns or [c for c in config.NUMERIC_COLS if c in df.columns]
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("kv")
     ).select("kv.feature", "kv.x")
-    moments = long.groupBy("feature").agg(
-        F.count("x").alias("count"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.sum(F.col("x").isNull().cast("long")).alias("n_missing"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    q = ranks.exact_quantiles(long, ["feature"], "x", NUMERIC_PROBS, n_groups_bound=len(cols))
+    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    vals = hist.filter(F.col("value").isNotNull())
+    first = hist.groupBy("feature").agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("count"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.sum("n").alias("_n"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"))
+    first = ranks.small_broadcast(first, len(cols))
+    dev = (vals.join(first.select("feature", "mean", "count"), "feature")
+           .groupBy("feature").agg(
+               F.when(F.first("count") > 1, F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("mean"))
+                                                         * (F.col("value") - F.col("mean")))
+                                              / (F.first("count") - 1))).alias("std")))
+    q = ranks.quantiles_from_histogram(vals, ["feature"], NUMERIC_PROBS, n_groups_bound=len(cols))
     names = ["p1", "p5", "p50", "p95", "p99"]
-    return (moments.join(q, "feature", "left")
+    return (first.join(dev, "feature", "left").join(q, "feature", "left")
             .select("feature", "count", "mean", "std", "min",
                     *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)],
                     "max", "n_missing",
@@ -152,8 +161,9 @@ def histogram(df: DataFrame, column: str, bins: int = 60, by: str | None = None)
     """Equal-width histogram of ``column`` (optionally split by ``by``); the last edge is
     closed.  The range is a one-row scalar subquery; binning and counting stay distributed
     and are combined map-side."""
+    from ..session import materialize
     x = F.col(column).cast("double")
-    vals = df.select(x.alias("x"), *([F.col(by)] if by else [])).filter(F.col("x").isNotNull())
+    vals = materialize(df.select(x.alias("x"), *([F.col(by)] if by else [])).filter(F.col("x").isNotNull()))
     rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     lo, hi = rng["lo"], rng["hi"]
     width = (hi - lo) / bins

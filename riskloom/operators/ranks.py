@@ -108,14 +108,22 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str | Column, p
 
     Returns one row per group with ``quantiles`` = array in ``probs`` order (NULL values are
     ignored; a group without values has no row)."""
+    from ..session import materialize
     vcol = F.col(value) if isinstance(value, str) else value
     base, gcols = _with_group(df.select(*group_cols, vcol.cast("double").alias("_v")), group_cols)
-    base = base.filter(F.col("_v").isNotNull())
-    hist = value_histogram(base, gcols, "_v")
+    hist = materialize(value_histogram(base.filter(F.col("_v").isNotNull()), gcols, "_v"))
+    return _drop_group(quantiles_from_histogram(hist, gcols, probs, buckets, n_groups_bound), group_cols)
+
+
+def quantiles_from_histogram(hist: DataFrame, group_cols: list[str], probs: list[float], buckets: int | None = None,
+                             n_groups_bound: int = 10_000, count_col: str = "n") -> DataFrame:
+    """Exact quantiles from a (group, value, count) histogram of non-missing values."""
+    gcols = list(group_cols)
+    hist = hist.select(*gcols, "value", F.col(count_col).alias("n")).filter(F.col("n") > 0)
     cum = prefix_sums(hist, gcols, "value", ["n"], buckets=buckets, n_groups_bound=n_groups_bound)
     cum = cum.withColumn("_before", F.col("cum_n") - F.col("n"))
 
-    totals = base.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_N"))
+    totals = hist.groupBy(*gcols).agg(F.sum("n").alias("_N"))
     targets = totals.withColumn("_t", F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
                  F.floor((F.col("_N") - 1) * F.lit(float(p))).alias("lo"),
@@ -137,11 +145,10 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str | Column, p
                      F.col("value"))).alias("_v_hi"),
     )
     q = lerp(F.col("_v_lo"), F.col("_v_hi"), F.col("_pos") - F.col("_lo"))
-    out = (per_prob.groupBy(*gcols)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), q.alias("q")))).alias("_qs"))
-           .withColumn("quantiles", F.transform("_qs", lambda s: s["q"]))
-           .drop("_qs"))
-    return _drop_group(out, group_cols)
+    return (per_prob.groupBy(*gcols)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), q.alias("q")))).alias("_qs"))
+            .withColumn("quantiles", F.transform("_qs", lambda s: s["q"]))
+            .drop("_qs"))
 
 
 def average_ranks(hist: DataFrame, group_cols: list[str], buckets: int | None = None) -> DataFrame:

@@ -66,10 +66,11 @@ def target_correlation(df: DataFrame, features: list[str] | None = None, target_
     Pearson correlation of the feature's average ranks with the target.  Everything is computed
     on the (feature, value) histogram: average ranks from the two-phase prefix sum, then
     cov / var sums per feature - rows are never joined back."""
+    from ..session import materialize
     features = features or numeric_candidates(df, target_col, exclude_leaky)
     long = _long(df, features, target_col)
-    hist = long.groupBy("feature", F.col("x").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
     ranked = ranks.average_ranks(hist, ["feature"])
     tot = hist.groupBy("feature").agg(F.sum("n").alias("_tn"), F.sum("sy").alias("_tsy"), F.sum("syy").alias("_tsyy"))
     j = ranked.join(ranks.small_broadcast(tot, len(features)), "feature")
@@ -108,22 +109,27 @@ def _woe_from_counts(counts: DataFrame) -> DataFrame:
 def numeric_bins(df: DataFrame, features: list[str], target_col: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """Decile bins per feature: edges are the distinct exact quantiles at numpy's
     linspace(0, 1, bins + 1); bin k holds (edge[k-1], edge[k]], the lowest edge included.
-    Returns (rows with bin index, edges per feature)."""
+
+    Everything comes from one (feature, value) histogram with row and target counts, written
+    once to the checkpoint folder.  Returns (per-bin bad / total counts, edges per feature)."""
+    from ..session import materialize
     long = _long(df, features, target_col)
-    q = ranks.exact_quantiles(long, ["feature"], "x", ranks.numpy_linspace(bins), n_groups_bound=len(features))
+    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
+    q = ranks.quantiles_from_histogram(hist, ["feature"], ranks.numpy_linspace(bins), n_groups_bound=len(features))
     edges = q.select("feature", F.array_distinct("quantiles").alias("edges"))
-    binned = (long.join(ranks.small_broadcast(edges, len(features)), "feature")
+    counts = (hist.join(ranks.small_broadcast(edges, len(features)), "feature")
               .filter(F.size("edges") >= 2)
-              .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x"))))))
-    return binned, edges
+              .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("value"))))))
+    counts = counts.groupBy("feature", "bin").agg(F.sum("sy").alias("bad"), F.sum("n").alias("total"))
+    return counts, edges
 
 
 def woe_iv(df: DataFrame, features: list[str], target_col: str = config.TARGET_COL, bins: int = 10) -> DataFrame:
     """H2 for numeric features: per (feature, bin) bad, total, good, distributions, WoE, IV
     part and the feature's IV; empty bins are kept with zero counts.  Features with fewer than
     two distinct edges (constant) have no bins."""
-    binned, edges = numeric_bins(df, features, target_col, bins)
-    counts = binned.groupBy("feature", "bin").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("total"))
+    counts, edges = numeric_bins(df, features, target_col, bins)
     all_bins = (edges.filter(F.size("edges") >= 2)
                 .select("feature", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin")))
     full = (all_bins.join(counts, ["feature", "bin"], "left")

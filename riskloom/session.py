@@ -59,3 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame reused by several actions; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate that several branches of one plan read (e.g. a
+    (feature, value) histogram): it is computed once, written to the shared checkpoint folder
+    (reliable: survives executor loss) and every branch reads the written copy."""
+    ensure_checkpoint_dir(df.sparkSession, allow_local_default=True)
+    return df.checkpoint(eager=True)

@@ -2,7 +2,8 @@
 
 This only produces rows in the raw panel schema the engine expects (see
 FIXTURES.md section 5); no engine operator runs here.  Sums are taken in exact
-decimals so that every engine that follows the same mapping gets the same doubles.
+decimals (here: integer cents) so that every engine that follows the same mapping gets the
+same doubles.
 """
 from __future__ import annotations
 
@@ -13,11 +14,13 @@ from .tables import read_table
 
 
 def _per_order(li: DataFrame) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    # exact sums in integer cents (price) and cent x percent units (tax, discount): long
+    # arithmetic is exact and fast; the doubles derived below are correctly rounded from it
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return li.groupBy("l_orderkey").agg(
-        F.sum(price).alias("gross"),
-        F.sum(price * F.col("l_tax").cast("decimal(4,2)")).alias("tax"),
-        F.sum(price * F.col("l_discount").cast("decimal(4,2)")).alias("disc"),
+        F.sum(cents).alias("gross_c"),
+        F.sum(cents * F.round(F.col("l_tax") * 100).cast("long")).alias("tax_u"),
+        F.sum(cents * F.round(F.col("l_discount") * 100).cast("long")).alias("disc_u"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("bigint"))).alias("ret"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
         F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("dpct"),
@@ -43,14 +46,14 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.to_date(F.date_trunc("month", F.col("o_orderdate"))).alias("ym"),
         )
         .agg(
-            F.sum("gross").alias("gross"),
-            F.sum("tax").alias("tax"),
-            F.sum("disc").alias("disc"),
+            F.sum("gross_c").alias("gross_c"),
+            F.sum("tax_u").alias("tax_u"),
+            F.sum("disc_u").alias("disc_u"),
             F.sum("ret").alias("ret"),
             F.sum("qty").alias("qty"),
             F.sum("dpct").alias("dpct"),
             F.sum("n").alias("n"),
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("lim"),
+            F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("lim_c"),
             F.min(F.substring("o_orderpriority", 1, 1)).alias("q"),
             F.max(F.col("o_orderstatus") == "P").alias("pf"),
         )
@@ -59,8 +62,8 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = m.join(customer, m.k == customer.c_custkey).join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     k = F.col("k")
-    gross_d = F.col("gross").cast("double")
-    lim_d = F.col("lim").cast("double")
+    gross_d = F.col("gross_c").cast("double") / 100
+    lim_d = F.col("lim_c").cast("double") / 100
     q_d = F.col("q").cast("double")
     n_d = F.col("n").cast("double")
     return joined.select(
@@ -84,9 +87,9 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("qty") * 2).cast("double") / n_d).alias("pdn_current"),
         (k % 50 + 20).alias("pdn_initial"),
         ((F.col("dpct") * 4).cast("double") / n_d).alias("psk_current"),
-        F.col("tax").cast("double").alias("payment_sum_1m"),
-        F.col("disc").cast("double").alias("payment_sum_2m"),
-        ((F.col("tax") + F.col("disc")).cast("double") / 2).alias("payment_sum_3m"),
+        (F.col("tax_u").cast("double") / 10000).alias("payment_sum_1m"),
+        (F.col("disc_u").cast("double") / 10000).alias("payment_sum_2m"),
+        ((F.col("tax_u") + F.col("disc_u")).cast("double") / 10000 / 2).alias("payment_sum_3m"),
         F.coalesce(F.col("n"), F.lit(0)).alias("cnt_all_payments"),
         F.date_sub(F.col("ym"), (F.col("qty") % 120).cast("int")).alias("last_payment_date"),
         F.date_add(F.lit("1992-01-01").cast("date"), (k * 37 % 1000).cast("int")).alias("date_issued"),
