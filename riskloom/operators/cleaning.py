@@ -1,7 +1,7 @@
 """Typing, cleaning, portfolio filter, derived fields, last slice."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,21 +76,15 @@ def last_slice(df: DataFrame, key: str = "credit_id", date_col: str = "report_da
     """P5: one row per contract, the one with the latest report date (a missing date counts as
     the latest, like a pandas sort with NaN last).
 
-    Built as a grouped ``max_by`` rather than a window: the aggregate is combined map-side,
-    so a contract with a huge history is reduced before the shuffle instead of being sorted
-    in one task.  Exact duplicates of (key, date) resolve by a hash of the whole row, so the
-    choice is deterministic.
-    """
+    ``row_number() == 1`` over the contract: Spark plans it with a partial WindowGroupLimit that
+    keeps one row per contract in every map task before the shuffle, so even a contract holding
+    a large share of the rows reaches the exchange as one row per input split.  Exact duplicates
+    of (key, date) resolve by a hash of the whole row, so the choice is deterministic."""
     if key not in df.columns or date_col not in df.columns:
         return df
-    cols = df.columns
-    order = F.struct(
-        F.col(date_col).isNull().alias("_null_date"),
-        F.col(date_col).alias("_date"),
-        F.xxhash64(*[F.col(c) for c in cols]).alias("_tie"),
-    )
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r"))
-    return picked.select(*[F.col("_r")[c].alias(c) for c in cols])
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    w = Window.partitionBy(key).orderBy(F.col(date_col).desc_nulls_first(), tie.desc())
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def prepare_panel(raw: DataFrame, *, last_slice_only: bool = False, filter_sold_forgiven: bool = True) -> DataFrame:
