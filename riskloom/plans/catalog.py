@@ -983,3 +983,68 @@ def q_stream_scoring(spark, sf_dir):
     scoring.run_scoring_stream(spark, os.path.join(root, "src"), raw.schema, os.path.join(root, "sink"),
                                os.path.join(root, "ckpt"))
     return joined(spark.read.parquet(os.path.join(root, "sink")), "rules_triggered", "recommendations")
+
+
+@register("client_card", O.scored("last_slice", """
+SELECT r.credit_id, r.report_date_as_of, r.total_debt, r.dpd, r.pdn_current, h.n_history, h.first_report_date,
+       r.risk_score, r.zone
+FROM recommended r
+JOIN (SELECT credit_id, COUNT(*) AS n_history, MIN(report_date_as_of) AS first_report_date
+      FROM labelled GROUP BY credit_id) h ON h.credit_id = r.credit_id"""))
+def q_client_card(spark, sf_dir):
+    """V4: every contract's card - latest snapshot, history length and start, score and zone."""
+    panel = labelled(spark, sf_dir)
+    scored = ews.score_and_zone(ews.formula_score(cleaning.last_slice(panel)))
+    card = portfolio.client_card(panel, scored)
+    return card.select("credit_id", "report_date_as_of", "total_debt", "dpd", "pdn_current", "n_history",
+                       "first_report_date", "risk_score", "zone")
+
+
+@register("screening_shortlist", _feat_sql(*_woe_ctes(), body=f"""
+SELECT w.feature, round(w.iv, {STAT}) AS iv,
+       CASE WHEN w.iv <= 0.02 THEN 'unpredictive' WHEN w.iv <= 0.1 THEN 'weak' WHEN w.iv <= 0.3 THEN 'medium'
+            WHEN w.iv <= 0.5 THEN 'strong' WHEN w.iv > 0.5 THEN 'suspicious' END AS strength
+FROM (SELECT DISTINCT feature, iv FROM woe) w
+JOIN (SELECT feature FROM (
+        SELECT feature, abs(corr(r, y)) AS a FROM (
+          SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x)
+                             + (COUNT(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM scr_long)
+        GROUP BY feature)
+      ORDER BY a DESC NULLS LAST, feature LIMIT 10) t ON t.feature = w.feature
+ORDER BY w.iv DESC, w.feature LIMIT 5"""))
+def q_screening_shortlist(spark, sf_dir):
+    """L4: top 10 screened features by |Spearman|, then the top 5 of them by IV."""
+    return rounded(screening.shortlist(featured(spark, sf_dir), SCREEN_FEATURES, n_corr=10, n_iv=5), {"iv": STAT})
+
+
+@register("drift_verdict")
+def q_drift_verdict(spark, sf_dir):
+    """X6 + X7: drift job between the two periods (last slice of each side, no rolling features,
+    current default flag, formula score): feature drift, score PSI, AUC on both sides, verdict."""
+    raw = raw_panel(spark, sf_dir)
+    cut = F.lit(DRIFT_CUTOFF).cast("date")
+    v = jobs.drift_job(raw.filter(F.col("report_date_as_of") < cut), raw.filter(F.col("report_date_as_of") >= cut),
+                       DRIFT_NUM, DRIFT_CAT)
+    s = v["summary"]
+    return spark.createDataFrame(
+        [(bool(v["needs_retrain"]), v["score_psi"], v["auc_reference"], v["auc_current"], s["features_drifted"],
+          s["features_total"], s["pct_drifted"])],
+        "needs_retrain boolean, score_psi double, auc_reference double, auc_current double, features_drifted long, "
+        "features_total long, pct_drifted double")
+
+
+@register("dashboard_marts")
+def q_dashboard_marts(spark, sf_dir):
+    """S3: the three dashboard marts are written (zstd parquet, panel partitioned by month) under
+    the checkpoint folder; the scored mart is read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    out = os.path.join(ensure_checkpoint_dir(spark, allow_local_default=True), f"marts-{uuid.uuid4().hex}")
+    paths = jobs.build_marts(raw_panel(spark, sf_dir), out)
+    return joined(spark.read.parquet(paths["scored"]), "rules_triggered", "recommendations")
+
+
+@register("panel_sample")
+def q_panel_sample(spark, sf_dir):
+    """Uniform 10 % sample of the prepared panel with a fixed seed (the sampling operator)."""
+    return prepared(spark, sf_dir).sample(withReplacement=False, fraction=0.1, seed=config.RANDOM_STATE)
