@@ -176,7 +176,7 @@ def _sample_cuts(keys: DataFrame, buckets: int, seed: int = 42) -> list:
 
 
 def row_positions(df: DataFrame, order: list[tuple[str, bool]], buckets: int | None = None,
-                  pos_col: str = "_pos") -> DataFrame:
+                  pos_col: str = "_pos", keep_bucket: bool = False) -> DataFrame:
     """0-based global row position under ``order`` = [(column, descending), ...] (the last
     columns should make the order unique).  Rows are cut into ranges at sampled key tuples,
     numbered inside each range in parallel, and shifted by the sizes of all lower ranges."""
@@ -196,6 +196,7 @@ def row_positions(df: DataFrame, order: list[tuple[str, bool]], buckets: int | N
         Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     w = Window.partitionBy("_bucket").orderBy("_key")
-    return (keyed.join(small_broadcast(offsets, buckets), "_bucket")
-            .withColumn(pos_col, F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_key", "_bucket", "_off"))
+    out = (keyed.join(small_broadcast(offsets, buckets), "_bucket")
+           .withColumn(pos_col, F.col("_off") + F.row_number().over(w) - 1)
+           .drop("_key", "_off"))
+    return out if keep_bucket else out.drop("_bucket")

@@ -401,6 +401,16 @@ def q_feature_set(spark, sf_dir):
     return features.feature_set(labelled(spark, sf_dir)).select("credit_id", "report_date_as_of", *FEATURE_NAMES)
 
 
+@register("feature_set_ranged", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FEATURE_SQL,
+                                            body=f"SELECT credit_id, report_date_as_of, {', '.join(FEATURE_NAMES)} FROM features"))
+def q_feature_set_ranged(spark, sf_dir):
+    """F11 with the skew-safe plan: rolling features over balanced key ranges with halo rows, so a
+    contract holding a large share of the rows is split across tasks (same results as feature_set)."""
+    df = features.pdn_features(labelled(spark, sf_dir)).transform(features.payment_features).transform(
+        features.dpd_features)
+    return features.rolling_features_ranged(df).select("credit_id", "report_date_as_of", *FEATURE_NAMES)
+
+
 FORWARD_SQL = f"""
 forward AS (
   SELECT *,

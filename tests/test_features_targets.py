@@ -116,3 +116,21 @@ def test_one_exchange_for_all_contract_windows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(credit_id") == 1
     assert plan.count("Sort [credit_id") == 1
+
+
+def test_ranged_rolling_equals_contract_windows_with_hot_contract(spark):
+    from pyspark.sql import functions as F
+    from conftest import SF001
+    from riskloom.operators import cleaning
+    from riskloom.sources.fixture import raw_panel
+    panel = cleaning.prepare_panel(raw_panel(spark, SF001))
+    # make one contract hot: replicate its history many times (distinct rows via a date shift)
+    hot = panel.filter(F.col("credit_id") == panel.select(F.min("credit_id")).first()[0])
+    copies = hot.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn(
+        "report_date_as_of", F.col("report_date_as_of") + F.expr("make_interval(0, 0, 0, 0, 0, 0, _k)")).drop("_k")
+    df = panel.unionByName(copies)
+    cols = [c for c in features.rolling_features(df).columns]
+    a = features.rolling_features(df).select(*cols)
+    b = features.rolling_features_ranged(df, buckets=9).select(*cols)
+    assert b.count() == df.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
