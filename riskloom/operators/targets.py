@@ -77,3 +77,27 @@ def pre_default_trajectory(df: DataFrame, feature: str = "total_debt", months_be
     med = ranks.exact_quantiles(aligned.withColumnRenamed("_t", "t"), ["t"], feature, [0.5],
                                 n_groups_bound=months_before + 1)
     return stats.join(med, "t", "left").select("t", "mean", F.col("quantiles")[0].alias("median"), "count")
+
+
+def forward_target_monthly(df: DataFrame, horizon_months: int = config.FORWARD_HORIZON_MONTHS,
+                           target_col: str = config.FORWARD_TARGET_COL,
+                           valid_mask_col: str = config.VALID_MASK_COL,
+                           key: str = "credit_id", date_col: str = "report_date_as_of") -> DataFrame:
+    """T2 + T3 with the same results as ``forward_target`` for panels with hot contracts: the flag
+    is first reduced to one row per (contract, calendar month) - combined map-side, at most one
+    row per month of a contract's life however many rows it has - the range window runs on that,
+    and the result is joined back on (contract, month)."""
+    if key not in df.columns or date_col not in df.columns:
+        raise ValueError(f"forward_target needs {key} and {date_col}")
+    if config.TARGET_COL not in df.columns:
+        df = default_flag(df)
+    df = with_month_index(df, date_col)
+    monthly = (df.filter(F.col(MONTH_COL).isNotNull())
+               .groupBy(key, MONTH_COL).agg(F.max(config.TARGET_COL).alias("_ymax"), F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy(key).orderBy(F.col(MONTH_COL)).rangeBetween(1, horizon_months)
+    fwd = monthly.select(key, MONTH_COL, F.max("_ymax").over(w).alias("_fmax"), F.sum("_n").over(w).alias("_fn"))
+    out = df.join(fwd, [key, MONTH_COL], "left")
+    return out.withColumns({
+        target_col: F.coalesce(F.col("_fmax"), F.lit(0)).cast("int"),
+        valid_mask_col: F.coalesce(F.col("_fn") > 0, F.lit(False)),
+    }).drop("_fmax", "_fn")

@@ -430,6 +430,14 @@ def q_forward_target(spark, sf_dir):
         "credit_id", "report_date_as_of", "default_target", "default_future", "has_future_obs")
 
 
+@register("forward_target_monthly", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, body="""
+SELECT credit_id, report_date_as_of, default_target, default_future, has_future_obs FROM forward"""))
+def q_forward_target_monthly(spark, sf_dir):
+    """T2 + T3 via the per-(contract, month) reduction (skew-safe plan; same results as forward_target)."""
+    return targets.forward_target_monthly(labelled(spark, sf_dir)).select(
+        "credit_id", "report_date_as_of", "default_target", "default_future", "has_future_obs")
+
+
 TRAJ_SQL = f"""
 traj_rows AS (
   SELECT t, total_debt FROM (

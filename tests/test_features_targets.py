@@ -134,3 +134,16 @@ def test_ranged_rolling_equals_contract_windows_with_hot_contract(spark):
     b = features.rolling_features_ranged(df, buckets=9).select(*cols)
     assert b.count() == df.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_monthly_forward_target_equals_window_version(spark):
+    from pyspark.sql import functions as F
+    df, rows = _history(spark)
+    # duplicate rows inside months (a hot contract) and a missing date
+    extra = spark.createDataFrame([(1, dt.datetime(2020, 4, 20), 1.0, 99.0), (1, None, 1.0, 99.0)],
+                                  "credit_id long, report_date_as_of timestamp_ntz, total_debt double, dpd double")
+    df = df.unionByName(extra).unionByName(df.filter(F.col("credit_id") == 1))
+    cols = ["credit_id", "report_date_as_of", "total_debt", "dpd", "default_future", "has_future_obs"]
+    a = targets.forward_target(df).select(*cols)
+    b = targets.forward_target_monthly(df).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
