@@ -643,7 +643,7 @@ JOIN (SELECT feature, edge, row_number() OVER (PARTITION BY feature ORDER BY edg
 def q_woe_iv_table(spark, sf_dir):
     """H2: WoE / IV tables of all screened features by exact decile bins."""
     t = screening.woe_iv(featured(spark, sf_dir), SCREEN_FEATURES)
-    return rounded(t.withColumnRenamed("woe", "woe"), {"woe": STAT, "iv_part": STAT, "iv": STAT})
+    return rounded(t, {"woe": STAT, "iv_part": STAT, "iv": STAT})
 
 
 @register("iv_ranking", _feat_sql(*_woe_ctes(), body=f"""
