@@ -63,11 +63,12 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, _, (hashes, _, _) in _rows(batch, width):
-                total += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                cells, times = np.unique((hashes >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                total[cells] += times.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
     def add(x, y):
-        return np.minimum(x.astype(np.uint64) + y, np.uint64(2**32 - 1)).astype(np.uint32)
+        return x + np.minimum(y, ~x)  # stays at the largest count instead of overflowing
 
     got = _sum_bytes(texts.mapInArrow(count, "counts binary"), "counts", np.uint32, add)
     return np.zeros(1 << bits, np.uint32) if got is None else got

@@ -15,8 +15,9 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _PLACE = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LETTER[_SPACE] = 0
+_LETTER_LOWER = _LETTER.copy()
+_LETTER_LOWER[65:91] = _LETTER[97:123]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -36,7 +37,7 @@ def places(n: int) -> np.ndarray:
     return _PLACE[:n]
 
 
-def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole rows with about ``limit`` bytes; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -74,13 +75,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(total) - np.repeat(begin, lengths)
-    letters = data[np.repeat(starts, lengths) + place]
-    if lower:
-        letters = _LOWER[letters]
-    sums = np.add.reduceat(_LETTER[letters] * places(int(lengths.max()))[place], begin)
+    begin = starts - starts[0]
+    data = data[starts[0]:]
+    gaps = np.diff(begin, append=len(data))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(begin.astype(np.int32), gaps)
+    np.minimum(place, np.int32(lengths.max()), out=place)
+    value = (_LETTER_LOWER if lower else _LETTER)[data]
+    value *= places(int(lengths.max()) + 1)[place]
+    sums = np.add.reduceat(value, begin)
     return mix(sums + lengths.astype(np.uint64))
 
 
