@@ -32,7 +32,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces = Pieces(self.piece, REMEMBERED_PIECES)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.widest = max(map(len, ranks))
         self.shorter: dict[int, int | None] = {}
@@ -93,12 +93,18 @@ class ByteBpe:
         return self.shorter[token]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        if data in self.ranks and (whole := self.ranks[data]) is not None and data.decode("latin-1") in self.automaton:
-            return [whole]
+        """Longest matches from the left; from the first pair that does not fit on, the next shorter token is tried,
+        and without one the token before is taken back.  A place left so is closed."""
         text, size = data.decode("latin-1"), len(data)
-        closed = bytearray(size + 1)
-        out: list[int] = []
-        at, token = 0, self.longest(text, 0)
+        out = [rank for _, rank in self.automaton.iter_long(text)]
+        fits = self.fits
+        wrong = 1
+        while wrong < len(out) and (fits.get((out[wrong - 1], out[wrong])) or self.compatible(out[wrong - 1], out[wrong])):
+            wrong += 1
+        if wrong >= len(out):
+            return out
+        token, out = out[wrong], out[:wrong]
+        at, closed = sum(len(self.bytes_of[i]) for i in out), bytearray(size + 1)
         while True:
             end = at + len(self.bytes_of[token])
             if not closed[end] and (not out or self.compatible(out[-1], token)):
@@ -121,25 +127,38 @@ class ByteBpe:
     def piece(self, text: str) -> tuple[int, str, bytes]:
         """(number of ids, ids joined by commas, bytes decoded from the ids) of one piece."""
         ids = self.encode_piece(text.encode())
-        found = len(ids), ",".join(map(str, ids)), self.decode(ids)
-        if len(text) <= LONG_PIECE:
-            if len(self.pieces) >= REMEMBERED_PIECES:
-                self.pieces.clear()
-            self.pieces[text] = found
-        return found
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def text(self, text: str) -> tuple[int, str, bytes]:
-        known = self.pieces
-        found = [known.get(p) or self.piece(p) for p in self.split(text)]
+        found = list(map(self.pieces.__getitem__, self.split(text)))
         if not found:
             return 0, "", b""
         counts, ids, data = zip(*found)
         return sum(counts), ",".join(ids), b"".join(data)
 
 
+class Pieces(dict):
+    """What a function gives for the pieces met last: two generations, the older one dropped when the newer is full."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.older = make, bound // 2, {}
+
+    def __missing__(self, text: str):
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= LONG_PIECE:
+            if len(self) >= self.bound:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}

@@ -57,7 +57,11 @@ def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, n
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every run of bytes that are not white space; no word crosses rows."""
-    ink = ~_SPACE[data]
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of marked bytes; none crosses rows."""
     first, last = ink.copy(), ink.copy()
     if len(ink):
         first[1:] &= ~ink[:-1]
