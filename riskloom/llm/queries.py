@@ -59,3 +59,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     found = identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal data replaced by format-preserving pseudonyms, and what was found where."""
+    from .pii import pseudonymize
+
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), b"pseudonyms of the registered query")
+    return out.withColumn("n_found", F.size("pii"))
