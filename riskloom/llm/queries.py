@@ -68,3 +68,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), b"pseudonyms of the registered query")
     return out.withColumn("n_found", F.size("pii"))
+
+
+@register
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of every document in the mix of all sources."""
+    from .mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
