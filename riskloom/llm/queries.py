@@ -76,3 +76,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken
 
     return taken(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer products of every fiftieth vector with all others."""
+    from .topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
