@@ -41,8 +41,14 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in cols))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, unless their PYTHONPATH already has it."""
+    """Send this package to the executors once for each application, unless their PYTHONPATH already has it, and
+    hand rows to Python in batches of 4 MB, unless the application names a size: texts can be very long."""
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     sc = spark.sparkContext
     if top in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_riskloom_shipped", False):
