@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .store import Scratch, plain
+from .store import Scratch, plain, tree_sum
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 22          # 2^22 counters of 4 bytes: 16 MB, whatever the input
@@ -38,17 +38,6 @@ DEAL = 20_000             # groups of one shingle that are dealt to one task
 _NO_ID = -(1 << 62)       # rows without doc_id carry a key below this
 
 
-def _sum_bytes(df: DataFrame, column: str, dtype, add) -> np.ndarray | None:
-    """Element-wise sum of one zlib-packed array a row, in a tree over the executors."""
-    def merge(x, y):
-        out = add(np.frombuffer(zlib.decompress(x), dtype), np.frombuffer(zlib.decompress(y), dtype))
-        return zlib.compress(out.tobytes(), 1)
-    packed = df.select(column).rdd.map(lambda r: bytes(r[0]))
-    blank = zlib.compress(b"", 1)
-    total = packed.treeAggregate(blank, lambda x, y: y if x == blank else merge(x, y), lambda x, y: y if x == blank else x if y == blank else merge(x, y), 2)
-    return None if total == blank else np.frombuffer(zlib.decompress(total), dtype)
-
-
 def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     """(doc keys, sorted distinct (row, hash), n a row) for slices of a batch of (key, text)."""
     for at, raw, offsets in tb.text_slices(batch.column(1)):
@@ -70,7 +59,7 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
     def add(x, y):
         return x + np.minimum(y, ~x)  # stays at the largest count instead of overflowing
 
-    got = _sum_bytes(texts.mapInArrow(count, "counts binary"), "counts", np.uint32, add)
+    got = tree_sum(texts.mapInArrow(count, "counts binary"), "counts", np.uint32, add)
     return np.zeros(1 << bits, np.uint32) if got is None else got
 
 
@@ -130,7 +119,7 @@ def _wanted(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
             found[_bit(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(found).tobytes(), 1)], pa.binary())], ["bits"])
 
-    got = _sum_bytes(ids.mapInArrow(mark, "bits binary"), "bits", np.uint8, np.bitwise_or)
+    got = tree_sum(ids.mapInArrow(mark, "bits binary"), "bits", np.uint8, np.bitwise_or)
     return np.zeros((1 << bits) // 8, np.uint8) if got is None else got
 
 

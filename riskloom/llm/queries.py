@@ -84,3 +84,11 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_products
 
     return top_products(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from the labels outside the held-out fifth."""
+    from .quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
