@@ -92,3 +92,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written to indexed shards and read back by key."""
+    import public_tokenizers
+
+    from .token_shards import written_digests
+
+    return written_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
