@@ -102,3 +102,11 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import written_digests
 
     return written_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible text of every page, laid out."""
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
