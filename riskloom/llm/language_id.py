@@ -268,29 +268,42 @@ def _expected(scores: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> tuple[
     return p, pair.sum(0) if len(i) else np.zeros((k, k))
 
 
-def identify(documents: DataFrame, model: Crf | None) -> DataFrame:
+def identify(documents: DataFrame, model: Crf | None, keep: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``documents(doc_id, text)``: the language whose mean word
     probability is highest (ties: the smaller name), and that mean.  A null text, or one without a letter, or any
-    text without a model, gives ``und`` and 0.  Other columns are ignored; rows are kept as they come."""
+    text without a model, gives ``und`` and 0.  Other columns are ignored; rows are kept as they come.  With ``keep``
+    the result has all columns of ``documents`` and lang_pred and lang_score, which replace columns of that name."""
     text = F.col("text").cast("string")
-    source = plain(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.when(text.rlike("\\p{L}"), F.lower(text)).alias("text"))
+    readable = F.when(text.rlike("\\p{L}"), F.lower(text))
+    if keep:
+        found = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")) if model is None else _predicted(documents, model)(readable)
+        out = documents.drop("lang_pred", "lang_score").withColumn("_found", found)
+        return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "lang_score": F.col("_found.score")}).drop("_found")
+    source = plain(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), readable.alias("text"))
     if model is None:
         return source.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    return source.select("doc_id", _predicted(documents, model)(F.col("text")).alias("f")).select("doc_id", "f.lang_pred", "f.score")
+
+
+def _predicted(documents: DataFrame, model: Crf):
+    """A function of the lower-cased text column that gives struct(lang_pred, score), batch by batch."""
     shared = documents.sparkSession.sparkContext.broadcast(model)    # a fixed number of features times the languages
 
-    def run(batches):
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         crf = shared.value
         names = np.array([*crf.langs, "und"], dtype=object)
-        for batch in batches:
-            for at, raw, offsets in tb.text_slices(batch.column(1), 1 << 19):
-                n = len(offsets) - 1
-                sums, words = crf.documents(raw, offsets)
-                best = sums.argmax(1)
-                some = words > 0
-                score = np.where(some, np.minimum(1.0, sums[np.arange(n), best] / np.maximum(words, 1)), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(names[np.where(some, best, -1)], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+        langs, scores = [], []
+        for _, raw, offsets in tb.text_slices(texts, 1 << 19):
+            n = len(offsets) - 1
+            sums, count = crf.documents(raw, offsets)
+            best, some = sums.argmax(1), count > 0
+            langs.append(names[np.where(some, best, -1)])
+            scores.append(np.where(some, np.minimum(1.0, sums[np.arange(n), best] / np.maximum(count, 1)), 0.0))
+        flat = (np.concatenate(x) if x else np.array([], object) for x in (langs, scores))
+        return pa.StructArray.from_arrays([pa.array(next(flat), pa.string()), pa.array(next(flat), pa.float64())], ["lang_pred", "score"])
+
+    return predict
 
 
 def words(documents: DataFrame, model: Crf) -> DataFrame:

@@ -227,6 +227,15 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
 
 def first_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents`` that stay when one document of each component is kept: the one whose doc_id is the
-    component's id.  Documents without words, or without doc_id, all stay.  All columns are kept."""
-    found = jaccard_components(documents, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, documents["doc_id"] == found["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+    component's id, of rows that share a doc_id the one with the smallest text.  Documents without words, or without
+    doc_id, stay unless they repeat a doc_id.  All columns are kept."""
+    found = jaccard_components(documents, width, percent).select("doc_id", "component_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"))
+    again = Scratch(documents.sparkSession, "again").save(again, "ids")
+    if again.isEmpty():
+        return kept
+    many = kept["doc_id"] == again["_again"]
+    one = kept.join(again, many, "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return kept.join(again, many, "left_anti").unionByName(one.where("_turn = 1").drop("_turn"))
