@@ -35,7 +35,7 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 22          # 2^22 counters of 4 bytes: 16 MB, whatever the input
 FILTER_BITS = 23          # bits of the filter of documents to fetch: 1 MB, whatever the input
 DEAL = 20_000             # groups of one shingle that are dealt to one task
-_NO_ID = -(1 << 62)       # rows without doc_id carry a key below this
+_NO_ID = 1 << 62          # rows without doc_id carry a key from here on; doc_ids are below
 
 
 def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
@@ -166,7 +166,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
     texts = plain(documents, "doc_id", "text").select(key.alias("doc"), F.col("text").cast("string").alias("text"))
 
     counts = spark.sparkContext.broadcast(sketch(texts, width))
@@ -221,7 +221,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     found = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("component"))
     out = signed.select("doc", "n", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2"))
     out = out.join(found, ["h1", "h2"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
-    known = lambda c: F.when(F.col(c) > _NO_ID, F.col(c))
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
     return out.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
