@@ -222,13 +222,8 @@ EPS = 1e-6
 # settings of this build
 # --------------------------------------------------------------------------
 
-# PDN thresholds are percents while the data may hold fractions; scale the
-# column by this factor before the target / rule thresholds are applied.
-PDN_SCALE = 1.0
-
-# Below this many rows a single-task global window is cheaper than the
-# two-phase prefix sum; above it the distributed variant is always used.
-SMALL_GLOBAL_ORDER_ROWS = 0
+# Columns that decide between rows of one contract and date, in this order.
+TIE_COLS = ("total_debt", "available_limit", "payment_sum_1m", "dpd", "borrower_id")
 
 # Size bound for broadcasting a derived side (bytes); every broadcast of a
 # data-dependent side is checked against it.

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value of the two-sample KS statistic: Kolmogorov's series
     Q(l) = 2 sum_k (-1)^(k-1) exp(-2 k^2 l^2) at l = D sqrt(n1 n2 / (n1 + n2)), clipped to [0, 1]."""
-    lam = d * F.sqrt(n1 * n2 / (n1 + n2))
+    lam = d * F.sqrt(F.try_divide(n1 * n2, n1 + n2))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
         lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
@@ -25,7 +25,8 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
 
 
 def _gammaincc(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x) (series below a + 1, continued fraction above)."""
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, continued fraction above,
+    each until its terms no longer count (their number grows with the square root of a)."""
     if x is None or a is None or math.isnan(x) or x < 0 or a <= 0:
         return float("nan")
     if x == 0:
@@ -33,19 +34,18 @@ def _gammaincc(a: float, x: float) -> float:
     gln = math.lgamma(a)
     if x < a + 1:
         ap, total, delta = a, 1.0 / a, 1.0 / a
-        for _ in range(1000):
+        while abs(delta) >= abs(total) * 1e-16:
             ap += 1
             delta *= x / ap
             total += delta
-            if abs(delta) < abs(total) * 1e-15:
-                break
         return max(0.0, 1.0 - total * math.exp(-x + a * math.log(x) - gln))
     tiny = 1e-300
     b = x + 1 - a
     c = 1 / tiny
     d = 1 / b
-    h = d
-    for i in range(1, 1000):
+    h, i, delta = d, 0, 0.0
+    while abs(delta - 1) >= 1e-15:
+        i += 1
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -55,8 +55,6 @@ def _gammaincc(a: float, x: float) -> float:
         d = 1 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
     return math.exp(-x + a * math.log(x) - gln) * h
 
 

@@ -27,7 +27,7 @@ def cast_types(df: DataFrame) -> DataFrame:
             out[c] = finite_or_null(F.expr(f"try_cast(`{c}` AS double)"))
     for c in config.FLAG_COLS:
         if c in present:
-            out[c] = F.coalesce(F.expr(f"try_cast(`{c}` AS double)").cast("int"), F.lit(0))
+            out[c] = F.coalesce(finite_or_null(F.expr(f"try_cast(`{c}` AS double)")).try_cast("int"), F.lit(0))
     for c in config.CATEGORICAL_COLS:
         if c in present:
             out[c] = F.coalesce(F.col(c).cast("string"), F.lit(config.UNKNOWN))
@@ -78,12 +78,13 @@ def last_slice(df: DataFrame, key: str = "credit_id", date_col: str = "report_da
 
     ``row_number() == 1`` over the contract: Spark plans it with a partial WindowGroupLimit that
     keeps one row per contract in every map task before the shuffle, so even a contract holding
-    a large share of the rows reaches the exchange as one row per input split.  Exact duplicates
-    of (key, date) resolve by a hash of the whole row, so the choice is deterministic."""
+    a large share of the rows reaches the exchange as one row per input split.  Rows that repeat
+    (key, date) resolve by ``config.TIE_COLS``, a short fixed list, so that a query that needs few
+    columns reads few; rows that agree in those as well are taken as the same observation."""
     if key not in df.columns or date_col not in df.columns:
         return df
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    w = Window.partitionBy(key).orderBy(F.col(date_col).desc_nulls_first(), tie.desc())
+    ties = [F.col(c).desc_nulls_last() for c in config.TIE_COLS if c in df.columns]
+    w = Window.partitionBy(key).orderBy(F.col(date_col).desc_nulls_first(), *ties)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 

@@ -78,7 +78,7 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, features: list[str],
     tot = hist.groupBy("feature").agg(F.sum("nr").alias("_n1"), F.sum("nc").alias("_n2"))
     d = (cum.join(ranks.small_broadcast(tot, len(features)), "feature")
          .groupBy("feature", "_n1", "_n2")
-         .agg(F.max(F.abs(F.col("cum_nr") / F.col("_n1") - F.col("cum_nc") / F.col("_n2"))).alias("d")))
+         .agg(F.max(F.abs(F.try_divide(F.col("cum_nr"), F.col("_n1")) - F.try_divide(F.col("cum_nc"), F.col("_n2")))).alias("d")))
     ok = (F.col("_n1") >= 2) & (F.col("_n2") >= 2)
     return d.select("feature", F.when(ok, F.col("d")).alias("ks_stat"),
                     F.when(ok, ks_pvalue(F.col("d"), F.col("_n1").cast("double"), F.col("_n2").cast("double")))

@@ -3,8 +3,9 @@ trees, time-ordered split, expanding-window CV, importance, scoring, persistence
 
 Preprocessing (D1): numeric columns are median-imputed and scaled by their standard deviation
 without centring; categorical columns are mode-imputed, categories below 1 % of the training
-rows are pooled into one "infrequent" level and categories never seen in training encode to
-all zeros (StringIndexer keep + OneHotEncoder dropLast).
+rows are pooled into one "infrequent" level.  A category never seen in training counts as
+infrequent too, so that no model has to carry the list of rare values; if training had no
+infrequent one it encodes to all zeros (StringIndexer keep + OneHotEncoder dropLast).
 """
 from __future__ import annotations
 
@@ -29,10 +30,10 @@ WEIGHT = "_class_weight"
 
 @dataclass
 class CategoryMaps:
-    """Fitted mode and frequent / infrequent levels of every categorical column."""
+    """Fitted mode and frequent levels of every categorical column, and whether it has others."""
     mode: dict = field(default_factory=dict)
     frequent: dict = field(default_factory=dict)
-    infrequent: dict = field(default_factory=dict)
+    pools: dict = field(default_factory=dict)
 
 
 def fit_category_maps(df: DataFrame, cat_cols: list[str], min_share: float = config.RARE_CATEGORY_SHARE) -> CategoryMaps:
@@ -44,28 +45,31 @@ def fit_category_maps(df: DataFrame, cat_cols: list[str], min_share: float = con
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
                                          for c in cat_cols])).alias("kv")).select("kv.col", "kv.v")
     counts = long.filter(F.col("v").isNotNull()).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["col"]: r["n"] for r in long.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = counts.collect()
+    totals = {r["col"]: r for r in long.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("known")).collect()}
+    # the most frequent value of each column, and the values above the share: 1 / min_share a column at most
+    modes = {r["col"]: r["m"]["v"] for r in counts.groupBy("col").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("v"))).alias("m")).collect()}
+    limit = F.create_map(*(F.lit(x) for c, r in totals.items() for x in (c, float(min_share * r["n"]))))
+    imputed = F.create_map(*(F.lit(x) for c, r in totals.items() for x in (c, r["n"] - r["known"])))
+    top = F.create_map(*(F.lit(x) for c in totals for x in (c, modes.get(c))))
+    # the imputed mode also counts towards the frequency of that level
+    n = F.col("n") + F.when(F.col("v") == top[F.col("col")], imputed[F.col("col")]).otherwise(F.lit(0))
+    frequent = counts.where(n >= limit[F.col("col")]).select("col", "v").collect() if totals else []
     for c in cat_cols:
-        mine = sorted(((r["v"], r["n"]) for r in rows if r["col"] == c), key=lambda t: (-t[1], t[0]))
-        maps.mode[c] = mine[0][0] if mine else None
-        # the imputed mode also counts towards the frequency of that level
-        n_missing = totals.get(c, 0) - sum(n for _, n in mine)
-        freq = {v: n + (n_missing if v == maps.mode[c] else 0) for v, n in mine}
-        thr = min_share * totals.get(c, 0)
-        maps.frequent[c] = sorted(v for v, n in freq.items() if n >= thr)
-        maps.infrequent[c] = sorted(v for v, n in freq.items() if n < thr)
+        maps.mode[c] = modes.get(c)
+        maps.frequent[c] = sorted(r["v"] for r in frequent if r["col"] == c)
+        known = totals[c]["known"] if c in totals else 0
+        maps.pools[c] = bool(known) and not counts.where((F.col("col") == c) & ~F.col("v").isin(*maps.frequent[c])).isEmpty()
     return maps
 
 
 def apply_category_maps(df: DataFrame, maps: CategoryMaps) -> DataFrame:
-    """Mode-impute and pool: frequent levels stay, seen infrequent ones become one level, unseen
-    ones become NULL (encoded as all zeros)."""
+    """Mode-impute and pool: frequent levels stay, all others become one level if the training rows
+    had any, else NULL (encoded as all zeros).  Rare levels are never listed: a column may have
+    millions of them."""
     out = {}
     for c, mode in maps.mode.items():
         v = F.coalesce(F.col(c).cast("string"), F.lit(mode))
-        out[f"{c}__cat"] = (F.when(v.isin(*maps.frequent[c]), v)
-                            .when(v.isin(*maps.infrequent[c]) if maps.infrequent[c] else F.lit(False), F.lit(INFREQUENT)))
+        out[f"{c}__cat"] = F.when(v.isin(*maps.frequent[c]), v).when(v.isNotNull() & F.lit(maps.pools[c]), F.lit(INFREQUENT))
     return df.withColumns(out) if out else df
 
 
@@ -84,7 +88,7 @@ def _classifier(model_type: str, n_rows: int, params: dict | None = None):
     p = dict(params or {})
     if model_type == "logreg":
         return LogisticRegression(featuresCol="features", labelCol="_label", weightCol=WEIGHT,
-                                  maxIter=p.get("maxIter", 200), regParam=p.get("regParam", 1.0 / max(n_rows, 1)),
+                                  maxIter=p.get("maxIter", 2000), regParam=p.get("regParam", 1.0 / max(n_rows, 1)),
                                   elasticNetParam=0.0, standardization=False)
     if model_type == "gbt":
         return GBTClassifier(featuresCol="features", labelCol="_label", weightCol=WEIGHT,
@@ -170,9 +174,10 @@ def predict_proba(model: CreditModel, df: DataFrame, out_col: str = "risk_score"
 
 def time_split(df: DataFrame, time_col: str = "report_date_as_of", key: str = "credit_id",
                test_size: float = config.TEST_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Order by time (``key`` breaks ties), first (1 - test_size) of the rows train, the rest
-    test.  The global position comes from the distributed row-position helper."""
-    pos = ranks.row_positions(df, [(time_col, False), (key, False)], pos_col="_split_pos")
+    """Order by time (``key``, then a hash of the row, break ties), first (1 - test_size) of the
+    rows train, the rest test.  The global position comes from the distributed row-position helper."""
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    pos = ranks.row_positions(tied, [(time_col, False), (key, False), ("_tie", False)], pos_col="_split_pos").drop("_tie")
     n = df.count()
     cut = int(n * (1 - test_size))
     return (pos.filter(F.col("_split_pos") < cut).drop("_split_pos"),
@@ -196,7 +201,8 @@ def train_model(df: DataFrame, num_cols: list[str], cat_cols: list[str], label:
     train, test = keep(train), keep(test)
     cv_scores = []
     if cv and n_folds > 1:
-        pos = keep(ranks.row_positions(train, [(time_col, False), (key, False)], pos_col="_cv_pos"))
+        tied = train.withColumn("_tie", F.xxhash64(*[F.col(c) for c in train.columns]))
+        pos = keep(ranks.row_positions(tied, [(time_col, False), (key, False), ("_tie", False)], pos_col="_cv_pos").drop("_tie"))
         n = pos.count()
         fold = n // (n_folds + 1)
 
@@ -229,6 +235,9 @@ def train_model(df: DataFrame, num_cols: list[str], cat_cols: list[str], label:
 
 def _fit(train: DataFrame, num_cols, cat_cols, label, model_type, params) -> CreditModel:
     from ..session import keep
+    # an input without any value has no median: it is left out of this fit
+    known = train.agg(*[F.count(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), 1)).alias(c) for c in num_cols]).first() if num_cols else {}
+    num_cols = [c for c in num_cols if known[c]]
     maps = fit_category_maps(train, cat_cols)
     prepared = class_weights(apply_category_maps(train, maps), "_label" if "_label" in train.columns else label)
     if "_label" not in prepared.columns:
@@ -252,6 +261,16 @@ def encoded_feature_names(model: CreditModel) -> list[str]:
     return names
 
 
+def encoded_feature_sources(model: CreditModel) -> list[str]:
+    """The input column behind every assembled vector slot."""
+    sources = list(model.numeric_features)
+    indexer = next((s for s in model.pipeline.stages if s.__class__.__name__ == "StringIndexerModel"), None)
+    if indexer is not None:
+        for c, labels in zip(model.categorical_features, indexer.labelsArray):
+            sources += [c] * len(labels)
+    return sources
+
+
 def feature_importance(model: CreditModel) -> list[tuple[str, float]]:
     """Tree importances or |coefficients| by encoded feature, highest first."""
     clf = model.pipeline.stages[-1]

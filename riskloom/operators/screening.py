@@ -94,16 +94,15 @@ def _strength(iv):
 
 
 def _woe_from_counts(counts: DataFrame) -> DataFrame:
-    """counts(feature, bin..., bad, total) -> WoE table with per-feature totals (window over the
-    bins of a feature: at most a few rows for numeric features)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("feature")
+    """counts(feature, bin..., bad, total) -> WoE table with per-feature totals: grouped sums, one
+    row a feature, joined back, so that a feature with very many values fills no task."""
     g = counts.withColumn("good", F.col("total") - F.col("bad"))
-    g = (g.withColumn("dist_good", F.col("good") / (F.sum("good").over(w) + 1e-9))
-         .withColumn("dist_bad", F.col("bad") / (F.sum("bad").over(w) + 1e-9)))
+    sums = g.groupBy("feature").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
+    g = (g.join(sums, "feature").withColumn("dist_good", F.col("good") / (F.col("_good") + 1e-9))
+         .withColumn("dist_bad", F.col("bad") / (F.col("_bad") + 1e-9)).drop("_good", "_bad"))
     g = g.withColumn("woe", F.ln((F.col("dist_good") + 1e-9) / (F.col("dist_bad") + 1e-9)))
     g = g.withColumn("iv_part", (F.col("dist_good") - F.col("dist_bad")) * F.col("woe"))
-    return g.withColumn("iv", F.sum("iv_part").over(w))
+    return g.join(g.groupBy("feature").agg(F.sum("iv_part").alias("iv")), "feature")
 
 
 def numeric_bins(df: DataFrame, features: list[str], target_col: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:

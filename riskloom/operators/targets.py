@@ -58,17 +58,16 @@ def pre_default_trajectory(df: DataFrame, feature: str = "total_debt", months_be
     """T4: align every defaulting contract on its first default month (t = 0) and describe
     ``feature`` for t in [-months_before, 0]: mean, median, count of non-null values.
 
-    The first default month comes from a per-contract window minimum (the rows are already
-    partitioned by contract), so no join is needed; the final grouping is by t only, which
-    Spark pre-aggregates map-side.
+    The first default month is a grouped minimum over the defaulting rows (combined map-side: one
+    row a contract, however many rows it has) joined back; the final grouping is by t only.
     """
     need = {key, date_col, feature, config.TARGET_COL}
     if not need <= set(df.columns):
         return df.sparkSession.createDataFrame([], "t long, mean double, median double, count long")
     ym = month_index(F.col(date_col))
-    first = F.min(F.when(F.col(config.TARGET_COL) == 1, ym)).over(Window.partitionBy(key))
-    aligned = (df.select(key, date_col, feature, config.TARGET_COL)
-               .withColumn("_t", (ym - first).cast("long"))
+    first = df.filter(F.col(config.TARGET_COL) == 1).groupBy(key).agg(F.min(ym).alias("_first"))
+    aligned = (df.select(key, date_col, feature).join(first, key)
+               .withColumn("_t", (ym - F.col("_first")).cast("long"))
                .filter(F.col("_t").between(-months_before, 0)))
     stats = aligned.groupBy(F.col("_t").alias("t")).agg(
         F.avg(feature).alias("mean"),

@@ -838,6 +838,11 @@ def model_frame(spark, sf_dir):
     return _FRAMES[k]
 
 
+def newest_rows(spark, sf_dir):
+    """Each contract's newest row, with rolling features from its history."""
+    return cleaning.last_slice(featured(spark, sf_dir))
+
+
 def model_inputs(df):
     return cleaning.feature_columns(df)
 
@@ -925,34 +930,28 @@ def q_model_scores_last_slice(spark, sf_dir):
     """D9 + E2-E7: logistic-model probabilities on each contract's latest row (with rolling
     features from its history), rules, zones and recommendations."""
     m = trained(spark, sf_dir, "logreg")
-    panel = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
-    last_rows = cleaning.last_slice(panel)
-    return joined(ews.ews_scored(modeling.predict_proba(m, last_rows), with_recommendations=True),
+    return joined(ews.ews_scored(modeling.predict_proba(m, newest_rows(spark, sf_dir)), with_recommendations=True),
                   "rules_triggered", "recommendations")
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    """Permutation importance (5 repeats) of four raw inputs on the test rows."""
+    """Permutation importance (5 repeats) of every raw input on the test rows of the time split."""
     m = trained(spark, sf_dir, "logreg")
-    df = model_frame(spark, sf_dir)
-    return explain.permutation_importance(m, df, "default_future",
-                                          ["utilization", "days_since_last_payment", "months_on_book", "loan_program"])
+    _, test = modeling.time_split(model_frame(spark, sf_dir))
+    return explain.permutation_importance(m, test, "default_future")
 
 
 @register("linear_contributions")
 def q_linear_contributions(spark, sf_dir):
-    """Per contract (latest row) and encoded feature coef * (x - mean)."""
-    m = trained(spark, sf_dir, "logreg")
-    last_rows = cleaning.last_slice(model_frame(spark, sf_dir))
-    return explain.linear_contributions(m, last_rows)
+    """Per contract (its newest row) and encoded feature coef * (x - mean)."""
+    return explain.linear_contributions(trained(spark, sf_dir, "logreg"), newest_rows(spark, sf_dir))
 
 
 @register("explain_top5")
 def q_explain_top5(spark, sf_dir):
-    """Top five reasons per contract by |contribution|."""
-    m = trained(spark, sf_dir, "logreg")
-    return explain.explain_top(m, cleaning.last_slice(model_frame(spark, sf_dir)), 5)
+    """Top five reasons per contract (its newest row) by |contribution|, with the raw value."""
+    return explain.explain_top(trained(spark, sf_dir, "logreg"), newest_rows(spark, sf_dir), 5)
 
 
 @register("top_contributions")

@@ -4,20 +4,17 @@ DataFrames (``readStream`` -> ``score_records`` -> ``writeStream``).
 Per record: typing and derived fields (derived only where the inputs are present and the
 derived field itself is missing), row-wise features without rolling history, model probability
 (or the formula score when no model is given), rules, zone, recommendations and priority.  No
-state is kept, so no watermark is needed; sinks are append-only files with a checkpoint in the
-shared checkpoint folder, which makes restarts after executor or driver loss exactly-once.
+state is kept, so no watermark is needed; sinks are append-only files.  The checkpoint belongs to
+the sink: a second start into the same sink goes on where the first one ended, and each input
+file reaches the sink once.
 """
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import cleaning, ews, features
-from ..session import ensure_checkpoint_dir
 
 OUTPUT_COLS = ["credit_id", "report_date_as_of", "risk_score", "zone", "rules_triggered", "recommendations",
                "rules_weight_sum", "priority"]
@@ -53,9 +50,8 @@ def score_records(df: DataFrame, model=None, rules: list[dict] | None = None, zo
 def run_scoring_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                        checkpoint_dir: str | None = None, model=None, max_files_per_trigger: int = 64) -> None:
     """Run V1 over every file present in ``source_dir`` (``availableNow``) into parquet at
-    ``sink_dir``; the checkpoint lives under the shared checkpoint folder."""
-    ckpt = checkpoint_dir or os.path.join(ensure_checkpoint_dir(spark, allow_local_default=True),
-                                          f"scoring-{uuid.uuid4().hex}")
+    ``sink_dir``; the checkpoint is the folder named, or ``<sink_dir>.checkpoint``."""
+    ckpt = checkpoint_dir or f"{sink_dir.rstrip('/')}.checkpoint"
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     q = (score_records(stream, model)
