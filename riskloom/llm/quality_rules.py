@@ -9,6 +9,8 @@ as the columns added here.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,68 +28,74 @@ MAX_LOST_PERCENT = 50         # word characters that a kept document may lose
 BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "privacy policy", "terms of use", "terms of service",
                "cookie", "javascript", "lorem ipsum", "click here", "subscribe to", "sign up for")
 NAVIGATION = ("home", "menu", "next", "previous", "search", "log in", "login", "sign in", "sign up", "contact us", "about us", "back to top", "read more", "share")
-END_MARK = r"""[.!?:;…。"'”’»)\]][ \t\x0b\f\r]*$"""
+END_MARKS = tuple(""".!?:;…。"'”’»)]""")
 
 
-def _without(c: Column, chars: str) -> Column:
-    return F.translate(c, chars, "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+def _measured(line: Column) -> Column:
+    """What the rules read of a line, each found once."""
+    words = words_of(line)
+    return F.struct(line.alias("line"), words.alias("w"), F.regexp_count(line, F.lit("[#*$%&|<>]")).alias("symbols"))
 
 
-def bad_line(line: Column) -> Column:
-    """True for a line with a word that fails a punctuation, navigation or boilerplate rule."""
-    flat = F.lower(F.trim(F.translate(line, WHITE, " " * len(WHITE))))
-    ink = F.length(_without(line, WHITE))
-    n_words = F.size(words_of(line))
-    symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    shouts = F.regexp_count(line, F.lit("[!?]{2,}(?=[ \\t\\x0B\\f\\r]|$)"))
+def bad_line(x: Column, boiler: Column) -> Column:
+    """True for a measured line that fails a punctuation, navigation or boilerplate rule; ``boiler``: whether the
+    document has a boilerplate phrase at all."""
+    line, n_words = x["line"], F.size(x["w"])
+    doubled = line.contains("!!") | line.contains("??") | line.contains("!?") | line.contains("?!")
+    shouts = F.when(doubled, F.regexp_count(line, F.lit("[!?]{2,}(?=[ \\t\\x0B\\f\\r]|$)"))).otherwise(F.lit(0))
+    ended = F.substring(F.element_at(x["w"], -1), -1, 1).isin(*END_MARKS)
+    punctuation = (n_words < SHORT_LINE_WORDS) & ~ended | (100 * x["symbols"] > MAX_SYMBOL_PERCENT * x["ink"]) | (100 * shouts > MAX_SHOUT_PERCENT * n_words)
     separators = F.regexp_count(line, F.lit("[|»›•·]"))
-    punctuation = ~line.rlike(END_MARK) & (n_words < SHORT_LINE_WORDS) | (100 * symbols > MAX_SYMBOL_PERCENT * ink) | (100 * shouts > MAX_SHOUT_PERCENT * n_words)
-    navigation = (separators >= 3) & (100 * separators > MAX_SEPARATOR_PERCENT * n_words) | F.rtrim(F.translate(flat, ".:!", "   ")).isin(*NAVIGATION)
-    boilerplate = flat.rlike("|".join(BOILERPLATE))
+    flat = F.lower(F.trim(F.translate(line, WHITE, " " * len(WHITE))))
+    navigation = (separators >= 3) & (100 * separators > MAX_SEPARATOR_PERCENT * n_words)
+    navigation |= (n_words < SHORT_LINE_WORDS) & F.rtrim(F.translate(flat, ".:!", "   ")).isin(*NAVIGATION)
+    boilerplate = boiler & flat.rlike("|".join(BOILERPLATE))
     return punctuation | navigation | boilerplate
 
 
-def repeat_words(windows: Column, ordered: Column) -> Column:
-    """Words in windows found twice or more.  ``windows``: hashes of the 3-word windows; ``ordered``: sorted
-    (hash, position), read only if some hash occurs twice."""
+def repeat_words(ordered: Column) -> Column:
+    """Words in windows found twice or more, from the sorted (hash, position) of the 3-word windows."""
     last = F.size(ordered) - 1
-    at = lambda i: ordered[i]
-    again = F.filter(F.sequence(F.lit(0), last), lambda i: (i > 0) & (at(F.greatest(i - 1, F.lit(0)))["h"] == at(i)["h"]) | (i < last) & (at(F.least(i + 1, last))["h"] == at(i)["h"]))
-    covered = F.flatten(F.transform(again, lambda i: F.array(at(i)["p"], at(i)["p"] + 1, at(i)["p"] + 2)))
-    return F.when(F.size(windows) > F.size(F.array_distinct(windows)), F.size(F.array_distinct(covered))).otherwise(F.lit(0))
+    at = lambda i: F.get(ordered, i)
+    again = F.filter(F.sequence(F.lit(0), last), lambda i: F.coalesce(at(i - 1)["h"] == at(i)["h"], F.lit(False)) | F.coalesce(at(i + 1)["h"] == at(i)["h"], F.lit(False)))
+    return F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(at(i)["p"], at(i)["p"] + 1, at(i)["p"] + 2)))))
 
 
 def quality_rules(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, clean_text
-    (the surviving lines), n_lines_removed, lost_percent and kept.  Windows are compared by 64-bit hashes."""
+    (the surviving lines), n_lines_removed, lost_percent and kept.  Windows are compared by 64-bit hashes.
+
+    The text is split once, into the words of its lines; all else is counted from these."""
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    df = documents.withColumns({"_words": words_of(raw), "_lines": F.split(raw, "\n")})
-    inked = F.filter("_lines", lambda x: _without(x, WHITE) != "")
-    w = F.col("_words")
-    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+    low = F.lower(raw)
+    total = lambda array, field: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x[field])
+    df = documents.withColumns({
+        "_measured": F.filter(F.transform(F.split(raw, "\n"), _measured), lambda x: F.size(x["w"]) > 0),
+        "_boiler": reduce(Column.__or__, (low.contains(phrase) for phrase in BOILERPLATE))})
     df = df.withColumns({
-        "n_words": F.size(w).cast("long"), "word_chars": F.length(_without(raw, WHITE)).cast("long"),
-        "n_symbols": (F.length(raw) - F.length(_without(raw, SYMBOLS))).cast("long"), "_inked": inked,
-        "_windows": F.when(F.size(w) >= 3, hashed).otherwise(F.array().cast("array<bigint>")),
-        "_good": F.filter(inked, lambda x: ~bad_line(x))})
+        "_lines": F.transform("_measured", lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), x["symbols"].alias("symbols"), F.length(F.array_join(x["w"], "")).alias("ink"))),
+        "_hashes": F.transform(F.flatten(F.col("_measured.w")), lambda w: F.xxhash64(w))}).drop("_measured")
+    windows = F.transform("_hashes", lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)))
+    df = df.withColumns({
+        "n_words": F.size("_hashes").cast("long"), "word_chars": total("_lines", "ink"), "n_symbols": total("_lines", "symbols"),
+        "_windows": F.slice(windows, 1, F.greatest(F.size("_hashes") - 2, F.lit(0))),
+        "_good": F.filter("_lines", lambda x: ~bad_line(x, F.col("_boiler")))}).drop("_hashes", "_boiler")
     twice = F.size("_windows") > F.size(F.array_distinct("_windows"))
     pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     df = df.withColumns({
-        "n_dup_lines": (F.size("_inked") - F.size(F.array_distinct("_inked"))).cast("long"),
-        "_ordered": F.when(twice, pairs), "clean_text": F.array_join("_good", "\n"),
-        "n_lines_removed": (F.size("_inked") - F.size("_good")).cast("long")})
-    df = df.withColumns({
-        "n_repeat_words": F.when(F.col("_ordered").isNotNull(), repeat_words(F.col("_windows"), F.col("_ordered"))).otherwise(F.lit(0)).cast("long"),
-        "_left": F.length(_without(F.col("clean_text"), WHITE))})
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines.line"))).cast("long"),
+        "_ordered": F.when(twice, pairs), "clean_text": F.array_join("_good.line", "\n"),
+        "n_lines_removed": (F.size("_lines") - F.size("_good")).cast("long"), "_left": total("_good", "ink")}).drop("_windows", "_lines", "_good")
+    df = df.withColumn("n_repeat_words", F.when(F.col("_ordered").isNotNull(), repeat_words(F.col("_ordered"))).otherwise(F.lit(0)).cast("long"))
     df = df.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "lost_percent": F.when(F.col("word_chars") > 0, 100.0 * (F.col("word_chars") - F.col("_left")) / F.col("word_chars")).otherwise(F.lit(0.0))})
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("_left")) <= MAX_LOST_PERCENT * F.col("word_chars")))
-    return df.drop("_words", "_lines", "_inked", "_windows", "_good", "_ordered", "_left")
+    return df.drop("_ordered", "_left")
 
 
 def _quoted(values) -> str:
