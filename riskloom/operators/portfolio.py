@@ -177,16 +177,22 @@ def histogram(df: DataFrame, column: str, bins: int = 60, by: str | None = None)
         "count")
 
 
+HISTORY_COLS = ("dpd", "total_debt", "pdn_current", "payment_sum_1m")
+
+
 def client_card(panel: DataFrame, scored: DataFrame | None = None, credit_id=None) -> DataFrame:
-    """V4: per contract the latest snapshot, the number of history rows and the first report
-    date; with ``scored`` also score, zone, fired rules, recommendations and priority.  With
-    ``credit_id`` the scan is filtered first (parquet row groups are pruned)."""
+    """V4: per contract the latest snapshot, the number of history rows, the first report date and
+    ``history``, an array of (date, ``HISTORY_COLS``) ordered by date; with ``scored`` also score,
+    zone, fired rules, recommendations and priority.  With ``credit_id`` the scan is filtered first
+    (parquet row groups are pruned).  A card holds one contract's history: its months on book."""
     from .cleaning import last_slice
+    fields = [c for c in HISTORY_COLS if c in panel.columns]
     if credit_id is not None:
         panel = panel.filter(F.col("credit_id") == credit_id)
         scored = scored.filter(F.col("credit_id") == credit_id) if scored is not None else None
     span = panel.groupBy("credit_id").agg(F.count(F.lit(1)).alias("n_history"),
-                                          F.min("report_date_as_of").alias("first_report_date"))
+                                          F.min("report_date_as_of").alias("first_report_date"),
+                                          F.sort_array(F.collect_list(F.struct("report_date_as_of", *fields))).alias("history"))
     card = last_slice(panel).join(span, "credit_id")
     if scored is not None:
         keep = [c for c in ["credit_id", "risk_score", "zone", "rules_triggered", "recommendations", "priority"]
@@ -195,9 +201,7 @@ def client_card(panel: DataFrame, scored: DataFrame | None = None, credit_id=Non
     return card
 
 
-def client_history(panel: DataFrame, credit_id,
-                   cols: tuple[str, ...] = ("report_date_as_of", "total_debt", "dpd", "pdn_current",
-                                            "payment_sum_1m")) -> DataFrame:
+def client_history(panel: DataFrame, credit_id, cols: tuple[str, ...] = ("report_date_as_of", *HISTORY_COLS)) -> DataFrame:
     """V4: the history rows of one contract ordered by date (kept as rows, never collected)."""
     keep = ["credit_id"] + [c for c in cols if c in panel.columns]
     return panel.filter(F.col("credit_id") == credit_id).select(*keep).orderBy("report_date_as_of")

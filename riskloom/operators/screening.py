@@ -6,9 +6,9 @@ groups by feature, so all features are screened in the same few jobs.
 """
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -17,10 +17,6 @@ from . import ranks
 from .cleaning import feature_columns
 
 
-def _nan_to_null(c):
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def numeric_candidates(df: DataFrame, target_col: str = config.TARGET_COL, exclude_leaky: bool = True) -> list[str]:
     """Numeric columns except the target (and, by default, leaky and technical ones)."""
     num, _ = feature_columns(df, exclude_leaky=exclude_leaky)
@@ -29,15 +25,37 @@ def numeric_candidates(df: DataFrame, target_col: str = config.TARGET_COL, exclu
 
 def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """A10: Pearson correlation of every unordered pair of ``features`` on pairwise-complete rows,
-    as a long table (feature_a, feature_b, corr) with feature_a before feature_b in list order.
-    One aggregate pass computes all pairs."""
-    pairs = list(itertools.combinations(features, 2))
-    if not pairs:
+    as a long table (feature_a, feature_b, corr) with feature_a before feature_b in list order; NULL
+    for a constant.  Every partition sums the moments of all pairs, centred at the columns' means,
+    as a few matrix products, and the sums of a pair meet in one grouped aggregate."""
+    if len(features) < 2:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                    _nan_to_null(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias("corr"))
-                           for a, b in pairs]).alias("m"))
-    return row.select(F.explode("m").alias("p")).select("p.*")
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    centre = np.array([x if x is not None else 0.0 for x in data.agg(*[F.avg(c) for c in features]).first()], float)
+    above, below = np.triu_indices(len(features), 1)
+
+    def moments(batches):
+        k = len(features)
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) if k else np.zeros((0, 0))
+            known = np.isfinite(x)
+            m, x = known.astype(float), np.where(known, x - centre, 0.0)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, sx, sx.T, sxx, sxx.T, x.T @ x])
+        sums = total[:, above, below]
+        yield pa.RecordBatch.from_arrays([pa.array(above.astype(np.int32)), pa.array(below.astype(np.int32)), *map(pa.array, sums)],
+                                         ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = data.mapInArrow(moments, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    names, middle = F.array(*map(F.lit, features)), F.array(*map(F.lit, centre.tolist()))
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    least = lambda at: F.col("n") * F.pow(F.abs(middle[F.col(at)]) * 1e-14, F.lit(2.0))  # noqa: E731  what rounding leaves of a constant
+    varies = (vx > least("i")) & (vy > least("j"))
+    corr = F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(F.when(varies, vx * vy)))
+    return t.select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), corr.alias("corr"))
 
 
 def multicollinear_pairs(df: DataFrame, features: list[str], threshold: float = 0.9) -> DataFrame:
@@ -172,38 +190,23 @@ def key_indicators(df: DataFrame, features: list[str], target_col: str = config.
     """H4: order features by (average rank of IV) + (average rank of |Spearman|), then pick greedily
     up to ``top_k``, each pick suppressing the features correlated with it above the threshold.
 
-    The three statistics run on Spark; only their per-feature results (bounded by the number of
-    columns) reach the driver for the greedy loop."""
-    iv = {r["feature"]: r["iv"] for r in iv_ranking(df, features, None, target_col).collect()}
-    sp = {r["feature"]: r["abs_corr"] for r in target_correlation(df, features, target_col).collect()}
-    corr = {}
-    for r in pearson_matrix(df, features).collect():
-        if r["corr"] is not None:
-            corr.setdefault(r["feature_a"], {})[r["feature_b"]] = abs(r["corr"])
-            corr.setdefault(r["feature_b"], {})[r["feature_a"]] = abs(r["corr"])
-
-    def avg_rank(d):
-        vals = sorted(v for v in d.values() if v is not None)
-        out = {}
-        for k, v in d.items():
-            if v is None:
-                continue
-            lo = vals.index(v)
-            hi = len(vals) - 1 - vals[::-1].index(v)
-            out[k] = (lo + hi) / 2.0 + 1
-        return out
-
-    riv, rsp = avg_rank(iv), avg_rank(sp)
-    score = {f: riv[f] + rsp[f] for f in features if f in riv and f in rsp}
-    order = sorted(score, key=lambda f: (-score[f], features.index(f)))
-    chosen, used = [], set()
-    for f in order:
-        if f in used:
-            continue
-        chosen.append(f)
-        if len(chosen) >= top_k:
-            break
-        used.update(o for o, r in corr.get(f, {}).items() if r > corr_threshold and o != f)
+    Statistics, ranks and the pairs that suppress each other come from Spark tables with a row a
+    feature or a row a pair of features; the driver walks down the ranked list once."""
+    place = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
+    both = (iv_ranking(df, features, None, target_col).select("feature", "iv")
+            .join(target_correlation(df, features, target_col).where("abs_corr IS NOT NULL"), "feature"))
+
+    def shared_rank(column):
+        of = Window.partitionBy(F.lit(0)).orderBy(column)                 # at most a row a feature
+        return F.rank().over(of) + (F.count("*").over(Window.partitionBy(F.lit(0), column)) - 1) / 2.0
+
+    ranked = both.select("feature", (shared_rank("iv") + shared_rank("abs_corr")).alias("score"), place.alias("place"))
+    order = [r["feature"] for r in ranked.orderBy(F.desc("score"), "place").collect()]
+    close = {frozenset(r[:2]) for r in multicollinear_pairs(df, features, corr_threshold).collect()}
+    chosen: list[str] = []
+    while order and len(chosen) < top_k:
+        chosen.append(order[0])
+        order = [f for f in order[1:] if frozenset((chosen[-1], f)) not in close]
     return chosen
 
 

@@ -550,10 +550,14 @@ def q_decile_report(spark, sf_dir):
 # --------------------------------------------------------------------------- screening
 
 from ..operators import ranks as _ranks, screening  # noqa: E402
+from ..streaming import scoring  # noqa: E402
 
-SCREEN_FEATURES = ["initial_amount", "total_debt", "available_limit", "pdn_initial", "psk_current", "payment_sum_1m",
-                   "payment_sum_2m", "cnt_all_payments", "age", "months_on_book", "days_since_last_payment",
-                   "utilization", "payment_ratio_mom", "pdn_delta", "payment_std_3m", "total_debt_mean_3m"]
+#: Every numeric model input of the panel: numeric columns and numeric features, technical and leaky ones left out
+#: (a test compares the list with ``screening.numeric_candidates``).
+_TEXT_FEATURES = ("psk_bucket", "dpd_bucket")
+_NUMERIC = ([c for c in PREPARED_COLS.replace("\n", " ").replace(",", " ").split()
+             if c in config.NUMERIC_COLS or c in scoring.DERIVED] + [c for c in FEATURE_NAMES if c not in _TEXT_FEATURES])
+SCREEN_FEATURES = [c for c in _NUMERIC if c not in config.TECHNICAL_COLS and not cleaning.is_leaky(c)]
 STAT = 10
 
 
@@ -570,9 +574,8 @@ def _nan_null(expr: str) -> str:
 
 
 _PAIRS = [(a, b) for i, a in enumerate(SCREEN_FEATURES) for b in SCREEN_FEATURES[i + 1:]]
-PEARSON_SQL = "pearson AS (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_nan_null(f'corr({a}, {b})')} AS corr FROM features"
-    for a, b in _PAIRS) + ")"
+PEARSON_SQL = """pearson AS (SELECT p.feature_a, p.feature_b, CASE WHEN isnan(p.corr) THEN NULL ELSE p.corr END AS corr FROM (SELECT unnest([
+""" + ",\n".join(f"{{'feature_a': '{a}', 'feature_b': '{b}', 'corr': corr({a}, {b})}}" for a, b in _PAIRS) + "]) AS p FROM features))"
 
 
 @register("pearson_matrix", _feat_sql(PEARSON_SQL, body=f"SELECT feature_a, feature_b, round(corr, {STAT}) AS corr FROM pearson"))
@@ -690,8 +693,9 @@ def q_key_indicators(spark, sf_dir):
 from ..operators import drift  # noqa: E402
 
 DRIFT_CUTOFF = "1998-07-01"
-DRIFT_NUM = ["total_debt", "available_limit", "utilization", "payment_sum_1m", "payment_ratio_mom", "pdn_current",
-             "dpd", "days_since_last_payment", "months_on_book", "age", "psk_current", "cnt_all_payments"]
+#: All numeric model inputs that need no history, and the three fields that define the label.
+DRIFT_NUM = [c for c in SCREEN_FEATURES if not c.endswith(tuple(f"_{k}" for k in ("diff_1m", "pct_change_1m", *(f"{f}_{n}m" for f in ("mean", "std") for n in config.ROLLING_WINDOWS))))
+             or c in ("payment_mean_3m", "payment_std_3m")] + ["pdn_current", "dpd"]
 DRIFT_CAT = ["sex", "loan_program", "region_from_address", "quality_category", "psk_bucket", "dpd_bucket"]
 
 
@@ -978,7 +982,6 @@ def q_kmeans_k_search(spark, sf_dir):
 # --------------------------------------------------------------------------- jobs and streaming
 
 from ..plans import jobs  # noqa: E402
-from ..streaming import scoring  # noqa: E402
 
 
 @register("batch_scoring")
@@ -1003,18 +1006,24 @@ def q_stream_scoring(spark, sf_dir):
 
 
 @register("client_card", O.scored("last_slice", """
-SELECT r.credit_id, r.report_date_as_of, r.total_debt, r.dpd, r.pdn_current, h.n_history, h.first_report_date,
-       r.risk_score, r.zone
+SELECT r.credit_id, r.report_date_as_of, r.total_debt, r.dpd, r.pdn_current, h.n_history, h.first_report_date, h.history,
+       r.risk_score, r.zone, array_to_string(r.rules_triggered, '|') AS rules_triggered,
+       array_to_string(r.recommendations, '|') AS recommendations
 FROM recommended r
-JOIN (SELECT credit_id, COUNT(*) AS n_history, MIN(report_date_as_of) AS first_report_date
+JOIN (SELECT credit_id, COUNT(*) AS n_history, MIN(report_date_as_of) AS first_report_date,
+             coalesce(string_agg(strftime(report_date_as_of, '%Y-%m-%d') || ':' || CAST(CAST(dpd AS INTEGER) AS VARCHAR), '|'
+                                 ORDER BY report_date_as_of, dpd), '') AS history
       FROM labelled GROUP BY credit_id) h ON h.credit_id = r.credit_id"""))
 def q_client_card(spark, sf_dir):
-    """V4: every contract's card - latest snapshot, history length and start, score and zone."""
+    """V4: every contract's card - latest snapshot, history by date, score, zone, fired rules and recommendations.  The
+    history array is put out as text, date:dpd joined by '|'."""
     panel = labelled(spark, sf_dir)
     scored = ews.score_and_zone(ews.formula_score(cleaning.last_slice(panel)))
     card = portfolio.client_card(panel, scored)
-    return card.select("credit_id", "report_date_as_of", "total_debt", "dpd", "pdn_current", "n_history",
-                       "first_report_date", "risk_score", "zone")
+    days = F.transform("history", lambda h: F.concat(F.date_format(h["report_date_as_of"], "yyyy-MM-dd"), F.lit(":"), h["dpd"].cast("int").cast("string")))
+    card = card.withColumn("history", F.array_join(F.array_compact(days), "|"))
+    return joined(card.select("credit_id", "report_date_as_of", "total_debt", "dpd", "pdn_current", "n_history", "first_report_date",
+                              "history", "risk_score", "zone", "rules_triggered", "recommendations"), "rules_triggered", "recommendations")
 
 
 @register("screening_shortlist", _feat_sql(*_woe_ctes(), body=f"""
@@ -1027,11 +1036,11 @@ JOIN (SELECT feature FROM (
           SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x)
                              + (COUNT(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM scr_long)
         GROUP BY feature)
-      ORDER BY a DESC NULLS LAST, feature LIMIT 10) t ON t.feature = w.feature
-ORDER BY w.iv DESC, w.feature LIMIT 5"""))
+      ORDER BY a DESC NULLS LAST, feature LIMIT 30) t ON t.feature = w.feature
+ORDER BY w.iv DESC, w.feature LIMIT 25"""))
 def q_screening_shortlist(spark, sf_dir):
-    """L4: top 10 screened features by |Spearman|, then the top 5 of them by IV."""
-    return rounded(screening.shortlist(featured(spark, sf_dir), SCREEN_FEATURES, n_corr=10, n_iv=5), {"iv": STAT})
+    """L4: top 30 screened features by |Spearman|, then the top 25 of them by IV."""
+    return rounded(screening.shortlist(featured(spark, sf_dir), SCREEN_FEATURES), {"iv": STAT})
 
 
 @register("drift_verdict")
