@@ -984,13 +984,16 @@ def q_kmeans_k_search(spark, sf_dir):
 from ..plans import jobs  # noqa: E402
 
 
-@register("batch_scoring")
+@register("batch_scoring", O.scored("last_slice", f"SELECT {EWS_COLS} FROM recommended", all_rows=True))
 def q_batch_scoring(spark, sf_dir):
     """V6: batch scoring of every contract's latest row, sold and forgiven debts included."""
     return joined(jobs.score_batch(raw_panel(spark, sf_dir)), "rules_triggered", "recommendations")
 
 
-@register("stream_scoring")
+@register("stream_scoring", O.scored("prepared", """
+SELECT credit_id, report_date_as_of, risk_score, zone, array_to_string(rules_triggered, '|') AS rules_triggered,
+       array_to_string(recommendations, '|') AS recommendations, rules_weight_sum, priority
+FROM recommended""", all_rows=True))
 def q_stream_scoring(spark, sf_dir):
     """V1: the raw panel is written as monthly parquet files, read back as a file stream,
     scored record by record (availableNow trigger) into a parquet sink, and the sink is returned."""
@@ -1059,7 +1062,15 @@ def q_drift_verdict(spark, sf_dir):
         "features_total long, pct_drifted double")
 
 
-@register("dashboard_marts")
+@register("dashboard_marts", O.scored("fwd_last", f"""
+SELECT {', '.join(config.PANEL_MART_COLS)}, risk_score, zone, array_to_string(rules_triggered, '|') AS rules_triggered,
+       rules_weight_sum, array_to_string(recommendations, '|') AS recommendations, segment, priority
+FROM recommended""", FORWARD_SQL, """fwd_last AS (
+  SELECT *, CASE WHEN COALESCE(dpd > 30, false) OR COALESCE(is_bankrupt = 1, false) THEN 'delinquent'
+                 WHEN COALESCE(payment_ratio_mom < 0.5, false) OR COALESCE(days_since_last_payment > 45, false) THEN 'stress'
+                 WHEN COALESCE(utilization > 0.6, false) AND COALESCE(dpd <= 5, false) THEN 'growing' ELSE 'stable' END AS segment
+  FROM forward
+  QUALIFY row_number() OVER (PARTITION BY credit_id ORDER BY report_date_as_of DESC NULLS FIRST) = 1)"""))
 def q_dashboard_marts(spark, sf_dir):
     """S3: the three dashboard marts are written (zstd parquet, panel partitioned by month) under
     the checkpoint folder; the scored mart is read back."""

@@ -148,10 +148,15 @@ def base(body: str) -> str:
     return with_ctes(RAW_PANEL_SQL, PREPARED_SQL, body=body)
 
 
-def scored(src: str, body: str) -> str:
+PORTFOLIO_FILTER = "WHERE sold_flg <> 1 AND forgiven_flg <> 1"
+
+
+def scored(src: str, body: str, *extra: str, all_rows: bool = False) -> str:
     """Base CTEs + formula score over ``src`` + rules, zones, recommendations, then ``body``
-    (which reads ``recommended``)."""
-    return with_ctes(RAW_PANEL_SQL, PREPARED_SQL, SCORE_SQL.format(src=src), _rules_sql("scored_src"), body=body)
+    (which reads ``recommended``).  ``extra`` CTEs come before the score; with ``all_rows`` sold
+    and forgiven debts stay in."""
+    base_sql = PREPARED_SQL.replace(PORTFOLIO_FILTER, "") if all_rows else PREPARED_SQL
+    return with_ctes(RAW_PANEL_SQL, base_sql, *extra, SCORE_SQL.format(src=src), _rules_sql("scored_src"), body=body)
 
 
 def quantiles_sql(name: str, src: str, group: str, value: str, probs: list[float]) -> str:
