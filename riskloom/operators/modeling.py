@@ -173,9 +173,12 @@ def predict_proba(model: CreditModel, df: DataFrame, out_col: str = "risk_score"
 
 
 def time_split(df: DataFrame, time_col: str = "report_date_as_of", key: str = "credit_id",
-               test_size: float = config.TEST_SIZE) -> tuple[DataFrame, DataFrame]:
+               test_size: float = config.TEST_SIZE, label: str = "_label") -> tuple[DataFrame, DataFrame]:
     """Order by time (``key``, then a hash of the row, break ties), first (1 - test_size) of the
-    rows train, the rest test.  The global position comes from the distributed row-position helper."""
+    rows train, the rest test.  The global position comes from the distributed row-position helper.
+    Without ``time_col`` the split is random, by a hash of the row, and stratified by ``label``."""
+    if time_col not in df.columns:
+        return _stratified_split(df, label, test_size)
     tied = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
     pos = ranks.row_positions(tied, [(time_col, False), (key, False), ("_tie", False)], pos_col="_split_pos").drop("_tie")
     n = df.count()
@@ -184,6 +187,18 @@ def time_split(df: DataFrame, time_col: str = "report_date_as_of", key: str = "c
             pos.filter(F.col("_split_pos") >= cut).drop("_split_pos"))
 
 
+def _stratified_split(df: DataFrame, label: str, test_size: float) -> tuple[DataFrame, DataFrame]:
+    """Of each class the first (1 - test_size) rows in the order of a seeded hash train, the rest test."""
+    shuffled = df.withColumn("_rk", F.xxhash64(F.lit(config.RANDOM_STATE), *[F.col(c) for c in df.columns]))
+    train = test = None
+    for row in df.groupBy(label).count().collect():
+        own = ranks.row_positions(shuffled.where(F.col(label).eqNullSafe(F.lit(row[0]))), [("_rk", False)], pos_col="_split_pos").drop("_rk")
+        cut = int(row["count"] * (1 - test_size))
+        a, b = own.filter(F.col("_split_pos") < cut).drop("_split_pos"), own.filter(F.col("_split_pos") >= cut).drop("_split_pos")
+        train, test = (a, b) if train is None else (train.unionByName(a), test.unionByName(b))
+    return (train, test) if train is not None else (df, df)
+
+
 def _report(scored: DataFrame, label: str) -> dict:
     row = metrics.binary_report(scored, label, "risk_score").first()
     return {k: (float(v) if isinstance(v, float) else v) for k, v in row.asDict().items()}
@@ -200,7 +215,14 @@ def train_model(df: DataFrame, num_cols: list[str], cat_cols: list[str], label:
     train, test = time_split(data, time_col, key)
     train, test = keep(train), keep(test)
     cv_scores = []
-    if cv and n_folds > 1:
+    if cv and n_folds > 1 and time_col not in data.columns:
+        fold = F.pmod(F.xxhash64(F.lit(config.RANDOM_STATE + 1), *[F.col(c) for c in train.columns]), F.lit(n_folds))
+        for i in range(n_folds):
+            m = _fit(train.where(fold != i), num_cols, cat_cols, label, model_type, params)
+            auc = metrics.curve_stats(predict_proba(m, train.where(fold == i)), label, "risk_score").first()
+            if auc is not None and auc["roc_auc"] is not None:
+                cv_scores.append(auc["roc_auc"])
+    elif cv and n_folds > 1:
         tied = train.withColumn("_tie", F.xxhash64(*[F.col(c) for c in train.columns]))
         pos = keep(ranks.row_positions(tied, [(time_col, False), (key, False), ("_tie", False)], pos_col="_cv_pos").drop("_tie"))
         n = pos.count()

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 
+import yaml
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,17 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+MONTH_FILES = 4
+
+
 def build_marts(raw: DataFrame, out_dir: str, model=None) -> dict:
     """S3: panel mart (21 columns, partitioned by report month), scored last slice (panel columns
     + score, zone, rules, recommendations, segment, priority), monthly series."""
     panel = targets.forward_target(features.feature_set(cleaning.prepare_panel(raw)))
     panel = keep(segments.rule_segment(panel))
     last = cleaning.last_slice(panel)
+    # a month's rows go to a few tasks, so that a mart holds a few files a month
+    month_first = F.pmod(F.xxhash64("credit_id"), F.lit(MONTH_FILES))
     if model is not None:
         from ..operators.modeling import predict_proba
         last = predict_proba(model, last)
@@ -56,8 +63,8 @@ def build_marts(raw: DataFrame, out_dir: str, model=None) -> dict:
     scored = ews.score_and_zone(last)
     month = F.date_format("report_date_as_of", "yyyy-MM").alias("report_month")
     paths = {
-        "panel": _parquet(select_existing(panel, config.PANEL_MART_COLS).withColumn("report_month", month),
-                          os.path.join(out_dir, "panel"), ["report_month"]),
+        "panel": _parquet(select_existing(panel, config.PANEL_MART_COLS).withColumn("report_month", month)
+                          .repartition("report_month", month_first), os.path.join(out_dir, "panel"), ["report_month"]),
         "scored": _parquet(select_existing(scored, config.PANEL_MART_COLS + config.SCORED_EXTRA_COLS),
                            os.path.join(out_dir, "scored")),
         "timeseries": _parquet(portfolio.default_rate_over_time(panel), os.path.join(out_dir, "timeseries")),
@@ -74,16 +81,17 @@ def prepare_side(raw: DataFrame, filter_sold_forgiven: bool = True) -> DataFrame
 
 def drift_job(reference_raw: DataFrame, current_raw: DataFrame, num_features: list[str], cat_features: list[str],
               out_dir: str | None = None, model=None) -> dict:
-    """Both sides prepared alike, per-feature drift, score PSI, AUC on both sides, verdict."""
+    """Both sides prepared alike, per-feature drift, score PSI, the full metric report of both sides, verdict."""
     from ..operators.modeling import predict_proba
     ref, cur = prepare_side(reference_raw), prepare_side(current_raw)
     score = (lambda d: predict_proba(model, d)) if model is not None else ews.formula_score
     ref, cur = keep(score(ref)), keep(score(cur))
     feat = keep(drift.data_drift(ref, cur, num_features, cat_features))
     score_psi = drift.score_drift(ref, cur).first()["score_psi"]
-    auc_ref = metrics.curve_stats(ref, config.TARGET_COL, "risk_score").first()["roc_auc"]
-    auc_cur = metrics.curve_stats(cur, config.TARGET_COL, "risk_score").first()["roc_auc"]
+    reports = [metrics.binary_report(side, config.TARGET_COL, "risk_score").first().asDict() for side in (ref, cur)]
+    auc_ref, auc_cur = (r["roc_auc"] for r in reports)
     verdict = drift.drift_verdict(feat, score_psi, auc_ref, auc_cur)
+    verdict["metrics_reference"], verdict["metrics_current"] = reports
     verdict["auc_reference"], verdict["auc_current"] = auc_ref, auc_cur
     if out_dir:
         write_json(feat, os.path.join(out_dir, "features"))
@@ -108,19 +116,21 @@ def score_batch(raw: DataFrame, out_path: str | None = None, model=None) -> Data
 
 def run_training(spark: SparkSession, raw: DataFrame, out_dir: str, model_type: str = "logreg",
                  params: dict | None = None) -> dict:
-    """Training run: prepare -> features -> labels -> screening -> segment profiles
-    -> model -> EWS -> KPI, each result written under ``out_dir``.  The labelled panel is
-    persisted once and every stage reads it."""
+    """Training run: prepare -> features -> labels -> panel profile -> screening ->
+    segment profiles -> model -> EWS -> KPI, each result written under ``out_dir``.  Screening,
+    segments and model use the forward label on rows with a future observation.  The labelled panel
+    is persisted once and every stage reads it."""
     from ..operators import modeling, screening
     panel = keep(targets.forward_target(features.feature_set(cleaning.prepare_panel(raw))))
     num, cat = cleaning.feature_columns(panel)
-    out = {}
-    sp = screening.target_correlation(panel, num).limit(30)
-    top30 = [r["feature"] for r in sp.collect()]
-    out["iv"] = write_json(screening.iv_ranking(panel, top30).limit(25), os.path.join(out_dir, "iv_ranking"))
-    seg = segments.rule_segment(panel)
-    out["segment_profile"] = write_json(segments.segment_profile(seg), os.path.join(out_dir, "segment_profile"))
+    label = config.FORWARD_TARGET_COL
     train_rows = panel.filter(F.col(config.VALID_MASK_COL))
+    out = {"panel_profile": write_json(portfolio.numeric_profile(panel), os.path.join(out_dir, "panel_profile"))}
+    sp = screening.target_correlation(train_rows, num, label).limit(30)
+    top30 = [r["feature"] for r in sp.collect()]
+    out["iv"] = write_json(screening.iv_ranking(train_rows, top30, None, label).limit(25), os.path.join(out_dir, "iv_ranking"))
+    seg = segments.rule_segment(train_rows)
+    out["segment_profile"] = write_json(segments.segment_profile(seg, target_col=label), os.path.join(out_dir, "segment_profile"))
     model = modeling.train_model(train_rows, num, cat, label=config.FORWARD_TARGET_COL, model_type=model_type,
                                  params=params)
     model.save(os.path.join(out_dir, "model"))
@@ -130,5 +140,11 @@ def run_training(spark: SparkSession, raw: DataFrame, out_dir: str, model_type:
     out["ews_top500"] = write_csv(scored.limit(500), os.path.join(out_dir, "ews_top500"))
     out["kpi"] = write_json(portfolio.portfolio_kpi(last), os.path.join(out_dir, "portfolio_kpi"))
     out["metrics"] = {"train": model.metrics_train, "test": model.metrics_test, "cv": model.cv_metrics}
+    important = spark.createDataFrame(modeling.feature_importance(model)[:40], "feature string, importance double")
+    out["importance"] = write_csv(important.coalesce(1), os.path.join(out_dir, "feature_importance"))
+    for name, text in (("metrics_json", json.dumps(out["metrics"])), ("rules", yaml.safe_dump({"rules": config.EWS_RULES, "zones": config.EWS_ZONES}, allow_unicode=True, sort_keys=False))):
+        path = os.path.join(out_dir, name)
+        spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").text(path)
+        out[name] = path
     panel.unpersist()
     return out

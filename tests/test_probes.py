@@ -122,3 +122,39 @@ def test_rules_file_round_trip_keeps_defaults():
     path = os.path.join(tempfile.mkdtemp(), "r.yaml")
     R.save_rules(config.EWS_RULES, path)
     assert [r["name"] for r in R.load_rules(path)[0]] == [r["name"] for r in config.EWS_RULES]
+
+
+def test_training_run_and_serving_with_the_model(spark):
+    from riskloom.operators.modeling import CreditModel
+    from riskloom.plans import jobs
+    root = tempfile.mkdtemp(prefix="riskloom-run-")
+    raw = raw_panel(spark, SF001)
+    out = jobs.run_training(spark, raw, root, params={"maxIter": 20})
+    for name in ("panel_profile", "iv", "segment_profile", "ews_summary", "ews_top500", "kpi", "importance", "metrics_json", "rules"):
+        assert os.listdir(out[name])
+    assert spark.read.option("header", True).csv(out["importance"]).count() <= 40
+    panel = catalog.targets.forward_target(catalog.features.feature_set(cleaning.prepare_panel(raw)))
+    rows = panel.filter(F.col("has_future_obs"))
+    want = screening.target_correlation(rows, cleaning.feature_columns(panel)[0], "default_future").limit(30)
+    assert {r.feature for r in spark.read.json(out["iv"]).collect()} <= {r.feature for r in want.collect()}
+    model = CreditModel.load(spark, os.path.join(root, "model"))
+    batch = scoring.score_records(raw, model)
+    src, sink = os.path.join(root, "src"), os.path.join(root, "sink")
+    raw.write.parquet(src)
+    scoring.run_scoring_stream(spark, src, raw.schema, sink, model=model)
+    stream = spark.read.parquet(sink)
+    assert stream.count() == batch.count() and stream.exceptAll(batch.select(stream.columns)).isEmpty()
+    marts = jobs.build_marts(raw, os.path.join(root, "marts"), model)
+    scored = spark.read.parquet(marts["scored"])
+    assert scored.where("risk_score IS NULL OR risk_score < 0 OR risk_score > 1").isEmpty() and scored.select("risk_score").distinct().count() > 50
+    assert jobs.score_batch(raw, model=model).where("risk_score IS NULL").isEmpty()
+    cut = F.lit("1998-07-01").cast("date")
+    v = jobs.drift_job(raw.filter(F.col("report_date_as_of") < cut), raw.filter(F.col("report_date_as_of") >= cut), ["total_debt"], ["sex"], model=model)
+    assert v["metrics_reference"]["n"] > 0 and 0 <= v["auc_reference"] <= 1
+
+
+def test_split_without_dates_is_stratified(spark):
+    df = spark.createDataFrame([(i, float(i), i % 5 == 0) for i in range(100)], "credit_id long, x double, y boolean").withColumn("_label", F.col("y").cast("double"))
+    train, test = modeling.time_split(df)
+    assert train.groupBy("y").count().orderBy("y").collect()[0][1] == 64 and train.count() == 80 and test.where("y").count() == 4
+    assert train.select("credit_id").intersect(test.select("credit_id")).isEmpty()
