@@ -14,9 +14,11 @@ from .. import config
 from ..functions.columns import MONTH_COL, with_month_index
 
 
-def contract_window(key: str = "credit_id", date_col: str = "report_date_as_of"):
-    """Per-contract row order: calendar month, then the date itself (missing dates last)."""
-    return Window.partitionBy(key).orderBy(F.col(MONTH_COL).asc_nulls_last(), F.col(date_col).asc_nulls_last())
+def contract_window(key: str = "credit_id", date_col: str = "report_date_as_of", ties: list[str] | None = None):
+    """Per-contract row order: calendar month, then the date itself (missing dates last), then the
+    columns in ``ties``: rows that repeat a date come in the same order however they are stored."""
+    return Window.partitionBy(key).orderBy(F.col(MONTH_COL).asc_nulls_last(), F.col(date_col).asc_nulls_last(),
+                                           *[F.col(c).asc_nulls_last() for c in ties or []])
 
 
 def pdn_features(df: DataFrame) -> DataFrame:
@@ -80,6 +82,30 @@ def dpd_features(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def _with_stds(staged: DataFrame, base: list[str], windows: tuple[int, ...]) -> DataFrame:
+    """Rolling sample std from the columns and their lags ``_<column>_lag<i>``: two passes over the
+    values of the frame, newest first."""
+    stats = {}
+    for n in windows:
+        if n >= 2:
+            for c in base:
+                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
+                stats[f"_{c}_n{n}"] = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
+                total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
+                stats[f"_{c}_m{n}"] = F.when(stats[f"_{c}_n{n}"] > 0, total / stats[f"_{c}_n{n}"])
+    staged = staged.withColumns(stats) if stats else staged
+    stds = {}
+    for n in windows:
+        if n >= 2:
+            for c in base:
+                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
+                cnt, mean = F.col(f"_{c}_n{n}"), F.col(f"_{c}_m{n}")
+                ss = sum((F.when(v.isNotNull(), (mean - v) * (mean - v)).otherwise(F.lit(0.0)) for v in vals),
+                         F.lit(0.0))
+                stds[f"{c}_std_{n}m"] = F.when(cnt > 1, F.sqrt(ss / (cnt - 1)))
+    return (staged.withColumns(stds) if stds else staged).drop(*stats.keys())
+
+
 def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WINDOWS,
                      key: str = "credit_id", date_col: str = "report_date_as_of") -> DataFrame:
     """F1-F4 for total_debt, available_limit, pdn_current, dpd, payment_sum_1m: diff and pct
@@ -94,7 +120,7 @@ def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WI
     if not base:
         return df
     df = with_month_index(df, date_col)
-    w = contract_window(key, date_col)
+    w = contract_window(key, date_col, base)
     out, lags = {}, {}
     max_lag = max(windows) - 1
     for c in base:
@@ -110,26 +136,7 @@ def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WI
             out[f"{c}_mean_{n}m"] = F.avg(F.col(c)).over(frame)
     # the lags are computed once by one Window operator; the std arithmetic reads them
     staged = df.withColumns({**lags, **out})
-    stats = {}
-    for n in windows:
-        if n >= 2:
-            for c in base:
-                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
-                stats[f"_{c}_n{n}"] = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
-                total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
-                stats[f"_{c}_m{n}"] = F.when(stats[f"_{c}_n{n}"] > 0, total / stats[f"_{c}_n{n}"])
-    staged = staged.withColumns(stats) if stats else staged
-    stds = {}
-    for n in windows:
-        if n >= 2:
-            for c in base:
-                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
-                cnt, mean = F.col(f"_{c}_n{n}"), F.col(f"_{c}_m{n}")
-                ss = sum((F.when(v.isNotNull(), (mean - v) * (mean - v)).otherwise(F.lit(0.0)) for v in vals),
-                         F.lit(0.0))
-                stds[f"{c}_std_{n}m"] = F.when(cnt > 1, F.sqrt(ss / (cnt - 1)))
-    staged = staged.withColumns(stds) if stds else staged
-    return staged.drop(*lags.keys(), *stats.keys())
+    return _with_stds(staged, base, windows).drop(*lags.keys())
 
 
 def feature_set(df: DataFrame, include_rolling: bool = True) -> DataFrame:
@@ -192,23 +199,6 @@ def rolling_features_ranged(df: DataFrame, windows: tuple[int, ...] = config.ROL
         for c in base:
             out[f"{c}_mean_{n}m"] = F.avg(F.col(c)).over(w.rowsBetween(-(n - 1), Window.currentRow))
     staged = both.withColumns({**lags, **out}).filter(~F.col("_halo"))
-    stats, stds = {}, {}
-    for n in windows:
-        if n >= 2:
-            for c in base:
-                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
-                stats[f"_{c}_n{n}"] = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
-                total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
-                stats[f"_{c}_m{n}"] = F.when(stats[f"_{c}_n{n}"] > 0, total / stats[f"_{c}_n{n}"])
-    staged = staged.withColumns(stats) if stats else staged
-    for n in windows:
-        if n >= 2:
-            for c in base:
-                vals = [F.col(c)] + [F.col(f"_{c}_lag{i}") for i in range(1, n)]
-                cnt, mean = F.col(f"_{c}_n{n}"), F.col(f"_{c}_m{n}")
-                ss = sum((F.when(v.isNotNull(), (mean - v) * (mean - v)).otherwise(F.lit(0.0)) for v in vals),
-                         F.lit(0.0))
-                stds[f"{c}_std_{n}m"] = F.when(cnt > 1, F.sqrt(ss / (cnt - 1)))
-    staged = staged.withColumns(stds) if stds else staged
-    return staged.drop(*lags.keys(), *stats.keys(), "_m_null", "_d_null", "_d_us", "_tie", "_gpos", "_bucket",
+    staged = _with_stds(staged, base, windows)
+    return staged.drop(*lags.keys(), "_m_null", "_d_null", "_d_us", "_tie", "_gpos", "_bucket",
                        "_halo")

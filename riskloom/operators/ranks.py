@@ -16,6 +16,8 @@ schema-bounded keys, so broadcasting it is safe; its size is checked anyway.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,26 @@ def _drop_group(df: DataFrame, group_cols: list[str]) -> DataFrame:
     return df if group_cols else df.drop(_G)
 
 
-def small_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast hint for a side whose row count is bounded by construction (``bound_rows``);
-    above the byte limit the hint is dropped and the planner chooses."""
-    approx_bytes = bound_rows * 256
-    return F.broadcast(df) if approx_bytes <= config.BROADCAST_LIMIT_BYTES else df
+def small_broadcast(df: DataFrame, bound_rows: int, row_bytes: int = 256) -> DataFrame:
+    """Broadcast hint for a side whose row count is bounded by construction (``bound_rows`` of
+    about ``row_bytes``); above the byte limit the hint is dropped and the planner chooses."""
+    return F.broadcast(df) if bound_rows * row_bytes <= config.BROADCAST_LIMIT_BYTES else df
+
+
+def _two_levels(cuts: Column, width: int) -> Column:
+    """Sorted cut points in groups of ``width``, with the last one of each group: finding a value's
+    range reads about twice the square root of their number instead of all."""
+    n = F.size(cuts)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(width))).otherwise(F.array().cast("array<int>"))
+    groups = F.transform(starts, lambda s: F.slice(cuts, s, F.lit(width)))
+    return F.struct(groups.alias("groups"), F.transform(groups, lambda g: F.element_at(g, -1)).alias("tops"))
+
+
+def _range_of(levels: Column, key: Column, width: int) -> Column:
+    """How many cut points lie below ``key`` (0 without cut points)."""
+    group = F.size(F.filter(levels["tops"], lambda t: t < key))
+    inside = F.get(levels["groups"], group)
+    return F.coalesce(group * width + F.coalesce(F.size(F.filter(inside, lambda c: c < key)), F.lit(0)), F.lit(0))
 
 
 def value_histogram(df: DataFrame, group_cols: list[str], value: str | Column,
@@ -68,11 +85,12 @@ def prefix_sums(hist: DataFrame, group_cols: list[str], order_col: str, sum_cols
     hist = hist.withColumn("_okey", okey.cast("double"))
 
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = hist.groupBy(*gcols).agg(F.percentile_approx("_okey", probs, 1000).alias("_cuts"))
-    cuts = small_broadcast(cuts, n_groups_bound)
+    cuts = hist.groupBy(*gcols).agg(F.percentile_approx("_okey", probs, max(1000, 4 * buckets)).alias("_cuts"))
+    width = max(1, math.isqrt(buckets))
+    cuts = cuts.withColumn("_cuts", _two_levels(F.array_distinct("_cuts"), width))
+    cuts = small_broadcast(cuts, n_groups_bound, 64 + 9 * buckets)
     binned = (hist.join(cuts, gcols, "left")
-              .withColumn("_bucket", F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")),
-                                                     lambda c: c < F.col("_okey"))))
+              .withColumn("_bucket", _range_of(F.col("_cuts"), F.col("_okey"), width))
               .drop("_cuts"))
 
     totals = binned.groupBy(*gcols, "_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
@@ -188,7 +206,9 @@ def row_positions(df: DataFrame, order: list[tuple[str, bool]], buckets: int | N
     if cuts:
         cut_arr = F.array(*[F.struct(*[F.lit(v).cast(keyed.schema["_key"].dataType[f"_k{i}"].dataType).alias(f"_k{i}")
                                        for i, v in enumerate(t)]) for t in cuts])
-        keyed = keyed.withColumn("_bucket", F.size(F.filter(cut_arr, lambda c: c < F.col("_key"))))
+        width = max(1, math.isqrt(len(cuts)))
+        # a literal, folded once: the ranges' bounds are part of the plan
+        keyed = keyed.withColumn("_bucket", _range_of(_two_levels(cut_arr, width), F.col("_key"), width))
     else:
         keyed = keyed.withColumn("_bucket", F.lit(0))
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_sz"))

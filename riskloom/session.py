@@ -41,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
         "spark.checkpoint.dir", None
     )
     if not path:
-        if not allow_local_default or not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not allow_local_default or not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for lineage cuts")
         path = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
@@ -50,12 +51,6 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession, allow_local_default=True)
-    return df.checkpoint(eager=True)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame reused by several actions; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
