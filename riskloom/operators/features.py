@@ -139,10 +139,13 @@ def rolling_features(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WI
     return _with_stds(staged, base, windows).drop(*lags.keys())
 
 
-def feature_set(df: DataFrame, include_rolling: bool = True) -> DataFrame:
-    """F5-F10, then optionally F1-F4."""
+def feature_set(df: DataFrame, include_rolling: bool = True, split_hot: bool = False) -> DataFrame:
+    """F5-F10, then optionally F1-F4; with ``split_hot`` by the plan that splits a contract with
+    very many rows over several tasks (same results; jobs over whole panels use it)."""
     df = df.transform(pdn_features).transform(payment_features).transform(dpd_features)
-    return df.transform(rolling_features) if include_rolling else df
+    if not include_rolling:
+        return df
+    return df.transform(rolling_features_ranged if split_hot else rolling_features)
 
 
 def rolling_features_ranged(df: DataFrame, windows: tuple[int, ...] = config.ROLLING_WINDOWS,

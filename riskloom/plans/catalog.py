@@ -837,7 +837,7 @@ def model_frame(spark, sf_dir):
     from ..session import keep
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _FRAMES:
-        df = targets.forward_target(features.feature_set(labelled(spark, sf_dir)))
+        df = targets.forward_target_monthly(features.feature_set(labelled(spark, sf_dir), split_hot=True))
         _FRAMES[k] = keep(df.filter(F.col("has_future_obs")))
     return _FRAMES[k]
 
@@ -904,7 +904,7 @@ SELECT CAST(default_future AS INTEGER) AS label, COUNT(*) AS n,
 FROM forward WHERE has_future_obs GROUP BY 1"""))
 def q_class_weights(spark, sf_dir):
     """Balanced class weights n / (2 n_class) of the forward label."""
-    df = targets.forward_target(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
+    df = targets.forward_target_monthly(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
     total = df.agg(F.count(F.lit(1))).scalar()
     return (df.groupBy(F.col("default_future").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
             .withColumn("weight", total / (F.lit(2.0) * F.col("n"))))
@@ -919,7 +919,7 @@ FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY report_date_as_of, credit_
 GROUP BY split"""))
 def q_time_split(spark, sf_dir):
     """Time-ordered 80/20 split (credit_id breaks ties), summarised per part."""
-    df = targets.forward_target(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
+    df = targets.forward_target_monthly(labelled(spark, sf_dir)).filter(F.col("has_future_obs"))
     train, test = modeling.time_split(df)
 
     def summary(part, name):

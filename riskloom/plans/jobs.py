@@ -50,7 +50,7 @@ MONTH_FILES = 4
 def build_marts(raw: DataFrame, out_dir: str, model=None) -> dict:
     """S3: panel mart (21 columns, partitioned by report month), scored last slice (panel columns
     + score, zone, rules, recommendations, segment, priority), monthly series."""
-    panel = targets.forward_target(features.feature_set(cleaning.prepare_panel(raw)))
+    panel = targets.forward_target_monthly(features.feature_set(cleaning.prepare_panel(raw), split_hot=True))
     panel = keep(segments.rule_segment(panel))
     last = cleaning.last_slice(panel)
     # a month's rows go to a few tasks, so that a mart holds a few files a month
@@ -121,7 +121,7 @@ def run_training(spark: SparkSession, raw: DataFrame, out_dir: str, model_type:
     segments and model use the forward label on rows with a future observation.  The labelled panel
     is persisted once and every stage reads it."""
     from ..operators import modeling, screening
-    panel = keep(targets.forward_target(features.feature_set(cleaning.prepare_panel(raw))))
+    panel = keep(targets.forward_target_monthly(features.feature_set(cleaning.prepare_panel(raw), split_hot=True)))
     num, cat = cleaning.feature_columns(panel)
     label = config.FORWARD_TARGET_COL
     train_rows = panel.filter(F.col(config.VALID_MASK_COL))

@@ -158,3 +158,19 @@ def test_split_without_dates_is_stratified(spark):
     train, test = modeling.time_split(df)
     assert train.groupBy("y").count().orderBy("y").collect()[0][1] == 64 and train.count() == 80 and test.where("y").count() == 4
     assert train.select("credit_id").intersect(test.select("credit_id")).isEmpty()
+
+
+def test_a_hot_contract_is_split_in_the_jobs(spark):
+    """A third of the rows belong to one contract: marts and training frame give the rows of the plain plan."""
+    from riskloom.operators import features, targets
+    from riskloom.plans import jobs
+    raw = raw_panel(spark, SF001)
+    some = raw.limit(400).withColumn("credit_id", F.lit(77).cast(dict(raw.dtypes)["credit_id"]))
+    raw = raw.unionByName(some).cache()
+    prepared = cleaning.prepare_panel(raw)
+    plain = targets.forward_target(features.feature_set(prepared))
+    split = targets.forward_target_monthly(features.feature_set(prepared, split_hot=True))
+    keys = ["credit_id", "report_date_as_of", "default_future", "has_future_obs"]
+    assert sorted(map(str, plain.select(keys).collect())) == sorted(map(str, split.select(keys).collect()))
+    paths = jobs.build_marts(raw, tempfile.mkdtemp(prefix="riskloom-hot-"))
+    assert spark.read.parquet(paths["panel"]).count() == prepared.count()
