@@ -239,3 +239,18 @@ def first_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCE
     many = kept["doc_id"] == again["_again"]
     one = kept.join(again, many, "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return kept.join(again, many, "left_anti").unionByName(one.where("_turn = 1").drop("_turn"))
+
+
+#: DuckDB SQL of the query, from all pairs that share a shingle; links are followed by recursion.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, w.y FROM reach r JOIN ways w ON w.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, r.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""

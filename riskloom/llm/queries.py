@@ -6,11 +6,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ngram_join as _ngrams
 from . import quality_rules as _rules
+from . import topk as _topk
 from .store import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op7_quality_rules": _rules.SQL}
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _ngrams.SQL, "op5_topk_search": _topk.SQL, "op7_quality_rules": _rules.SQL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
