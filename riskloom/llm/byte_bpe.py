@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .store import plain
 
 REMEMBERED_PIECES = 400_000      # bound of a worker's memory of pieces; then it starts anew
-REMEMBERED_PAIRS = 2_000_000
+REMEMBERED_PAIRS = 300_000      # token pairs whose compatibility is remembered
 LONG_PIECE = 64                  # longer pieces are not remembered
 
 

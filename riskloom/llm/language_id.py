@@ -303,7 +303,7 @@ def _predicted(documents: DataFrame, model: Crf):
         flat = (np.concatenate(x) if x else np.array([], object) for x in (langs, scores))
         return pa.StructArray.from_arrays([pa.array(next(flat), pa.string()), pa.array(next(flat), pa.float64())], ["lang_pred", "score"])
 
-    return predict
+    return predict.asNondeterministic()      # else a filter on the result would run it a second time
 
 
 def words(documents: DataFrame, model: Crf) -> DataFrame:
