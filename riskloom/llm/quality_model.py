@@ -48,8 +48,11 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.diff(np.concatenate([[0.0], np.cumsum(table[raw])])[offsets]) if len(raw) else np.zeros(n)
 
     def distinct(values, of):
-        key = np.unique(np.stack([of.astype(np.uint64), values]), axis=1)[0] if len(values) else np.zeros(0, np.uint64)
-        return np.bincount(key.astype(np.int64), minlength=n)
+        order = np.lexsort((values, of))
+        values, of = values[order], of[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+        return np.bincount(of[new], minlength=n)
 
     upper, letters = chars(_UPPER), chars(_UPPER + _LOWER + _HIGH)
     together = rows[1:] == rows[:-1]
@@ -63,8 +66,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         np.sqrt(np.minimum(chars(_MARKS) / words, 4)), np.sqrt(np.minimum(chars(_BARS) / words, 4)), np.minimum(chars(_STOPS) / words, 2), np.minimum(chars(_COMMAS) / words, 2),
         np.sqrt(chars(_DIGITS) / np.maximum(ink, 1)), np.where(n_words > 0, _distinct_share(distinct(hashes, rows), words), 1.0), np.sqrt(twins / words),
         np.where(n_words > 2, 1 - distinct(grams, of) / n_grams, 0.0), np.minimum(chars(_LINES) / words, 2), chars(_HIGH) / np.maximum(ink, 1), short / words, plain_ends / words], 1)
-    mark = np.zeros(n, np.uint64)
-    np.add.at(mark, rows, tb.mix(hashes, 60))
+    mark, filled = np.zeros(n, np.uint64), np.flatnonzero(n_words)
+    if len(filled):
+        mark[filled] = np.add.reduceat(tb.mix(hashes, 60), np.flatnonzero(np.diff(rows, prepend=-1)))
     return out, mark
 
 
