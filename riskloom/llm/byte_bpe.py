@@ -18,10 +18,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .store import plain
 
 REMEMBERED_PIECES = 400_000      # bound of a worker's memory of pieces; then it starts anew
-REMEMBERED_PAIRS = 300_000      # token pairs whose compatibility is remembered
+REMEMBERED_PAIRS = 300_000       # token pairs whose compatibility is remembered
 LONG_PIECE = 64                  # longer pieces are not remembered
 
 
@@ -180,6 +181,7 @@ def encode(documents: DataFrame, path: str, pattern: str, with_ids: bool = False
     """
     def run(batches):
         bpe = load(path, pattern)
+        tb.begin("byte_bpe", load.cache_clear)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 256):

@@ -155,6 +155,7 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def _windows(labelled: DataFrame, per_doc: int) -> list[tuple[str, str]]:
     """(lang, words joined by spaces) of the sampled windows, cut on the executors."""
     def cut(batches):
+        tb.begin("language_id")
         for batch in batches:
             langs, texts = [], []
             for at, raw, offsets in tb.text_slices(batch.column(1)):
@@ -291,6 +292,7 @@ def _predicted(documents: DataFrame, model: Crf):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
+        tb.begin("language_id")
         crf = shared.value
         names = np.array([*crf.langs, "und"], dtype=object)
         langs, scores = [], []

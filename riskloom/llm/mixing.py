@@ -111,6 +111,7 @@ def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: in
     chunks = chunks.repartition(min(n, 10_000), "shard", "sid", "start")
 
     def expand(batches):
+        tb.begin("mixing")
         for batch in batches:
             for r in batch.to_pylist():
                 index = np.arange(r["start"], r["start"] + r["n"])

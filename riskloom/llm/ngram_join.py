@@ -49,6 +49,7 @@ def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
 def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of shingles by the first ``bits`` bits of their hash, over all texts."""
     def count(batches):
+        tb.begin("ngram_join")
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, _, (hashes, _, _) in _rows(batch, width):
@@ -83,6 +84,7 @@ def signatures(texts: DataFrame, counts, width: int = WIDTH, percent: int = PERC
     bits = int(np.log2(len(counts.value)))
 
     def sign(batches):
+        tb.begin("ngram_join")
         for batch in batches:
             for keys, n_rows, (hashes, rows, _) in _rows(batch, width):
                 seen = counts.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
@@ -129,6 +131,7 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = spark.sparkContext.broadcast(_wanted(ids, bits))
 
     def fetch(batches):
+        tb.begin("ngram_join")
         bitmap = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
             keep = bitmap[_bit(batch.column(0).to_numpy(zero_copy_only=False), bits)]

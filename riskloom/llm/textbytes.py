@@ -5,7 +5,7 @@ Words and shingles are carried as 64-bit hashes.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,18 @@ _LETTER_LOWER = _LETTER.copy()
 _LETTER_LOWER[65:91] = _LETTER[97:123]
 
 
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """An operator begins in this worker process: what others remember here is dropped.  ``forget`` drops its own."""
+    for other, drop in _MEMORIES.items():
+        if other != operator:
+            drop()
+    if forget:
+        _MEMORIES[operator] = forget
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
@@ -37,7 +49,7 @@ def places(n: int) -> np.ndarray:
     return _PLACE[:n]
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole rows with about ``limit`` bytes; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

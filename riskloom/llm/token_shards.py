@@ -159,6 +159,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     kinds = spark.sparkContext.broadcast(classes(Tokenizer.from_file(tokenizer_path)))     # one byte a code point: 1.1 MB
 
     def encode(batches):
+        tb.begin("token_shards")
         memo = load(tokenizer_path, kinds.value)
         width = np.dtype("<u2" if max(memo.size, end_id + 1) <= 1 << 16 else "<u4")
         ids, valid, counts, payload = [], [], [], []
