@@ -179,11 +179,12 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     classes = scratch.save(classes, "classes")
     groups = filled.groupBy("g", "n").agg(F.min("doc").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("fan").alias("fan"))
     dealt = groups.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "fan")).alias("pos", "at"))
-    dealt = dealt.select(F.col("at.prefix").alias("token"), F.pmod(F.xxhash64("gid"), F.col("at.fan")).cast("int").alias("part"), "gid", "n", "pos")
+    dealt = dealt.select(F.col("at.prefix").alias("token"), F.pmod(F.xxhash64("gid"), F.col("at.fan")).cast("int").alias("part"), F.col("at.fan").alias("fan"), "gid", "n", "pos")
     same = Window.partitionBy("token", "part")
     me = F.struct("gid", "n", "pos")
     shared = dealt.withColumns({"hub": F.min(me).over(same), "last": F.max("gid").over(same)})
-    shared = scratch.save(shared.where("hub.gid <> last OR part > 0").drop("last"), "shared")
+    # a group alone in its part may meet groups in the token's other parts
+    shared = scratch.save(shared.where("hub.gid <> last OR fan > 1").drop("last", "fan"), "shared")
 
     hubs = shared.groupBy("token").agg(F.min("hub").alias("top"), F.max("part").alias("parts")).where("parts > 0")
     first = shared.where("gid <> hub.gid").select("gid", "n", "pos", "hub")

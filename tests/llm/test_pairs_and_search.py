@@ -62,6 +62,17 @@ def test_components_equal_all_pairs(spark, seed, percent, deal):
     assert got == components_by_hand(rows, percent=percent)
 
 
+def test_a_group_alone_in_its_part_meets_the_other_parts(spark):
+    ship(spark)
+    rng, rows = random.Random(5), []
+    for k in range(16):                                   # a text of 5 copies and one near copy: every shingle has fan 2
+        text = edge.words(rng, 60, f"k{k}x")
+        rows += [(100 * k + i, text) for i in range(5)] + [(100 * k + 50 + k, text + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.jaccard_components(docs, deal=4).collect()), key=str)
+    assert got == components_by_hand(rows)
+
+
 def test_components_of_odd_rows(spark):
     ship(spark)
     docs = edge.frame(spark)
