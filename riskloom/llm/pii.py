@@ -3,7 +3,8 @@
 Kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), IBANs (mod 97), US social security
 numbers, dates, and secrets (access key ids, values after password, token or key).  A value is replaced only if it is
 valid for its kind.  The permutation depends on key and kind alone, so equal values get equal pseudonyms in all
-documents and different values of a format different ones; lengths, separators and check digits stay valid.  A
+documents and different values of a format different ones; lengths, separators and check digits stay valid.  Decimal
+digits of any script count by their value, and those put in their places are of the same script.  A
 permutation may leave a value as it is, with a chance of one in the number of values of its format; such a value is
 permuted under the next of four tweaks, so that it does not stay.
 """
@@ -66,6 +67,22 @@ class Permutation:
         return "".join(reversed(out))
 
 
+_FOREIGN = re.compile(r"[^\D0-9]+")
+
+
+def _decimal(text: str) -> str:
+    """``text`` with its decimal digits of all scripts as 0-9; places stay."""
+    return text if text.isascii() else _FOREIGN.sub(lambda m: "".join(str(int(c)) for c in m.group()), text)
+
+
+def _as_written(new: str, old: str) -> str:
+    """``new`` with its digits in the scripts of ``old``: place by place, or that of the first digit if lengths differ."""
+    zeros = [ord(c) - int(c) if c.isdecimal() else ord("0") for c in old]
+    if len(new) != len(old):
+        zeros = [next(z for c, z in zip(old, zeros) if c.isdecimal())] * len(new)
+    return "".join(chr(z + int(c)) if c in DIGITS else c for c, z in zip(new, zeros))
+
+
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
     return total % 10 == 0
@@ -187,31 +204,35 @@ class Pseudonyms:
     def value(self, kind: str, text: str) -> str | None:
         """The pseudonym; None if ``text`` is not valid for the kind."""
         _, make, tweaks = next(x for x in self.kinds if x[0] == kind)
+        plain = _decimal(text)
         for p in tweaks:
-            new = make(p, text)
-            if new != text:
-                return new
+            new = make(p, plain)
+            if new != plain:
+                return new if new is None or plain == text else _as_written(new, text)
         return text
 
-    def _valid(self, text: str, at: int):
-        """(kind, end, pseudonym) of the kinds with a valid value at this place."""
+    def _valid(self, plain: str, text: str, at: int):
+        """(kind, end, pseudonym) of the kinds with a valid value at this place; ``plain`` is ``text`` in digits 0-9."""
         for kind, match in self.patterns:
-            if (m := match(text, at)) and (new := self.value(kind, m.group())) is not None:
+            if (m := match(plain, at)) and (new := self.value(kind, text[at:m.end()])) is not None:
                 yield kind, m.end(), new
 
     def text(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         """(text with pseudonyms, (kind, begin, end) of the values in the given text, by code points)."""
-        if not text or not self.hint(text):
+        if not text:
+            return text, []
+        plain = _decimal(text)
+        if not self.hint(plain):
             return text, []
-        out, spans, at, m = [], [], 0, self.find(text)
+        out, spans, at, m = [], [], 0, self.find(plain)
         while m:
-            found = next((x for x in self._valid(text, m.start())), None)
+            found = next((x for x in self._valid(plain, text, m.start())), None)
             if found:
                 kind, end, new = found
                 out += [text[at:m.start()], new]
                 spans.append((kind, m.start(), end))
                 at = end
-            m = self.find(text, at if found else m.start() + 1)
+            m = self.find(plain, at if found else m.start() + 1)
         return "".join([*out, text[at:]]), spans
 
 

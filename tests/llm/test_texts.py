@@ -198,6 +198,23 @@ def test_equal_values_stay_linked_and_neighbours_are_found(spark):
     assert pii.pseudonymize(edge.frame(spark).limit(0), b"k").count() == 0
 
 
+@pytest.mark.parametrize("zero", [0x660, 0x966, 0xFF10, 0x1D7CE])
+def test_digits_of_other_scripts(spark, zero):
+    ship(spark)
+    foreign = lambda x: "".join(chr(zero + int(c)) if c in pii.DIGITS else c for c in x)
+    values = ["012-345-6789", "123-45-6789", "4111 1111 1111 1111", "2024-02-29", "10.0.0.1", "ann.94@mail6.example.com", "GB82 WEST 1234 5698 7654 32"]
+    texts = [" und ".join(values), "\u00e9 " + " und ".join(map(foreign, values)), foreign("tel 012-345-6789"), foreign("7" * 25), "4111 1111 1111 " + foreign("1111")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymize(rows, b"k").collect()}
+    kinds = [s.kind for s in out[0].pii]
+    assert kinds == ["phone", "ssn", "card", "date", "ipv4", "email", "iban"] == [s.kind for s in out[1].pii]
+    assert out[1].text == "\u00e9 " + foreign(out[0].text)               # equal values get equal pseudonyms, in their own script
+    assert [texts[1][s.begin:s.end] for s in out[1].pii] == list(map(foreign, values))
+    assert out[2].text == foreign("tel " + out[0].text[:12]) and out[2].text != texts[2]
+    assert (out[3].text, out[3].pii) == (texts[3], [])
+    assert re.fullmatch("[0-9 ]{15}" + f"[{chr(zero)}-{chr(zero + 9)}]{{4}}", out[4].text) and pii.luhn(re.sub(r"\D", "", out[4].text))
+
+
 # ---------------------------------------------------------------- pages
 
 @pytest.mark.parametrize("page,text", [
