@@ -2,7 +2,8 @@
 
 A byte-level BPE tokenizer encodes each match of its split pattern on its own.  The matches are found for many texts
 at once from the classes of their code points, and looked up by a 64-bit hash in a table of fixed size; those it does
-not hold go through the tokenizers library in one call.  The result is that of encoding each text by the library.
+not hold go through the tokenizers library in one call.  Texts that hold the content of an added token go through the
+library whole.  The result is that of encoding each text by the library.
 """
 from __future__ import annotations
 
@@ -85,16 +86,20 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -
 
 
 class PieceMemo:
-    """Encoder of many texts at once by the tokenizer file at ``path``."""
+    """Encoder of many texts at once by the tokenizer file at ``path``.
 
-    def __init__(self, path: str, classes: np.ndarray):
+    With ``special`` the strings of special tokens in a text become those tokens, as the library does by default;
+    without, they are ordinary text."""
+
+    def __init__(self, path: str, classes: np.ndarray, special: bool = False):
         self.tokenizer, self.classes = Tokenizer.from_file(path), classes
-        self.tokenizer.encode_special_tokens = True    # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"]
         if spec["normalizer"] or spec["post_processor"] and spec["post_processor"]["type"] != "ByteLevel" or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
             raise ValueError("not a plain byte-level tokenizer file")
+        self.added = [t["content"].encode() for t in spec["added_tokens"] if special or not t["special"]]
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
@@ -110,8 +115,33 @@ class PieceMemo:
         self.used += len(ids)
         return at
 
+    def _holding(self, data: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text holds the content of an added token (or one goes on into the next text)."""
+        out = np.zeros(len(offsets) - 1, bool)
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = True
+                at = data.find(content, at + 1)
+        return out
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, number of ids of each text) from UTF-8 bytes and byte offsets."""
+        data = raw.tobytes()
+        whole = self._holding(data, offsets)
+        if not whole.any():
+            return self._pieces(raw, offsets)
+        sizes = np.diff(offsets)
+        ids, counts = self._pieces(raw[np.repeat(~whole, sizes)], np.concatenate([[0], np.cumsum(sizes * ~whole)]))
+        found = self.tokenizer.encode_batch_fast([data[offsets[i]:offsets[i + 1]].decode() for i in np.flatnonzero(whole)], add_special_tokens=False)
+        counts[whole] = [len(e) for e in found]
+        out, own = np.zeros(int(counts.sum()), np.uint32), np.repeat(whole, counts)
+        out[~own] = ids
+        out[own] = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        return out, counts
+
+    def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without added tokens."""
         n = len(offsets) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
@@ -147,12 +177,12 @@ class PieceMemo:
         return self.pool[index], per_text
 
 
-_LOADED: dict[str, PieceMemo] = {}
+_LOADED: dict[tuple[str, bool], PieceMemo] = {}
 
 
-def load(path: str, classes: np.ndarray) -> PieceMemo:
+def load(path: str, classes: np.ndarray, special: bool = False) -> PieceMemo:
     """One for each worker process; it runs on one thread, Spark runs the tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
-        _LOADED[path] = PieceMemo(path, classes)
-    return _LOADED[path]
+    if (path, special) not in _LOADED:
+        _LOADED[path, special] = PieceMemo(path, classes, special)
+    return _LOADED[path, special]

@@ -144,11 +144,12 @@ def _turns(ids: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return at - np.repeat(start, np.diff(np.append(start, len(ids)))) + np.where(valid, 0, NULL_KEY)
 
 
-def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
+def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES, special: bool = False) -> None:
     """Encode ``documents(doc_id, text)`` and write the shards to ``folder`` (any path that Spark can write).
 
     A null text counts as empty: its only id is the end id.  Documents of one doc_id are kept, in the order of their
     texts; those without doc_id come first.  Other columns are ignored; an empty table leaves no shard.
+    With ``special`` the strings of special tokens in a text become those tokens; without, they are ordinary text.
     """
     spark = documents.sparkSession
     rows = plain(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -160,7 +161,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def encode(batches):
         tb.begin("token_shards")
-        memo = load(tokenizer_path, kinds.value)
+        memo = load(tokenizer_path, kinds.value, special)
         width = np.dtype("<u2" if max(memo.size, end_id + 1) <= 1 << 16 else "<u4")
         ids, valid, counts, payload = [], [], [], []
         for batch in batches:
@@ -244,7 +245,8 @@ def fetch(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
 
 def written_digests(documents: DataFrame, tokenizer_path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write the shards of ``documents`` to a folder of this run, read them back, and give their digests."""
+    """Write the shards of ``documents`` to a folder of this run, read them back, and give their digests.  The ids are
+    those of the library's ``encode(text, add_special_tokens=False)``."""
     folder = Scratch(documents.sparkSession, "tokens").path("shards")
-    write_shards(documents, folder, tokenizer_path, end_id, shard_bytes)
+    write_shards(documents, folder, tokenizer_path, end_id, shard_bytes, special=True)
     return digests(documents.sparkSession, folder)

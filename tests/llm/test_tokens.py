@@ -116,6 +116,22 @@ def test_empty_table_of_shards(spark):
     assert token_shards.written_digests(edge.frame(spark).limit(0), FILE).count() == 0
 
 
+def test_special_tokens_in_texts_equal_the_unaltered_library(spark):
+    ship(spark)
+    library, memo = Tokenizer.from_file(FILE), piece_memo.PieceMemo(FILE, piece_memo.classes(LIBRARY), special=True)
+    texts = ["a <|endoftext|> b", "", "plain don't", "<|endoftext|>", "<|endof", "text|> x", "é<|endoftext|><|endoftext|>\n\n日本", "<|endoftext|", ">"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    (_, raw, offsets), = textbytes.text_slices(pa.array(texts, pa.string()))
+    ids, n = memo.encode(raw, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
+    starts = np.cumsum([0, *(len(x) + 1 for x in want)]).tolist()
+    got = sorted(map(tuple, token_shards.written_digests(docs, FILE).collect()))
+    assert got == [(i, starts[i], len(x) + 1, crc[i]) for i, x in enumerate(want)]
+
+
 def test_a_cut_shard_is_refused():
     data = token_shards.pack(3, np.array([5, 6]), np.array([0, 0]), np.array([1, 2]), np.array([2, 7, 2], "<u2")) + b"\n"
     shard = token_shards.Shard(data)
