@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: element kinds and which start tags end which open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style noscript template title meta link base datalist iframe object audio video canvas svg math xmp noembed noframes".split())
+INVISIBLE = frozenset("head script style noscript template title meta link base datalist iframe object audio video canvas xmp noembed noframes annotation annotation-xml mphantom".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main nav optgroup option search section summary tbody td tfoot th thead tr caption".split())
 CLOSED_BY = {
@@ -28,6 +28,14 @@ CLOSED_BY = {
 }
 SCOPES = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "p": frozenset(["td", "th", "caption", "button"])}
 TABLE_SCOPE = frozenset(["table"])
+SECTIONS = frozenset(["tbody", "thead", "tfoot"])
+TABLE_PARTS = {**dict.fromkeys(["td", "th"], SECTIONS | {"table", "tr"}), "tr": SECTIONS | {"table"},   # what they may stand in
+               **dict.fromkeys(["tbody", "thead", "tfoot", "caption", "colgroup", "col"], TABLE_SCOPE)}
+NO_TEXT = SECTIONS | {"table", "tr", "colgroup"}           # what else stands in these comes before the table
+STAYS = frozenset(["script", "style", "template", "form"])
+SVG_TEXT = frozenset(["text", "foreignobject"])
+SVG_UNSEEN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
+MATH_APART = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtr mlabeledtr".split())
 DEPTH = 400                    # deeper elements become siblings, as in browsers; their text stays
 PAD = 80                       # a wider cell is not padded for
 
@@ -77,15 +85,50 @@ def parse(source: str) -> Element:
             elif own in TABLE_SCOPE or own in SCOPES.get(tag, ()) or tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd") and own in BLOCKS:
                 return
 
+    def table_mode() -> int:
+        """The place of the open table whose cells and caption are closed, else 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in ("td", "th", "caption"):
+                return 0
+            if stack[k].tag == "table":
+                return k
+        return 0
+
+    def table_part(tag: str) -> None:
+        """Open a table part where it may stand: ends what is open in between, begins a row for a cell."""
+        for k in range(len(stack) - 1, table_mode() - 1, -1):
+            if stack[k].tag in TABLE_PARTS[tag]:
+                del stack[k + 1:]
+                break
+        if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEPTH:
+            row = Element("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
+
+    def add(node: Element | str) -> None:
+        """Append to the open element; what may not stand in a table goes before it."""
+        nonlocal moved
+        own = stack[-1].children
+        k = table_mode() if stack[-1].tag in NO_TEXT and (isinstance(node, str) or node.tag not in TABLE_PARTS and node.tag not in STAYS) else 0
+        if k:
+            around = stack[k - 1].children
+            place = next((i for i in range(len(around) - 1, -1, -1) if around[i] is stack[k]), len(around))
+            if not isinstance(node, str) or node.strip(" \t\n\r\f") or place and around[place - 1] is moved:
+                around.insert(place, node)
+                moved = node
+                return
+        own.append(node)
+
+    moved: Element | str | None = None
     at = 0
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
         if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at:m.start()]))
+            add(html.unescape(source[at:m.start()]))
         at = m.end()
         if m["cdata"]:
-            stack[-1].children.append(m["cdata"])
+            add(m["cdata"])
         elif m["end"]:
             tag = m["end"].lower()
             for k in range(len(stack) - 1, 0, -1):
@@ -96,7 +139,7 @@ def parse(source: str) -> Element:
                     break              # an end tag does not leave the table cell it stands in
             else:
                 if tag == "br":
-                    stack[-1].children.append(Element("br"))
+                    add(Element("br"))
         elif m["start"]:
             tag = m["start"].lower()
             if tag in ("html", "body"):
@@ -107,17 +150,22 @@ def parse(source: str) -> Element:
             if stack[-1].tag == "head" and tag not in RAW and tag not in ("meta", "link", "base", "noscript", "template"):
                 stack.pop()
             implied_ends(tag)
+            in_table = table_mode() if tag in TABLE_PARTS or tag in ("form", "table") else 0
+            if in_table and tag in TABLE_PARTS:
+                table_part(tag)
+            elif in_table and tag == "table" and stack[-1].tag in NO_TEXT:
+                del stack[in_table:]
             node = Element(tag, _attributes(m["attrs"]) if m["attrs"] else None)
-            stack[-1].children.append(node)
+            add(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 if tag == "textarea":
                     node.children.append(html.unescape(source[at:end.start() if end else len(source)]))
                 at = end.end() if end else len(source)
-            elif tag not in VOID and not (m["attrs"] or "").endswith("/") and len(stack) < DEPTH:
+            elif tag not in VOID and not (m["attrs"] or "").endswith("/") and len(stack) < DEPTH and not (tag == "form" and in_table):
                 stack.append(node)
     if at < len(source):
-        stack[-1].children.append(html.unescape(source[at:]))
+        add(html.unescape(source[at:]))
     return root
 
 
@@ -201,6 +249,27 @@ def _rows(node: Element) -> list[Element]:
     return out
 
 
+def _outside_rows(node: Element, layout: Layout) -> None:
+    for child in node.children:
+        if isinstance(child, Element) and child.tag in SECTIONS:
+            if child.visible():
+                _outside_rows(child, layout)
+        elif not isinstance(child, Element) or child.tag != "tr":
+            _child(child, layout)
+
+
+def _svg(node: Element, layout: Layout) -> None:
+    """The text elements of a drawing, a blank apart."""
+    for child in node.children:
+        if isinstance(child, Element) and child.visible() and child.tag not in SVG_UNSEEN:
+            if child.tag in SVG_TEXT:
+                layout.inline(" ")
+                render(child, layout)
+                layout.inline(" ")
+            else:
+                _svg(child, layout)
+
+
 def _span(cell: Element, name: str) -> int:
     value = cell.attrs.get(name, "")
     return max(1, min(int(value), 1000)) if value.isascii() and value.isdigit() else 1
@@ -208,9 +277,7 @@ def _span(cell: Element, name: str) -> int:
 
 def _table(node: Element, layout: Layout) -> None:
     """Text outside cells first, then rows with cells in aligned columns, two blanks apart."""
-    for child in node.children:
-        if not isinstance(child, Element) or child.tag not in ("tr", "tbody", "thead", "tfoot"):
-            _child(child, layout)
+    _outside_rows(node, layout)
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}                           # column: rows that a cell above still covers
     for row in _rows(node):
@@ -254,6 +321,15 @@ def _child(child: Element | str, layout: Layout) -> None:
     if tag == "br":
         layout.newline(forced=True)
         return
+    if tag == "svg":
+        _svg(child, layout)
+        return
+    if tag in MATH_APART:                                # parts that stand above or beside each other
+        for part in child.children:
+            layout.inline(" ")
+            _child(part, layout)
+        layout.inline(" ")
+        return
     if tag not in BLOCKS:
         render(child, layout)
         return

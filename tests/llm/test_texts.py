@@ -229,6 +229,21 @@ def test_visible_text(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tbody><td>A</td></tbody></table>", "A"), ("<table><tbody><td>A<td>B<tr><td>C<td>D</table>", "A  B\nC  D"), ("<table><thead><th>H<tbody><td>x</table>", "H\nx"),
+    ("<table><th>a<th>b<tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><tbody><form><tr><td>x<td>y</tr></form></tbody></table>z", "x  y\n\nz"),
+    ("<table><form hidden><tr><td>x</form></table>", "x"), ("<table><tr><form><td>x</form><td>y</table>", "x  y"),
+    ("<table><tbody>stray<tr><td>x</table>", "stray\n\nx"), ("<table><tbody><div>d</div><tr><td>x</table>", "d\n\nx"), ("<table><tbody><div>d<tr><td>x</div></table>", "d\n\nx"),
+    ("<table><tbody><caption>c</caption><tr><td>x</table>", "c\nx"), ("<table hidden><tbody>out<tr><td>x</table>", "out"), ("<table><tbody hidden><tr><td>x</table>", ""),
+    ("<table><tr>one<td>x</tr>two<tr><td>y</table>", "onetwo\n\nx\ny"), ("<table><tr><b>a</b> <b>b</b><td>x</table>", "a b\n\nx"),
+    ("<table><tr><td><table><tbody><td>in</table>out<td>q</table>", "in   q\n\nout"), ("<table><tr><td>x<table><tr>s<td>y</table></table>", "xs\n\ny"),
+    ("<table><colgroup><col>text<tr><td>x</table>", "text\n\nx"), ("<table><tr><td>a<table><tr><td>b</table><tr><td>c</table>", "a\n\nb\nc"),
+    ("if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> so", "if x=1 so"), ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><semantics><mi>y</mi><annotation>tex</annotation></semantics></math>", "1 2 y"),
+    ("a<svg><title>t</title><desc>d</desc><g><text x=1>one <tspan>two</tspan></text><path d=''/><text>three</text></g><defs><text>no</text></defs></svg>b", "a one two three b")])
+def test_tables_with_misplaced_parts_and_drawn_text(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_pages_of_all_kinds(spark):
     ship(spark)
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
