@@ -7,6 +7,12 @@ documents and different values of a format different ones; lengths, separators a
 digits of any script count by their value, and those put in their places are of the same script.  A
 permutation may leave a value as it is, with a chance of one in the number of values of its format; such a value is
 permuted under the next of four tweaks, so that it does not stay.
+
+Phone numbers are North American ones with separators, French ones in five pairs, and those with + and a country code
+whose number of digits the code allows.  Days and months have one or two digits.  Values after password, passwd, pwd,
+token, secret or api key (any case) follow = or :, at most one blank on either side, and a quote or none; after a colon
+without a quote those of the last three need a digit.  Left out, since nothing tells them from other numbers or words:
+phone numbers without separators or country code, other national forms, dates with month names or two-digit years.
 """
 from __future__ import annotations
 
@@ -94,6 +100,9 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(new) if c.isdigit() else c for c in shape)
 
 
+AMERICAN = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+
+
 def _by_class(p: Permutation, value: str) -> str:
     """Lower-case letters, upper-case letters and digits permuted, each among themselves, in their places."""
     for alphabet in (LOWER, UPPER, DIGITS):
@@ -108,7 +117,31 @@ def email(p: Permutation, value: str) -> str | None:
     return f"{_by_class(p, name)}.{top}"
 
 
+#: Fixed value: digits after each country code; a code with one of the heads below has three digits, and 6 to 12 follow.
+NATIONAL = {(10, 10): "1 7 30 52 58 90 91 98", (9, 9): "27 31 33 34 40 41 48 56 61 66 93 94 351 380 420 421", (8, 8): "45 47 65", (8, 9): "32 36 51 971 972", (9, 10): "44 81 84 92",
+            (8, 10): "20 57 60 63 64 82", (7, 10): "46 95 353", (10, 11): "54 55 86", (6, 11): "39 358", (6, 13): "43 49", (8, 12): "62", (6, 8): "53"}
+LONG_CODES = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99"
+
+
+def _country_numbers() -> str:
+    """The pattern of + with a country code and as many digits as it allows, two separators at most before each."""
+    known = {c for codes in NATIONAL.values() for c in codes.split()}
+    other = [f"{head}{k}" for head in LONG_CODES.split() for k in range(10) if f"{head}{k}" not in known]
+    forms = [*((codes.split(), low, high) for (low, high), codes in NATIONAL.items()), (other, 6, 12)]
+    each = "|".join(rf"(?:{'|'.join(codes)})(?: ?\(0\))?(?:[ ./()-]{{0,2}}\d){{{low},{high}}}" for codes, low, high in forms)
+    return rf"(?<![\w+])\+(?:{each})(?![0-9A-Za-z])"
+
+
+_COUNTRY = re.compile(rf"\+({'|'.join(sorted((c for codes in NATIONAL.values() for c in codes.split()), key=len, reverse=True))}|\d{{3}})(?: ?\(0\))?")
+
+
 def phone(p: Permutation, value: str) -> str | None:
+    if not re.fullmatch(AMERICAN, value):
+        head = _COUNTRY.match(value)
+        shape = value[head.end():] if head else value[1:]
+        digits = re.sub(r"\D", "", shape)
+        own = Permutation(p.key, f"{p.kind.decode()} {head[1] if head else 0}")
+        return value[:len(value) - len(shape)] + _fill(shape, own.text(digits, DIGITS))
     head = re.match(r"\+?1[ .-]?(?=\D*\d{3})", value)
     rest = value[head.end():] if head else value
     digits = re.sub(r"\D", "", rest)
@@ -166,28 +199,40 @@ def date(p: Permutation, value: str) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = dt.date.fromordinal(FIRST_DAY + p.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-    order = [new.year, new.month, new.day] if year_first else [new.day, new.month, new.year]
+    short = 1 in (len(m), len(d))
+    month, day_of = (f"{x:0{1 if short and was[0] != '0' else 2}d}" for x, was in ((new.month, m), (new.day, d)))
+    order = [str(new.year), month, day_of] if year_first else [day_of, month, str(new.year)]
     if parts[-1] == "us":
-        order = [new.month, new.day, new.year]
-    return parts[1].join(f"{x:0{4 if x == new.year else 2}d}" for x in order)
+        order = [month, day_of, str(new.year)]
+    return parts[1].join(order)
 
 
 def secret(p: Permutation, value: str) -> str | None:
-    head, body = (value[:4], value[4:]) if value.startswith("AKIA") else ("", value)
+    head, body = (value[:4], value[4:]) if re.fullmatch(r"AKIA[0-9A-Z]+", value) else ("", value)
     if head:
         return head + p.text(body, DIGITS + UPPER)
     return p.text(body, HEX) if set(body) <= set(HEX) else _by_class(p, body)
 
 
+def _lead_ins() -> str:
+    """Look-behinds for what stands before a secret; the first rules most places out."""
+    marks = [f"{a}[=:]{b}" for a in ("", " ") for b in ("", " ")]
+    before = lambda names, tails: "|".join(f"(?<={name}{tail})" for name in names for tail in tails)
+    words, keys = ["password", "passwd", "pwd"], ["token", "secret", "apikey", "api[_ -]key"]
+    quoted = [f"{m}[\"']" for m in marks]
+    any_value = "|".join([before(words, [*marks, *quoted]), before(keys, [*(m.replace("[=:]", "=") for m in marks), *quoted])])
+    return rf"(?:(?<=[=:])|(?<=[=:] )|(?<=[=:][\"'])|(?<=[=:] [\"']))(?i:{any_value}|(?:{before(keys, [m.replace('[=:]', ':') for m in marks])})(?=[A-Za-z_\-]*[0-9]))[0-9A-Za-z_\-]{{6,}}"
+
+
 #: Kind, what replaces it, and its pattern; earlier ones win where two begin together.
 KINDS: tuple[tuple[str, Callable, str], ...] = (
-    ("secret", secret, r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:(?<=password=)|(?<=password: )|(?<=passwd=)|(?<=token = \")|(?<=token=)|(?<=secret=)|(?<=api_key=)|(?<=api_key = \"))[0-9A-Za-z_\-]{6,}"),
+    ("secret", secret, r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|" + _lead_ins()),
     ("email", email, r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     ("iban", iban, r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("card", card, r"(?<![0-9A-Za-z.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![0-9A-Za-z])"),
-    ("phone", phone, r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9A-Za-z])"),
+    ("phone", phone, rf"(?<![0-9A-Za-z]){AMERICAN}(?![0-9A-Za-z])|{_country_numbers()}|" + r"(?<![0-9A-Za-z+.-])0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})(?![0-9A-Za-z]|[.-]\d)"),
     ("ssn", ssn, r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"),
-    ("date", date, r"(?<![0-9A-Za-z.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![0-9A-Za-z-]|\.\d)"),
+    ("date", date, r"(?<![0-9A-Za-z.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![0-9A-Za-z-]|\.\d)"),
     ("ipv4", ipv4, r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"),
 )
 
@@ -199,7 +244,7 @@ class Pseudonyms:
         self.kinds = [(kind, make, [Permutation(key, f"{kind}{k}") for k in range(4)]) for kind, make, _ in KINDS]
         self.patterns = [(kind, re.compile(pattern).match) for kind, _, pattern in KINDS]
         self.find = re.compile("|".join(f"(?:{_named(pattern, kind)})" for kind, _, pattern in KINDS)).search
-        self.hint = re.compile(r"[0-9@]|password|token|secret|api_key").search
+        self.hint = re.compile(r"[0-9@]|(?i:passw|pwd|token|secret|api[_ -]?key)").search
 
     def value(self, kind: str, text: str) -> str | None:
         """The pseudonym; None if ``text`` is not valid for the kind."""

@@ -215,6 +215,28 @@ def test_digits_of_other_scripts(spark, zero):
     assert re.fullmatch("[0-9 ]{15}" + f"[{chr(zero)}-{chr(zero + 9)}]{{4}}", out[4].text) and pii.luhn(re.sub(r"\D", "", out[4].text))
 
 
+@pytest.mark.parametrize("kind,value,form", [
+    ("phone", "+44 20 7946 0958", r"\+44 \d\d \d{4} \d{4}"), ("phone", "+49 30 901820", r"\+49 \d\d \d{6}"), ("phone", "+44 (0)20 7946 0958", r"\+44 \(0\)\d\d \d{4} \d{4}"),
+    ("phone", "+34612345678", r"\+34\d{9}"), ("phone", "+15551234567", r"\+1\d{10}"), ("phone", "+352 621 123 456", r"\+352 \d{3} \d{3} \d{3}"), ("phone", "06 12 34 56 78", r"0\d( \d\d){4}"),
+    ("date", "1/2/2024", r"\d{1,2}/\d{1,2}/\d{4}"), ("date", "2024-2-9", r"\d{4}-\d{1,2}-\d{1,2}"), ("date", "9.12.1999", r"\d{1,2}\.\d{1,2}\.\d{4}")])
+def test_other_phones_and_dates(kind, value, form):
+    own = pii.Pseudonyms(b"key")
+    text, spans = own.text(f"call {value} or 12.05.2024.")
+    new = text[5:-len(" or 12.05.2024.")]
+    assert spans[0] == (kind, 5, 5 + len(value)) and new != value and re.fullmatch(form, new), text
+    assert own.text(f"x {value}")[0] == f"x {new}"
+
+
+def test_secrets_after_other_lead_ins_and_what_stays():
+    own = pii.Pseudonyms(b"key")
+    for lead in ("Password: ", "PASSWORD = ", "passwd=", "pwd:", "Token : '", 'API-KEY="', "api key: ", "secret = "):
+        assert own.text(f"{lead}hunter2x")[1] == [("secret", len(lead), len(lead) + 8)], lead
+    assert own.text("passwd=hunters")[0] != "passwd=hunters"
+    assert own.text("password=AKIAxyz")[0] != "password=AKIAxyz"         # raised ValueError
+    for text in ("the secret: everyone knows", "+44 20 7946 09", "+999", "31/2/2024", "5551234567", "a token of thanks 12"):
+        assert own.text(text) == (text, []), text
+
+
 # ---------------------------------------------------------------- pages
 
 @pytest.mark.parametrize("page,text", [
