@@ -6,13 +6,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import merkle as _merkle
 from . import ngram_join as _ngrams
 from . import quality_rules as _rules
 from . import topk as _topk
 from .store import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _ngrams.SQL, "op5_topk_search": _topk.SQL, "op7_quality_rules": _rules.SQL}
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _ngrams.SQL, "op5_topk_search": _topk.SQL, "op7_quality_rules": _rules.SQL,
+                          "op13_merkle_manifest": _merkle.SQL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +114,27 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 8 leading components of the table, each of variance 1."""
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every twentieth vector among all others."""
+    from .multiprobe import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that a partly tampered copy leads to."""
+    from .merkle import verified_manifest
+
+    return verified_manifest(table(spark, sf_dir, "documents"))
