@@ -208,6 +208,7 @@ SCORED_EXTRA_COLS = [
 
 # model and drift settings
 RANDOM_STATE = 42
+SILHOUETTE_SAMPLE = 10_000
 TEST_SIZE = 0.2
 N_FOLDS = 5
 CV_PARALLELISM = 5

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,45 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(d.isNotNull(), p)
 
 
+EXACT_ROWS = 10_000            # rows of the larger side up to which the KS p-value is exact
+
+
+def ks_outside(d: float, m: int, n: int) -> float:
+    """Chance that two samples of ``m`` and ``n`` rows from one continuous distribution have a KS statistic of ``d`` or
+    more: the share of lattice paths from (0, 0) to (m, n) that touch |i / m - j / n| >= d.
+
+    A path is a random walk that steps along i with the chance (rows of the first sample left) / (rows left).  What
+    leaves the band is summed up as it leaves, so that small chances keep their digits."""
+    if min(m, n) < 1:
+        return float("nan")
+    reach = round(d * m * n)                                    # |i n - j m| is a whole number
+    if reach <= 0:
+        return 1.0
+    inside, outside = np.zeros(m + 1), 0.0
+    inside[0] = 1.0
+    for k in range(m + n):                                      # all paths have taken k steps; i of them along the first
+        low, high = max(0, k - n), min(m, k)
+        i = np.arange(low, high + 1)
+        up = inside[low:high + 1] * (m - i) / (m + n - k)
+        stay = inside[low:high + 1] - up
+        nxt = np.zeros(m + 2)
+        nxt[low:high + 1] += stay
+        nxt[low + 1:high + 2] += up
+        i = np.arange(max(0, k + 1 - n), min(m, k + 1) + 1)
+        gone = i[np.abs(i * n - (k + 1 - i) * m) >= reach]
+        outside += float(nxt[gone].sum())
+        nxt[gone] = 0.0
+        inside = nxt[:m + 1]
+    return min(1.0, outside)
+
+
+@F.pandas_udf(T.DoubleType())
+def ks_exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Exact p-values over per-feature rows; null where a side has more than ``EXACT_ROWS`` rows."""
+    return pd.Series([ks_outside(float(x), int(a), int(b)) if pd.notna(x) and pd.notna(a) and pd.notna(b) and max(a, b) <= EXACT_ROWS else None
+                      for x, a, b in zip(d, n1, n2)], dtype="float64")
+
+
 def _gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x): series below a + 1, continued fraction above,
     each until its terms no longer count (their number grows with the square root of a)."""

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from .. import config
 from ..functions.columns import clip, days_between, finite_or_null
 
+SAMPLE_CELL = 10_000           # rows of the last cell of a sample that are put in order
+
 
 def cast_types(df: DataFrame) -> DataFrame:
     """Dates -> timestamp (unparsable -> null), numbers -> double (NaN/inf -> null),
@@ -119,3 +121,28 @@ def feature_columns(df: DataFrame, exclude_leaky: bool = True) -> tuple[list[str
                                          T.TimestampType, T.TimestampNTZType)):
             cat.append(f.name)
     return num, cat
+
+
+def sample_rows(df: DataFrame, n: int, key_cols: list[str] | None = None, seed: int = config.RANDOM_STATE) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are no more), the same ones however the table is partitioned: those with
+    the smallest md5 of the seed and ``key_cols`` (of the whole row without them).
+
+    Counts by the first digits of the hash, at most 4,096 to the driver, tell the cell in which the n-th row lies; a
+    large cell is counted by its next digits.  Rows below the cell stay, and of the cell itself the first ones."""
+    given = key_cols or df.columns
+    parts = [F.col(c).cast("string") for c in given] if key_cols else [F.to_json(F.struct(*given))]
+    tagged = df.withColumn("_sample", F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)))
+    bound, need, size = "", max(n, 0), None
+    while size is None or (size > SAMPLE_CELL and len(bound) < 30):
+        digits = F.substring("_sample", len(bound) + 1, 3).alias("cell")
+        cells = sorted(tuple(r) for r in tagged.where(F.col("_sample").startswith(bound)).groupBy(digits).count().collect())
+        for cell, size in cells:
+            if size >= need:
+                bound += cell
+                break
+            need -= size
+        else:
+            return df                                           # no more than n rows
+    inside = tagged.where(F.col("_sample").startswith(bound)).withColumn("_tie", F.xxhash64(*df.columns))
+    first = inside.orderBy("_sample", "_tie").limit(need).drop("_tie")
+    return tagged.where(F.col("_sample") < bound).unionByName(first).drop("_sample")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.stats import chi2_sf, ks_pvalue
+from ..functions.stats import chi2_sf, ks_exact, ks_pvalue
 from ..functions.columns import truth
 from . import ranks
 
@@ -70,9 +70,11 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, features: list[str],
-                  hist: DataFrame | None = None) -> DataFrame:
+                  hist: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """Two-sample KS statistic D (largest gap of the two empirical CDFs, evaluated at every
-    distinct value) and its asymptotic p-value; fewer than two values on a side gives NULL."""
+    distinct value) and its p-value; fewer than two values on a side gives NULL.  The p-value is exact
+    (lattice paths) where both sides have at most ``stats.EXACT_ROWS`` values, else, or without
+    ``exact``, Kolmogorov's series."""
     hist = hist if hist is not None else side_histogram(reference, current, features)
     cum = ranks.prefix_sums(hist, ["feature"], "value", ["nr", "nc"], n_groups_bound=len(features))
     tot = hist.groupBy("feature").agg(F.sum("nr").alias("_n1"), F.sum("nc").alias("_n2"))
@@ -80,9 +82,10 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, features: list[str],
          .groupBy("feature", "_n1", "_n2")
          .agg(F.max(F.abs(F.try_divide(F.col("cum_nr"), F.col("_n1")) - F.try_divide(F.col("cum_nc"), F.col("_n2")))).alias("d")))
     ok = (F.col("_n1") >= 2) & (F.col("_n2") >= 2)
-    return d.select("feature", F.when(ok, F.col("d")).alias("ks_stat"),
-                    F.when(ok, ks_pvalue(F.col("d"), F.col("_n1").cast("double"), F.col("_n2").cast("double")))
-                    .alias("p_value"))
+    p = ks_pvalue(F.col("d"), F.col("_n1").cast("double"), F.col("_n2").cast("double"))
+    if exact:
+        p = F.coalesce(F.nullif(ks_exact("d", "_n1", "_n2"), F.lit(float("nan"))), p)
+    return d.select("feature", F.when(ok, F.col("d")).alias("ks_stat"), F.when(ok, p).alias("p_value"))
 
 
 def chi_square(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
@@ -90,8 +93,7 @@ def chi_square(reference: DataFrame, current: DataFrame, features: list[str]) ->
     value is its own category), with 1 added to every cell and Yates' correction when k = 2."""
     def side(df, flag):
         return df.select(F.lit(flag).alias("side"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("v"))
-            for c in features])).alias("kv"))
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in features])).alias("kv"))
     long = side(reference, REF).unionByName(side(current, CUR)).select("side", "kv.feature", "kv.v")
     from ..session import materialize
     cells = materialize(long.groupBy("feature", "v").agg(

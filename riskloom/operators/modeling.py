@@ -1,7 +1,7 @@
-"""Default models with MLlib: preprocessing, class weights, logistic regression and boosted
-trees, time-ordered split, expanding-window CV, importance, scoring, persistence (D1-D9, S7).
+"""Default models: preprocessing, class weights, logistic regression, leaf-wise boosted trees
+(``boosting``) and MLlib's level-wise ones, time-ordered split, expanding-window CV, importance, scoring, persistence (D1-D9, S7).
 
-Preprocessing (D1): numeric columns are median-imputed and scaled by their standard deviation
+Preprocessing (D1): numeric columns are filled with their exact median and scaled by their standard deviation
 without centring; categorical columns are mode-imputed, categories below 1 % of the training
 rows are pooled into one "infrequent" level.  A category never seen in training counts as
 infrequent too, so that no model has to carry the list of rare values; if training had no
@@ -16,13 +16,13 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from . import metrics, ranks
+from . import boosting, metrics, ranks
 
 INFREQUENT = "__infrequent__"
 WEIGHT = "_class_weight"
@@ -75,7 +75,7 @@ def apply_category_maps(df: DataFrame, maps: CategoryMaps) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """D2: "balanced" weights n / (2 n_class) as a column (class counts are a two-row aggregate)."""
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("int")).count().collect()}
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect()}
     n = sum(counts.values())
     expr = F.lit(1.0)
     for cls, cnt in counts.items():
@@ -95,16 +95,16 @@ def _classifier(model_type: str, n_rows: int, params: dict | None = None):
                              maxIter=p.get("maxIter", 600), maxDepth=p.get("maxDepth", 6),
                              stepSize=p.get("stepSize", 0.05), minInstancesPerNode=p.get("minInstancesPerNode", 50),
                              subsamplingRate=p.get("subsamplingRate", 1.0), seed=config.RANDOM_STATE)
+    if model_type == "leafwise":
+        return None                                             # fitted on the assembled features, not by MLlib
     raise ValueError(f"unknown model_type {model_type!r}")
 
 
 def build_pipeline(num_cols: list[str], cat_cols: list[str], classifier) -> Pipeline:
-    """Imputer(median) -> StringIndexer(keep) -> OneHotEncoder -> VectorAssembler ->
-    StandardScaler(withMean=False) -> classifier."""
+    """Filled numeric columns, StringIndexer(keep) -> OneHotEncoder -> VectorAssembler ->
+    StandardScaler(withMean=False) -> classifier, if it is one of MLlib."""
     stages = []
     imputed = [f"{c}__imp" for c in num_cols]
-    if num_cols:
-        stages.append(Imputer(strategy="median", inputCols=num_cols, outputCols=imputed))
     idx = [f"{c}__idx" for c in cat_cols]
     ohe = [f"{c}__ohe" for c in cat_cols]
     if cat_cols:
@@ -114,7 +114,8 @@ def build_pipeline(num_cols: list[str], cat_cols: list[str], classifier) -> Pipe
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=imputed + ohe, outputCol="_raw_features", handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="_raw_features", outputCol="features", withMean=False, withStd=True))
-    stages.append(classifier)
+    if classifier is not None:
+        stages.append(classifier)
     return Pipeline(stages=stages)
 
 
@@ -126,6 +127,8 @@ class CreditModel:
     categorical_features: list[str]
     categories: CategoryMaps
     model_type: str = "logreg"
+    medians: dict = field(default_factory=dict)
+    booster: boosting.Booster | None = None
     metrics_train: dict = field(default_factory=dict)
     metrics_test: dict = field(default_factory=dict)
     cv_metrics: dict = field(default_factory=dict)
@@ -134,7 +137,8 @@ class CreditModel:
         """MLlib pipeline + JSON sidecar (feature lists, category maps, metrics)."""
         self.pipeline.write().overwrite().save(os.path.join(path, "pipeline"))
         meta = {"numeric_features": self.numeric_features, "categorical_features": self.categorical_features,
-                "categories": asdict(self.categories), "model_type": self.model_type,
+                "categories": asdict(self.categories), "model_type": self.model_type, "medians": self.medians,
+                "booster": self.booster.to_dict() if self.booster else None,
                 "metrics_train": self.metrics_train, "metrics_test": self.metrics_test, "cv_metrics": self.cv_metrics}
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
@@ -147,7 +151,8 @@ class CreditModel:
         meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
         return CreditModel(pipeline=PipelineModel.load(os.path.join(path, "pipeline")),
                            numeric_features=meta["numeric_features"], categorical_features=meta["categorical_features"],
-                           categories=CategoryMaps(**meta["categories"]), model_type=meta["model_type"],
+                           categories=CategoryMaps(**meta["categories"]), model_type=meta["model_type"], medians=meta["medians"],
+                           booster=boosting.Booster.from_dict(meta["booster"]) if meta["booster"] else None,
                            metrics_train=meta["metrics_train"], metrics_test=meta["metrics_test"],
                            cv_metrics=meta["cv_metrics"])
 
@@ -159,17 +164,27 @@ def add_missing_columns(df: DataFrame, model: CreditModel) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def encoded(model: CreditModel, df: DataFrame) -> DataFrame:
+    """``df`` with the model's inputs filled, encoded and assembled, and the outputs of an MLlib classifier."""
+    data = apply_category_maps(add_missing_columns(df, model), model.categories)
+    return model.pipeline.transform(ranks.fill_medians(data, model.medians, "__imp"))
+
+
 def predict_proba(model: CreditModel, df: DataFrame, out_col: str = "risk_score") -> DataFrame:
     """P(default) for every row; missing model columns are filled with NULL first."""
-    prepared = apply_category_maps(add_missing_columns(df, model), model.categories)
-    if WEIGHT not in prepared.columns:
-        prepared = prepared.withColumn(WEIGHT, F.lit(1.0))
-    if "_label" not in prepared.columns:
-        prepared = prepared.withColumn("_label", F.lit(0.0))
-    scored = model.pipeline.transform(prepared)
+    if WEIGHT not in df.columns:
+        df = df.withColumn(WEIGHT, F.lit(1.0))
+    if "_label" not in df.columns:
+        df = df.withColumn("_label", F.lit(0.0))
+    scored = encoded(model, df)
     helper = [c for c in scored.columns if c.endswith(("__imp", "__idx", "__ohe", "__cat"))]
-    return (scored.withColumn(out_col, vector_to_array("probability")[1])
-            .drop(*helper, "_raw_features", "features", "rawPrediction", "probability", "prediction", WEIGHT, "_label"))
+    if model.booster is not None:
+        scored = boosting.with_margin(scored.withColumn("_x", vector_to_array("features")), model.booster, "_x", "_margin")
+        chance = 1 / (1 + F.exp(-F.col("_margin")))
+    else:
+        chance = vector_to_array("probability")[1]
+    return (scored.withColumn(out_col, chance)
+            .drop(*helper, "_raw_features", "features", "_x", "_margin", "rawPrediction", "probability", "prediction", WEIGHT, "_label"))
 
 
 def time_split(df: DataFrame, time_col: str = "report_date_as_of", key: str = "credit_id",
@@ -264,12 +279,19 @@ def _fit(train: DataFrame, num_cols, cat_cols, label, model_type, params) -> Cre
     prepared = class_weights(apply_category_maps(train, maps), "_label" if "_label" in train.columns else label)
     if "_label" not in prepared.columns:
         prepared = prepared.withColumn("_label", F.col(label).cast("double"))
-    prepared = keep(prepared.select(*num_cols, *[f"{c}__cat" for c in cat_cols], "_label", WEIGHT))
+    medians = ranks.column_medians(prepared, num_cols)
+    prepared = ranks.fill_medians(prepared, medians, "__imp")
+    prepared = keep(prepared.select(*[f"{c}__imp" for c in num_cols], *[f"{c}__cat" for c in cat_cols], "_label", WEIGHT))
     n = prepared.count()
     pipe = build_pipeline(num_cols, cat_cols, _classifier(model_type, n, params)).fit(prepared)
+    model = CreditModel(pipeline=pipe, numeric_features=list(num_cols), categorical_features=list(cat_cols),
+                        categories=maps, model_type=model_type, medians=medians)
+    if model_type == "leafwise":
+        rows = keep(pipe.transform(prepared).select(vector_to_array("features").alias("_x"), "_label", WEIGHT))
+        model.booster = boosting.fit(rows, "_x", "_label", WEIGHT, len(encoded_feature_names(model)), boosting.BoostParams(**(params or {})))
+        rows.unpersist()
     prepared.unpersist()
-    return CreditModel(pipeline=pipe, numeric_features=list(num_cols), categorical_features=list(cat_cols),
-                       categories=maps, model_type=model_type)
+    return model
 
 
 def encoded_feature_names(model: CreditModel) -> list[str]:
@@ -294,10 +316,10 @@ def encoded_feature_sources(model: CreditModel) -> list[str]:
 
 
 def feature_importance(model: CreditModel) -> list[tuple[str, float]]:
-    """Tree importances or |coefficients| by encoded feature, highest first."""
+    """Splits of leaf-wise trees, tree importances or |coefficients| by encoded feature, highest first."""
     clf = model.pipeline.stages[-1]
     names = encoded_feature_names(model)
-    vals = (clf.featureImportances.toArray() if hasattr(clf, "featureImportances")
+    vals = (model.booster.split_counts() if model.booster is not None else clf.featureImportances.toArray() if hasattr(clf, "featureImportances")
             else [abs(x) for x in clf.coefficients.toArray()])
     pairs = list(zip(names, [float(v) for v in vals]))
     return sorted(pairs, key=lambda t: (-t[1], t[0]))

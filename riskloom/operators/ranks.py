@@ -133,6 +133,22 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str | Column, p
     return _drop_group(quantiles_from_histogram(hist, gcols, probs, buckets, n_groups_bound), group_cols)
 
 
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median of each numeric column, nulls and NaN left out; a column without values has none."""
+    if not columns:
+        return {}
+    x = [F.struct(F.lit(c).alias("column"), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("x")) for c in columns]
+    long = df.select(F.explode(F.array(*x)).alias("v")).select("v.*")
+    found = exact_quantiles(long, ["column"], "x", [0.5], n_groups_bound=len(columns)).collect()
+    return {r["column"]: float(r["quantiles"][0]) for r in found}
+
+
+def fill_medians(df: DataFrame, medians: dict[str, float], suffix: str) -> DataFrame:
+    """A column ``<name><suffix>`` for each median, missing values replaced by it."""
+    filled = {f"{c}{suffix}": F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(m)) for c, m in medians.items()}
+    return df.withColumns(filled) if filled else df
+
+
 def quantiles_from_histogram(hist: DataFrame, group_cols: list[str], probs: list[float], buckets: int | None = None,
                              n_groups_bound: int = 10_000, count_col: str = "n") -> DataFrame:
     """Exact quantiles from a (group, value, count) histogram of non-missing values."""

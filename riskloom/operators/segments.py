@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.columns import truth
+from . import cleaning, ranks
 from .cleaning import last_slice
 
 
@@ -75,40 +76,77 @@ def segment_policy(summary: DataFrame, rate_col: str = "default_rate", high: flo
         .otherwise(F.lit(config.POLICY_MONITOR)))
 
 
-def kmeans_matrix(df: DataFrame, features: list[str] | None = None):
-    """Behaviour features, missing values -> column median, z-scored (MLlib stages)."""
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+def kmeans_matrix(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Adds ``_km_x``, the behaviour features with missing values replaced by the column's exact
+    median (a column without values counts as 0), z-scored."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
     feats = [c for c in (features or config.BEHAVIOR_FEATURES) if c in df.columns]
     imp = [f"{c}__km" for c in feats]
-    return feats, [Imputer(strategy="median", inputCols=feats, outputCols=imp),
-                   VectorAssembler(inputCols=imp, outputCol="_km_raw"),
-                   StandardScaler(inputCol="_km_raw", outputCol="_km_x", withMean=True, withStd=True)]
+    filled = ranks.fill_medians(df, dict.fromkeys(feats, 0.0) | ranks.column_medians(df, feats), "__km")
+    stages = [VectorAssembler(inputCols=imp, outputCol="_km_raw"),
+              StandardScaler(inputCol="_km_raw", outputCol="_km_x", withMean=True, withStd=True)]
+    return Pipeline(stages=stages).fit(filled).transform(filled).drop(*imp, "_km_raw")
 
 
 def kmeans_segment(df: DataFrame, k: int = 4, features: list[str] | None = None, seed: int = config.RANDOM_STATE,
                    out_col: str = "cluster") -> DataFrame:
     """K-means cluster label per row (k-means|| initialisation, fixed seed)."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    feats, stages = kmeans_matrix(df, features)
-    model = Pipeline(stages=stages + [KMeans(k=k, seed=seed, featuresCol="_km_x", predictionCol=out_col)]).fit(df)
-    return model.transform(df).drop(*[f"{c}__km" for c in feats], "_km_raw", "_km_x")
+    x = kmeans_matrix(df, features)
+    return KMeans(k=k, seed=seed, featuresCol="_km_x", predictionCol=out_col).fit(x).transform(x).drop("_km_x")
+
+
+def silhouette(df: DataFrame, vector: str, cluster: str, sample: int = config.SILHOUETTE_SAMPLE, key_cols: list[str] | None = None,
+               seed: int = config.RANDOM_STATE) -> float | None:
+    """Mean Euclidean silhouette, exact over a sample of at most ``sample`` rows (all, if there are no
+    more).  The sample, of bounded size, goes to every task; a task sums the distances of its rows to
+    each cluster.  A row alone in its cluster scores 0; fewer than two clusters give None."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import vector_to_array
+
+    from ..session import materialize
+    rows = df.select(vector_to_array(vector).alias("x"), F.col(cluster).cast("int").alias("c"), *(key_cols or []))
+    rows = materialize(cleaning.sample_rows(rows, sample, key_cols, seed).select("x", "c"))
+    found = rows.collect()
+    x, c = np.array([r["x"] for r in found], np.float64), np.array([r["c"] for r in found])
+    labels, c = np.unique(c, return_inverse=True)
+    if len(labels) < 2:
+        return None
+    sizes = np.bincount(c)
+    shared = df.sparkSession.sparkContext.broadcast((x, c, labels, sizes))
+
+    def score(batches):
+        x, c, labels, sizes = shared.value
+        member = np.eye(len(labels))[c]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                mine = np.array(part.column("x").to_pylist(), np.float64)
+                own = np.searchsorted(labels, part.column("c").to_numpy())
+                far = np.sqrt(np.square(mine[:, None, :] - x[None, :, :]).sum(axis=2)) @ member     # row, cluster
+                at = np.arange(len(own))
+                inner = far[at, own] / np.maximum(sizes[own] - 1, 1)
+                outer = far / sizes
+                outer[at, own] = np.inf
+                outer = outer.min(axis=1)
+                s = np.divide(outer - inner, np.maximum(inner, outer), out=np.zeros(len(own)), where=np.maximum(inner, outer) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(sizes[own] > 1, s, 0.0))], ["s"])
+
+    return rows.mapInArrow(score, "s double").agg(F.avg("s")).first()[0]
 
 
 def kmeans_k_search(df: DataFrame, k_values=(2, 3, 4, 5, 6, 7), features: list[str] | None = None,
                     seed: int = config.RANDOM_STATE) -> DataFrame:
-    """Inertia (training cost) and silhouette (squared Euclidean, MLlib's evaluator, over all
-    rows) for each k.  The scaled matrix is built once and persisted for the loop."""
-    from pyspark.ml import Pipeline
+    """Inertia (training cost) and Euclidean silhouette (over a sample of at most
+    ``config.SILHOUETTE_SAMPLE`` rows) for each k.  The scaled matrix is built once and persisted."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from ..session import keep
-    feats, stages = kmeans_matrix(df, features)
-    x = keep(Pipeline(stages=stages).fit(df).transform(df).select("_km_x"))
+    x = keep(kmeans_matrix(df, features).select("_km_x"))
     rows = []
     for k in k_values:
         m = KMeans(k=k, seed=seed, featuresCol="_km_x", predictionCol="_c").fit(x)
-        sil = ClusteringEvaluator(featuresCol="_km_x", predictionCol="_c").evaluate(m.transform(x))
-        rows.append((int(k), float(m.summary.trainingCost), float(sil)))
+        rows.append((int(k), float(m.summary.trainingCost), silhouette(m.transform(x), "_km_x", "_c", seed=seed)))
     x.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

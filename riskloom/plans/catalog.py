@@ -793,7 +793,7 @@ FROM (
 def q_ks_drift(spark, sf_dir):
     """Two-sample KS statistic and asymptotic p-value per numeric feature."""
     ref, cur = drift_sides(spark, sf_dir)
-    return rounded(drift.ks_two_sample(ref, cur, DRIFT_NUM), {"p_value": 8})
+    return rounded(drift.ks_two_sample(ref, cur, DRIFT_NUM, exact=False), {"p_value": 8})
 
 
 @register("chi_square_drift", _drift_sql(body=f"""
@@ -807,7 +807,7 @@ SELECT feature, round(SUM(tr + tc), 8) AS chi2 FROM (
         SELECT feature, o_r, o_c, SUM(o_r) OVER (PARTITION BY feature) AS R, SUM(o_c) OVER (PARTITION BY feature) AS C,
                COUNT(*) OVER (PARTITION BY feature) AS k
         FROM (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, COALESCE(CAST({c} AS VARCHAR), 'nan') AS v, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) + 1 AS o_r, "
+    f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS v, SUM(CASE WHEN side = 0 THEN 1 ELSE 0 END) + 1 AS o_r, "
     f"SUM(CASE WHEN side = 1 THEN 1 ELSE 0 END) + 1 AS o_c FROM drift_src GROUP BY 2" for c in DRIFT_CAT) + """)))))
 GROUP BY feature"""))
 def q_chi_square_drift(spark, sf_dir):
@@ -891,6 +891,13 @@ def q_model_metrics_gbt(spark, sf_dir):
     return _metrics_rows(spark, trained(spark, sf_dir, "gbt", {"maxIter": 60}, cv=False))
 
 
+@register("model_metrics_leafwise")
+def q_model_metrics_leafwise(spark, sf_dir):
+    """D4 + D7: leaf-wise boosted trees with the published settings but for the number of trees (60
+    instead of 600, to bound the check's run time), no CV; train / test metrics."""
+    return _metrics_rows(spark, trained(spark, sf_dir, "leafwise", {"n_estimators": 60}, cv=False))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """|coefficient| per encoded feature of the logistic model, highest first."""
@@ -949,7 +956,19 @@ def q_permutation_importance(spark, sf_dir):
 @register("linear_contributions")
 def q_linear_contributions(spark, sf_dir):
     """Per contract (its newest row) and encoded feature coef * (x - mean)."""
-    return explain.linear_contributions(trained(spark, sf_dir, "logreg"), newest_rows(spark, sf_dir))
+    return explain.contributions(trained(spark, sf_dir, "logreg"), newest_rows(spark, sf_dir))
+
+
+@register("tree_contributions")
+def q_tree_contributions(spark, sf_dir):
+    """Per contract (its newest row) and encoded feature the Shapley value of the leaf-wise trees' log odds."""
+    return explain.contributions(trained(spark, sf_dir, "leafwise", {"n_estimators": 60}, cv=False), newest_rows(spark, sf_dir))
+
+
+@register("explain_top5_trees")
+def q_explain_top5_trees(spark, sf_dir):
+    """Top five reasons per contract (its newest row) under the leaf-wise trees."""
+    return explain.explain_top(trained(spark, sf_dir, "leafwise", {"n_estimators": 60}, cv=False), newest_rows(spark, sf_dir), 5)
 
 
 @register("explain_top5")
@@ -1081,7 +1100,11 @@ def q_dashboard_marts(spark, sf_dir):
     return joined(spark.read.parquet(paths["scored"]), "rules_triggered", "recommendations")
 
 
-@register("panel_sample")
+@register("panel_sample", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, body=f"""
+SELECT credit_id, report_date_as_of, balance_debt, dpd, utilization FROM prepared
+ORDER BY md5(concat_ws('|', '{config.RANDOM_STATE}', CAST(credit_id AS VARCHAR), CAST(report_date_as_of AS VARCHAR)))
+LIMIT 1000"""))
 def q_panel_sample(spark, sf_dir):
-    """Uniform 10 % sample of the prepared panel with a fixed seed (the sampling operator)."""
-    return prepared(spark, sf_dir).sample(withReplacement=False, fraction=0.1, seed=config.RANDOM_STATE)
+    """1,000 rows of the prepared panel, those with the smallest keyed hash (the sampling operator)."""
+    some = cleaning.sample_rows(prepared(spark, sf_dir), 1000, ["credit_id", "report_date_as_of"])
+    return some.select("credit_id", "report_date_as_of", "balance_debt", "dpd", "utilization")
