@@ -1,5 +1,11 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a text renderer.
 
+A number of more than nine digits counts as none, a span of more than 1,000 as 1,000, a character reference beyond all
+characters as U+FFFD.  Text, like any tag that can't stand there, ends the head.  Hidden is what ``hidden``,
+declarations of ``display``, ``visibility`` and ``content-visibility`` in ``style``, or rules of style sheets for plain
+tags, classes and ids say, the last and strongest declaration counting; ``visibility`` is inherited and may be taken
+back inside.  Other selectors and at-rules are not looked at.
+
 All visible text comes out, in reading order: block elements on lines of their own, paragraphs, headings, lists and
 tables set off by an empty line, list items with markers and indentation, preformatted text as it stands, table cells
 in aligned columns.  Hidden elements, scripts, styles, comments and the head are left out.
@@ -17,8 +23,8 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: element kinds and which start tags end which open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style noscript template title meta link base datalist iframe object audio video canvas xmp noembed noframes annotation annotation-xml mphantom".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr".split())
+INVISIBLE = frozenset("head script style noscript template title meta link base datalist iframe object audio video canvas noembed noframes annotation annotation-xml mphantom".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre xmp figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main nav optgroup option search section summary tbody td tfoot th thead tr caption".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]),
@@ -41,29 +47,123 @@ PAD = 80                       # a wider cell is not padded for
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+_ENDERS = frozenset().union(*CLOSED_BY.values())
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
+_ZEROS, _LONG = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
+HIDES = ("display", "visibility", "content-visibility")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
     """A tag, its attributes, and its children: elements and strings."""
 
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "styles")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.tag, self.attrs, self.children, self.styles = tag, attrs or {}, [], []
 
     def visible(self) -> bool:
-        a = self.attrs
-        if self.tag in INVISIBLE or "hidden" in a and a["hidden"].lower() != "until-found" or self.tag == "dialog" and "open" not in a:
-            return False
-        return not (self.tag == "input" or "style" in a and _HIDING.search(a["style"]))
+        return self.tag not in INVISIBLE and self.tag != "input"
+
+
+def _unescape(text: str) -> str:
+    """Character references by their characters; one of more digits than any character has stands for none."""
+    if "&#" in text:
+        text = _LONG.sub("&#9999999", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """What a list of declarations says of ``HIDES``: (important, value); the last one counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", style).split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in HIDES and value:
+            important = value.endswith("important") and "!" in value
+            if important or not out.get(name, (False,))[0]:
+                out[name] = important, value.split("!")[0].strip()
+    return out
+
+
+def _rules(sheet: str) -> list[tuple[tuple, str, frozenset, frozenset, dict]]:
+    """(specificity, tag, classes, ids, declarations) of the rules for one plain element, in order; rules with other
+    selectors, and what stands in at-rules, are left out."""
+    out, depth, head, at = [], 0, 0, 0
+    sheet = _COMMENT.sub("", sheet)
+    for m in re.finditer(r"[{};]", sheet):
+        if m.group() == "{":
+            depth += 1
+            if depth == 1:
+                at = m.end()
+        elif m.group() == "}" and depth:
+            depth -= 1
+            if not depth:
+                selectors, said = sheet[head:at - 1].strip(), None
+                head = m.end()
+                if selectors.startswith("@"):
+                    continue
+                for selector in selectors.split(","):
+                    found = _SIMPLE.fullmatch(selector.strip())
+                    if found and found.group():
+                        said = _declared(sheet[at:m.start()]) if said is None else said
+                        marks = re.findall(r"[.#][\w-]+", found[2])
+                        classes, ids = (frozenset(x[1:] for x in marks if x[0] == c) for c in ".#")
+                        tag = (found[1] or "*").lower()
+                        if said:
+                            out.append(((len(ids), len(classes), tag != "*"), tag, classes, ids, said))
+        elif not depth:
+            head = m.end()
+    return out
+
+
+def _prune(root: Element) -> bool:
+    """Takes out what style rules, attributes and inherited visibility hide; whether the page is seen at all."""
+    rules = [rule for sheet in root.styles for rule in _rules(sheet)]
+
+    def said(node: Element) -> dict[str, str]:
+        found: dict[str, tuple] = {}
+        if rules:
+            own, name = frozenset(node.attrs.get("class", "").split()), node.attrs.get("id")
+            tags = ("*", node.tag, "body" if node is root else "*")      # the root stands for the body, too
+            for turn, (weight, tag, classes, ids, values) in enumerate(rules):
+                if tag in tags and classes <= own and ids <= {name}:
+                    for k, (important, v) in values.items():
+                        found[k] = max(found.get(k, ((False,), "")), ((important, 0, weight, turn), v))
+        for k, (important, v) in _declared(node.attrs["style"]).items() if "style" in node.attrs else ():
+            found[k] = max(found.get(k, ((False,), "")), ((important, 1), v))
+        return {k: v for k, (_, v) in found.items()}
+
+    def gone(node: Element, own: dict[str, str]) -> bool:
+        closed = "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in node.attrs
+        return own.get("display") == "none" or closed and "display" not in own or own.get("content-visibility") == "hidden"
+
+    own = said(root)
+    if gone(root, own):
+        return False
+    todo = [(root, own.get("visibility") in ("hidden", "collapse"))]
+    while todo:
+        node, unseen = todo.pop()
+        left = []
+        for child in node.children:
+            if isinstance(child, str):
+                if not unseen:
+                    left.append(child)
+                continue
+            own = said(child)
+            if not gone(child, own):
+                left.append(child)
+                seen = own.get("visibility", "inherit")
+                todo.append((child, seen in ("hidden", "collapse") or unseen and seen in ("inherit", "unset")))
+        node.children = left
+    return True
 
 
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in _ATTR.findall(text):
-        out.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+        out.setdefault(name.lower(), _unescape(value.strip("\"'")))
     return out
 
 
@@ -74,6 +174,8 @@ def parse(source: str) -> Element:
 
     def implied_ends(tag: str) -> None:
         """End the open elements that a start tag ends, up to the element that bounds them."""
+        if tag not in _ENDERS:
+            return
         for k in range(len(stack) - 1, 0, -1):
             own = stack[k].tag
             if own in CLOSED_BY and tag in CLOSED_BY[own]:
@@ -108,6 +210,8 @@ def parse(source: str) -> Element:
     def add(node: Element | str) -> None:
         """Append to the open element; what may not stand in a table goes before it."""
         nonlocal moved
+        if stack[-1].tag == "head" and isinstance(node, str) and node.strip(" \t\n\r\f"):
+            stack.pop()                    # text is of the body, which begins with it
         own = stack[-1].children
         k = table_mode() if stack[-1].tag in NO_TEXT and (isinstance(node, str) or node.tag not in TABLE_PARTS and node.tag not in STAYS) else 0
         if k:
@@ -125,7 +229,7 @@ def parse(source: str) -> Element:
         if m.start() < at:
             continue
         if m.start() > at:
-            add(html.unescape(source[at:m.start()]))
+            add(_unescape(source[at:m.start()]))
         at = m.end()
         if m["cdata"]:
             add(m["cdata"])
@@ -159,13 +263,16 @@ def parse(source: str) -> Element:
             add(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                if tag == "textarea":
-                    node.children.append(html.unescape(source[at:end.start() if end else len(source)]))
+                inner = source[at:end.start() if end else len(source)]
+                if tag == "textarea" or tag == "xmp":
+                    node.children.append(_unescape(inner) if tag == "textarea" else inner)
+                elif tag == "style":
+                    root.styles.append(inner)
                 at = end.end() if end else len(source)
             elif tag not in VOID and not (m["attrs"] or "").endswith("/") and len(stack) < DEPTH and not (tag == "form" and in_table):
                 stack.append(node)
     if at < len(source):
-        add(html.unescape(source[at:]))
+        add(_unescape(source[at:]))
     return root
 
 
@@ -226,7 +333,7 @@ def _inside(node: Element) -> list[str]:
 
 
 def _items(node: Element, layout: Layout) -> None:
-    number = int(node.attrs["start"]) if node.attrs.get("start", "").isdecimal() else 1
+    number = int(node.attrs["start"]) if re.fullmatch(r"-?[0-9]{1,9}", node.attrs.get("start", "")) else 1
     for child in node.children:
         if isinstance(child, Element) and child.tag == "li":
             if child.visible():
@@ -271,32 +378,32 @@ def _svg(node: Element, layout: Layout) -> None:
 
 
 def _span(cell: Element, name: str) -> int:
-    value = cell.attrs.get(name, "")
-    return max(1, min(int(value), 1000)) if value.isascii() and value.isdigit() else 1
+    digits = re.fullmatch(r"0*([0-9]*)", cell.attrs.get(name, ""))
+    return max(1, min(int(digits[1][:5] or 0), 1000)) if digits else 1
 
 
 def _table(node: Element, layout: Layout) -> None:
     """Text outside cells first, then rows with cells in aligned columns, two blanks apart."""
     _outside_rows(node, layout)
     grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}                           # column: rows that a cell above still covers
+    taken: list[tuple[int, int, int]] = []               # first column, last one and rows that cells above still cover
     for row in _rows(node):
-        cells, column = {}, 0
-        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        cells, column, ahead = {}, 0, iter(taken)
+        below, cover = [(a, b, n - 1) for a, b, n in taken if n > 1], next(ahead, None)
         for cell in row.children:
             if not isinstance(cell, Element) or cell.tag not in ("td", "th"):
                 if isinstance(cell, Element) or cell.strip():
                     _child(cell, layout)
                 continue
-            while column in taken:
-                column += 1
+            while cover and cover[0] <= column:
+                column, cover = max(column, cover[1] + 1), next(ahead, None)
             if cell.visible():
                 cells[column] = _inside(cell)
             wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
             if high > 1:
-                below.update(dict.fromkeys(range(column, column + wide), high - 1))
+                below.append((column, column + wide - 1, high - 1))
             column += wide
-        taken = below
+        taken = sorted(below)
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
@@ -339,7 +446,7 @@ def _child(child: Element | str, layout: Layout) -> None:
         _items(child, layout)
     elif tag == "table":
         _table(child, layout)
-    elif tag == "pre":
+    elif tag in ("pre", "xmp"):
         layout.block("".join(_strings(child)).strip("\n").split("\n"))
     elif tag in ("blockquote", "dd"):
         layout.block([f"  {x}" if x else x for x in _inside(child)])
@@ -375,7 +482,7 @@ def visible_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    return "\n".join(_inside(root)) if root.visible() else ""
+    return "\n".join(_inside(root)) if _prune(root) else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

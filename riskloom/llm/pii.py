@@ -4,9 +4,8 @@ Kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), IB
 numbers, dates, and secrets (access key ids, values after password, token or key).  A value is replaced only if it is
 valid for its kind.  The permutation depends on key and kind alone, so equal values get equal pseudonyms in all
 documents and different values of a format different ones; lengths, separators and check digits stay valid.  Decimal
-digits of any script count by their value, and those put in their places are of the same script.  A
-permutation may leave a value as it is, with a chance of one in the number of values of its format; such a value is
-permuted under the next of four tweaks, so that it does not stay.
+digits of any script count by their value, and those put in their places are of the same script.  The
+permutation is one step along a keyed cycle through all values of the format, so that none stays as it is.
 
 Phone numbers are North American ones with separators, French ones in five pairs, and those with + and a country code
 whose number of digits the code allows.  Days and months have one or two digits.  Values after password, passwd, pwd,
@@ -48,13 +47,26 @@ class Permutation:
             right = (right + self._noise(turn + 1, a * b, left)) % b
         return left, right
 
+    def unpair(self, left: int, right: int, a: int, b: int) -> tuple[int, int]:
+        """What ``pair`` leads to (left, right) from."""
+        for turn in range(ROUNDS - 2, -2, -2):
+            right = (right - self._noise(turn + 1, a * b, left)) % b
+            left = (left - self._noise(turn, a * b, right)) % a
+        return left, right
+
+    def cycle(self, value: int, a: int, b: int) -> int:
+        """One step along a keyed cycle through range(a * b): the Feistel network leads to a place, one is added, and
+        the network leads back.  A permutation without a fixed point."""
+        left, right = self.pair(value // b, value % b, a, b)
+        left, right = self.unpair(*divmod((left * b + right + 1) % (a * b), b), a, b)
+        return left * b + right
+
     def number(self, value: int, bound: int) -> int:
-        """A permutation of range(bound): Feistel on the smallest grid that holds it, walked until inside."""
+        """A permutation of range(bound): the cycle of the smallest grid that holds it, walked until inside."""
         a = max(1, int(bound ** 0.5))
         b = -(-bound // a)
         while True:
-            left, right = self.pair(value // b, value % b, a + (a * b < bound), b)
-            value = left * b + right
+            value = self.cycle(value, a + (a * b < bound), b)
             if value < bound:
                 return value
 
@@ -65,8 +77,7 @@ class Permutation:
         for c in value:
             number = number * r + alphabet.index(c)
         low = n // 2
-        left, right = self.pair(number // r**low, number % r**low, r ** (n - low), r**low)
-        number, out = left * r**low + right, []
+        number, out = self.cycle(number, r ** (n - low), r**low), []
         for _ in range(n):
             number, k = divmod(number, r)
             out.append(alphabet[k])
@@ -241,20 +252,17 @@ class Pseudonyms:
     """Finds and replaces values under one key."""
 
     def __init__(self, key: bytes):
-        self.kinds = [(kind, make, [Permutation(key, f"{kind}{k}") for k in range(4)]) for kind, make, _ in KINDS]
+        self.kinds = {kind: (make, Permutation(key, kind)) for kind, make, _ in KINDS}
         self.patterns = [(kind, re.compile(pattern).match) for kind, _, pattern in KINDS]
         self.find = re.compile("|".join(f"(?:{_named(pattern, kind)})" for kind, _, pattern in KINDS)).search
-        self.hint = re.compile(r"[0-9@]|(?i:passw|pwd|token|secret|api[_ -]?key)").search
+        self.hint = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|token|secret|api[_ -]?key)").search      # one is in every value or before it
 
     def value(self, kind: str, text: str) -> str | None:
         """The pseudonym; None if ``text`` is not valid for the kind."""
-        _, make, tweaks = next(x for x in self.kinds if x[0] == kind)
+        make, p = self.kinds[kind]
         plain = _decimal(text)
-        for p in tweaks:
-            new = make(p, plain)
-            if new != plain:
-                return new if new is None or plain == text else _as_written(new, text)
-        return text
+        new = make(p, plain)
+        return new if new is None or plain == text else _as_written(new, text)
 
     def _valid(self, plain: str, text: str, at: int):
         """(kind, end, pseudonym) of the kinds with a valid value at this place; ``plain`` is ``text`` in digits 0-9."""

@@ -25,8 +25,8 @@ SLACK = 1e-9                   # bounds give way by this much, so that rounding
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, dim, norm, packed): floor(scale * x) of every component as float64 bytes; vectors that are null or hold a
-    null or a non-finite component, and rows without id, are left out."""
+    """(id, dim, norm, packed, row): floor(scale * x) of every component as float64 bytes, and a number of the row;
+    vectors that are null or hold a null or a non-finite component, and rows without id, are left out."""
     def pack(batches):
         for batch in batches:
             ids, dims, norms, packed = [], [], [], []
@@ -44,19 +44,20 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "dim", "norm", "packed"])
 
     rows = plain(vectors, id_col, vec_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("v"))
-    return rows.where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "id long, dim int, norm double, packed binary").dropDuplicates()
+    return rows.where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "id long, dim int, norm double, packed binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def blocks(rows: DataFrame, numbers: int, by_length: bool) -> DataFrame:
-    """A row for each block of (id, dim, norm, packed): dim, bucket, part, longest, ids, norms and matrix, longest first."""
+    """A row for each block of (id, dim, norm, packed, row): dim, bucket, part, longest, ids, rows, norms and matrix,
+    longest first."""
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / STEP)).otherwise(F.lit(-(1 << 40))) if by_length else F.lit(0).cast("long")
     rows = rows.withColumn("bucket", bucket)
     counts = rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
     per = F.greatest(F.lit(16), (numbers / F.greatest("dim", F.lit(1))).cast("long"))
-    placed = rows.join(counts, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / per)))
-    members = F.sort_array(F.collect_list(F.struct("norm", "id", "packed")), asc=False)      # about ``per`` rows
+    placed = rows.join(counts, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / per)))
+    members = F.sort_array(F.collect_list(F.struct("norm", "id", "row", "packed")), asc=False)      # about ``per`` rows
     grouped = placed.groupBy("dim", "bucket", "part").agg(members.alias("m"))
-    return grouped.select("dim", "bucket", "part", F.col("m")[0]["norm"].alias("longest"), F.col("m.id").alias("ids"), F.col("m.norm").alias("norms"), F.col("m.packed").alias("matrix"))
+    return grouped.select("dim", "bucket", "part", F.col("m")[0]["norm"].alias("longest"), F.col("m.id").alias("ids"), F.col("m.row").alias("rows"), F.col("m.norm").alias("norms"), F.col("m.packed").alias("matrix"))
 
 
 def _matrix(packed: list[bytes], dim: int) -> np.ndarray:
@@ -76,8 +77,8 @@ def products(a: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array(big, dtype=np.int64)
 
 
-def hits(query: int, q: np.ndarray, length: float, bound: int | None, ids: np.ndarray, norms: np.ndarray, rows: np.ndarray, unit: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block for one query, none below ``bound``; vectors longest first."""
+def hits(query: int, q: np.ndarray, length: float, bound: int | None, ids: np.ndarray, numbers: np.ndarray, norms: np.ndarray, rows: np.ndarray, unit: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) of a block for the query of row ``query``, none below ``bound``; vectors longest first."""
     chosen = np.arange(len(ids))
     if bound is not None and bound > 0 and length > 0:
         need = bound / length * (1 - SLACK)
@@ -98,7 +99,7 @@ def hits(query: int, q: np.ndarray, length: float, bound: int | None, ids: np.nd
             chosen = np.flatnonzero(keep)
         else:
             chosen = np.arange(int(np.searchsorted(-norms, -need, "right")))
-    chosen = chosen[ids[chosen] != query]
+    chosen = chosen[numbers[chosen] != query]
     score = products(rows[chosen], q)
     if bound is not None:
         chosen, score = chosen[score >= bound], score[score >= bound]
@@ -107,59 +108,60 @@ def hits(query: int, q: np.ndarray, length: float, bound: int | None, ids: np.nd
 
 
 def _scan(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each block pair's best, from rows (q_ids, q_matrix, bounds, dim, ids, norms, matrix)."""
+    """(query, query_id, vec_id, score) of each block pair's best; ``query`` is the query's row."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ids, norms, rows = np.array(r["ids"]), np.array(r["norms"]), _matrix(r["matrix"], r["dim"])
+                ids, numbers, norms, rows = np.array(r["ids"]), np.array(r["rows"]), np.array(r["norms"]), _matrix(r["matrix"], r["dim"])
                 unit = rows / np.where(norms > 0, norms, 1)[:, None]
-                out = [(query, i, s) for query, q, b in zip(r["q_ids"], _matrix(r["q_matrix"], r["dim"]), r["bounds"], strict=True)
-                       for s, i in hits(query, q, float(np.sqrt(q @ q)), b, ids, norms, rows, unit, k)]
-                columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                out = [(query, query_id, i, s) for query, query_id, q, b in zip(r["q_rows"], r["q_ids"], _matrix(r["q_matrix"], r["dim"]), r["bounds"], strict=True)
+                       for s, i in hits(query, q, float(np.sqrt(q @ q)), b, ids, numbers, norms, rows, unit, k)]
+                columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
 
-    columns = ["q_ids", "q_matrix", "bounds", "dim", "ids", "norms", "matrix"]
-    return pairs.select(*columns).mapInArrow(run, "query_id long, vec_id long, score long")
+    columns = ["q_rows", "q_ids", "q_matrix", "bounds", "dim", "ids", "rows", "norms", "matrix"]
+    return pairs.select(*columns).mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every`` the k highest integer
     products with the other vectors of its dimension, ties to the smaller id.
 
-    Null vectors, vectors with null or non-finite components and rows without id take no part; rows that repeat id and
-    vector count once, and a query never meets a row of its own id.  Vectors of length 0 score 0.  Fewer candidates
+    Null vectors, vectors with null or non-finite components and rows without id take no part.  Rows count each for
+    itself: a row that repeats an id or a vector is a candidate, and a query if its id is one, and a query only never
+    meets its own row.  Vectors of length 0 score 0.  Fewer candidates
     than k give fewer rows, an empty table none; other columns are ignored.  Scores beyond a long raise an error.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     rows = scratch.save(integer_vectors(vectors, id_col, vec_col, scale), "vectors")
     data = scratch.save(blocks(rows, BLOCK_NUMBERS, True), "blocks")
     asked = blocks(rows.where(F.col("id") % every == 0), QUERY_NUMBERS, False)
-    asked = asked.select(F.col("dim").alias("q_dim"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("matrix").alias("q_matrix"))
+    asked = asked.select(F.col("dim").alias("q_dim"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("norms").alias("q_norms"), F.col("matrix").alias("q_matrix"))
     asked = scratch.save(asked, "queries")
 
     first = data.groupBy("dim").agg(F.max(F.struct("longest", "bucket", "part")).alias("f")).select("dim", F.col("f.bucket").alias("bucket"), F.col("f.part").alias("part"))
     seed = data.join(first, ["dim", "bucket", "part"], "left_semi")
     none = F.transform("q_ids", lambda _: F.lit(None).cast("long"))
     found = _scan(asked.join(seed, F.col("q_dim") == F.col("dim")).withColumn("bounds", none), k)
-    bounds = found.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("bound")).where(F.col("c") >= k)
-    each = asked.select("q_dim", "q_part", F.posexplode(F.arrays_zip("q_ids", "q_norms")).alias("at", "q"))
-    each = each.join(bounds.withColumnRenamed("query_id", "id"), F.col("q.q_ids") == F.col("id"), "left")
+    bounds = found.groupBy("query").agg(F.count("*").alias("c"), F.min("score").alias("bound")).where(F.col("c") >= k)
+    each = asked.select("q_dim", "q_part", F.posexplode(F.arrays_zip("q_rows", "q_norms")).alias("at", "q"))
+    each = each.join(bounds, F.col("q.q_rows") == F.col("query"), "left")
     reach = F.when(F.col("bound") > 0, F.col("bound") / F.col("q.q_norms")).otherwise(F.lit(float("-inf")))
     known = each.groupBy("q_dim", "q_part").agg(F.sort_array(F.collect_list(F.struct("at", "bound"))).alias("b"), F.min(reach).alias("least"))   # one query block
     asked = scratch.save(asked.join(known.withColumn("bounds", F.col("b.bound")), ["q_dim", "q_part"]).drop("b"), "bounded")
 
     near = data.select("dim", "bucket", "part", "longest").join(asked.select("q_dim", "q_part", "least"), (F.col("q_dim") == F.col("dim")) & (F.col("longest") >= F.col("least") * (1 - SLACK)))
     pairs = near.drop("least", "longest", "q_dim").join(data, ["dim", "bucket", "part"]).join(asked.withColumnRenamed("q_dim", "dim"), ["dim", "q_part"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = _scan(pairs, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL of the query: every product of a query with every other vector.
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

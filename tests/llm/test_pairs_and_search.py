@@ -105,15 +105,13 @@ def test_graph_components(spark):
 
 
 def top_by_hand(rows, k, every):
-    data = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            data[(i, tuple(math.floor(256 * x) for x in v))] = None
-    out = set()
-    for q in {i for i, _ in data if i % every == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(w, v)), i) for p, w in data if p == q for i, v in data if i != q and len(v) == len(w))
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)}
-    return out
+    data = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for at, (q, w) in enumerate(data):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, (i, v) in enumerate(data) if j != at and len(v) == len(w))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
 
 
 def test_top_products(spark, monkeypatch):
@@ -127,7 +125,7 @@ def test_top_products(spark, monkeypatch):
     rows += [(1100, None), (1101, [1.0, None] * 3), (1102, [float("nan")] * 6), (1103, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (1150, [1.0, 2.0]), (1151, []), (1200, [])]
     data = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, id string")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert set(map(tuple, topk.top_products(data, 5, 10).collect())) == top_by_hand(rows, 5, 10)
+    assert sorted(map(tuple, topk.top_products(data, 5, 10).collect())) == top_by_hand(rows, 5, 10)
     assert topk.top_products(data.limit(0), 5, 10).count() == 0
 
 
@@ -136,3 +134,18 @@ def test_products_never_wrap():
     assert topk.products(np.array([[2.0**31, 1]]), np.array([2.0**30, 3])).tolist() == [2**61 + 3]
     with pytest.raises(OverflowError):
         topk.products(np.array([[2.0**60, 1]]), np.array([2.0**10, 3]))
+
+
+def test_rows_count_each_for_itself_in_operator_and_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    ship(spark)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [rows[7], rows[7], rows[50], (50, rows[3][1]), (100, rows[50][1])]        # a vector three times, a query twice, an id twice
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = sorted(map(tuple, topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    assert got == sorted(con.sql(topk.SQL).fetchall()) == top_by_hand(rows, 5, 50)
