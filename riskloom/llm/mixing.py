@@ -1,12 +1,14 @@
 """Mixing sources to target weights.
 
-The words of each source, its documents in a pseudorandom order, are packed into blocks of a fixed number of words.
+The words of each source, its documents in a pseudorandom order, are packed into blocks of a fixed number of words,
+shorter in a source whose target is less than ``FINE`` blocks, so that whole blocks come near it.
 For every output shard the number of blocks of each source is drawn from a multinomial over what the sources still
 have to give, so that the shards' sums are the sources' quotas.  The slots of a source run through pseudorandom
 permutations of its block indices, one permutation an epoch, and blocks are joined to slots by index.  A source's
 quota is at most three epochs, so no block, and no document, is taken more than three times.
 
-Only one row a source, and the shards' counts, pass through the driver.
+Sources stay in a table: they are numbered by ranges, their targets take a few sums over them, and counts are drawn
+for ``RANGE`` sources at a time, each range giving every shard its part.
 """
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -26,26 +28,30 @@ WEIGHTS = (5, 2, 1)
 MOST = 3                       # times that a source's words may be taken
 
 BLOCK_WORDS, SHARDS, SEED = 128, 32, 11
-MAX_SOURCES = 100_000          # bound of what the driver gets: one row a source
+FINE = 40                      # blocks that a source's target holds at least, down to blocks of one word
+RANGE = 4096                   # sources whose counts are drawn together
 CHUNK = 1 << 14                # slots that one row of the draw table stands for
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[float], weights: list[float], most: float = MOST) -> list[float]:
-    """Shares of the sum of sizes by weight, none above ``most`` times its size; the excess goes to the others."""
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = {i for i in open_ if left * weights[i] / total > most * sizes[i]}
-        if not full:
-            for i in open_:
-                out[i] = left * weights[i] / total
+def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """``sources(size, weight, ...)`` with ``target``: shares of the sum of sizes by weight, none above ``most`` times its
+    size; the excess goes to the others.  A round is one sum over the table; the share of a weight only grows."""
+    def sums(where: Column):
+        closed = F.when(where, F.lit(most) * F.col("size")).otherwise(0)
+        return sources.agg(F.sum("size") - F.sum(closed), F.sum(F.when(~where, F.col("weight")).otherwise(0))).first()
+
+    full = F.lit(False)
+    left, total = sums(full)
+    while total:
+        again = F.lit(left) * F.col("weight") / F.lit(total) > most * F.col("size")
+        now = sums(again)
+        if tuple(now) == (left, total):
+            full = again
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        open_ -= full
-    return out
+        left, total = now
+    share = F.lit(left or 0) * F.col("weight") / F.lit(total or 1)
+    return sources.withColumn("target", F.when(full, most * F.col("size")).otherwise(share).cast("double"))
 
 
 def draw(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -81,14 +87,13 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 @dataclass
 class Mixture:
     """``sized``: row, doc_id, sid, size, begin (its first word in its source); ``sources``: for each sid its name,
-    size, target, blocks and quota; ``slots``: shard, position, sid, epoch, block; ``pieces``: row, sid, block,
+    size, target, words of a block, blocks and quota; ``slots``: shard, position, sid, epoch, block; ``pieces``: row, sid, block,
     first (word in the document) and words."""
 
     sized: DataFrame
-    sources: list[dict]
+    sources: DataFrame
     slots: DataFrame
     pieces: DataFrame
-    block_words: int
 
     def used(self) -> DataFrame:
         """(row, sid, block, first, words, uses): pieces with the number of slots that take them."""
@@ -96,19 +101,32 @@ class Mixture:
         return self.pieces.join(uses, ["sid", "block"])
 
 
-def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
-    rows, start = [], np.zeros(counts.shape[1], np.int64)
-    for shard, own in enumerate(counts):
-        at, total = 0, int(own.sum())
-        for sid in np.flatnonzero(own):
-            rows.append((shard, int(sid), int(start[sid]), int(own[sid]), at, total, int(blocks[sid])))
-            at += int(own[sid])
-        start += own
-    drawn = spark.createDataFrame(rows, "shard int, sid int, start long, n long, at long, total long, blocks long")
+def drawn_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, sid, start, n, at, total, blocks): how many slots of a shard a source gets, from which of the source's
+    slots and which place of the shard on, and how many slots the shard has."""
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                sids, quotas, blocks = (np.array([s[c] for s in r["own"]], np.int64) for c in ("sid", "quota", "blocks"))
+                start = np.zeros(len(sids), np.int64)
+                for shard, own in enumerate(draw(quotas, shards, seed + r["range"])):
+                    some = np.flatnonzero(own)
+                    columns = [np.full(len(some), shard), np.full(len(some), r["range"]), sids[some], start[some], own[some], (np.cumsum(own) - own)[some], blocks[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["shard", "range", "sid", "start", "n", "inside", "blocks"])
+                    start += own
+
+    ranges = sources.where("quota > 0").groupBy(F.floor(F.col("sid") / RANGE).alias("range")).agg(F.sort_array(F.collect_list(F.struct("sid", "quota", "blocks"))).alias("own"))
+    drawn = ranges.mapInArrow(run, "shard long, range long, sid long, start long, n long, inside long, blocks long")
+    sums = drawn.groupBy("shard", "range").agg(F.sum("n").alias("own"))                     # few rows a shard
+    shard = Window.partitionBy("shard")
+    sums = sums.select("shard", "range", (F.sum("own").over(shard.orderBy("range")) - F.col("own")).alias("before"), F.sum("own").over(shard).alias("total"))
+    return drawn.join(sums, ["shard", "range"]).select("shard", "sid", "start", "n", (F.col("before") + F.col("inside")).alias("at"), "total", "blocks")
+
+
+def _slots(drawn: DataFrame, seed: int) -> DataFrame:
     step = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))
     chunks = drawn.withColumn("skip", F.explode(step)).select("shard", "sid", (F.col("start") + F.col("skip")).alias("start"), F.least(F.lit(CHUNK), F.col("n") - F.col("skip")).alias("n"), (F.col("at") + F.col("skip")).alias("at"), "total", "blocks")
-    n = int(-(-counts.sum() // CHUNK)) + 1
-    chunks = chunks.repartition(min(n, 10_000), "shard", "sid", "start")
+    chunks = chunks.repartition("shard", "sid", "start")
 
     def expand(batches):
         tb.begin("mixing")
@@ -120,9 +138,9 @@ def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: in
                 key = tb.mix((one * (seed * 1_000_003 + r["sid"])).astype(np.uint64) ^ tb.mix(epoch.astype(np.uint64), 40), 41)
                 block = permuted(index % r["blocks"], one * r["blocks"], key)
                 place = permuted(np.arange(r["at"], r["at"] + r["n"]), one * r["total"], tb.mix((one * (seed * 1_000_003 + r["shard"])).astype(np.uint64), 42))
-                yield pa.RecordBatch.from_arrays([pa.array((one * r["shard"]).astype(np.int32)), pa.array(place), pa.array((one * r["sid"]).astype(np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block)], ["shard", "position", "sid", "epoch", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array((one * r["shard"]).astype(np.int32)), pa.array(place), pa.array(one * r["sid"]), pa.array(epoch.astype(np.int32)), pa.array(block)], ["shard", "position", "sid", "epoch", "block"])
 
-    return chunks.mapInArrow(expand, "shard int, position long, sid int, epoch int, block long")
+    return chunks.mapInArrow(expand, "shard int, position long, sid long, epoch int, block long")
 
 
 def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, whole: bool = False) -> tuple[Mixture, DataFrame]:
@@ -131,53 +149,55 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHAR
 
     Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating.  A null or blank text has no words and
     is never taken; repeated rows are documents of their own; an empty table gives an empty mixture.  Other columns
-    do not matter.  More than ``MAX_SOURCES`` sources are refused.
+    do not matter.  A source's taken words come within a twentieth of its target, or within one word.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = Scratch(documents.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     order = F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(seed))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("order"), *([F.struct("*").alias("doc")] * whole))
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    goal = targets([r.size for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    sources = []
-    for r, t in zip(found, goal, strict=True):
-        blocks = -(-r.size // block_words)
-        quota = min(MOST * blocks, round(t * blocks / r.size)) if r.size else 0
-        sources.append({"sid": len(sources), "source": r.source, "source_size": r.size, "target": t, "blocks": blocks, "quota": quota})
-    quotas = np.array([s["quota"] for s in sources], np.int64)
-    blocks = np.array([s["blocks"] for s in sources], np.int64)
-    slots = _slots(spark, draw(quotas, shards, seed) if len(sources) else np.zeros((0, 0), np.int64), blocks, seed)
-
-    names = spark.createDataFrame([(s["sid"], s["source"]) for s in sources], "sid int, source string")
-    named = rows.join(F.broadcast(names), rows["source"].eqNullSafe(names["source"])).select("row", "doc_id", "sid", "size", "order")
-    parts = max(512, sum(r.n for r in found) // 20_000)      # a hot source is summed in that many parts
+    sources = scratch.save(targets(scratch.save(_numbered(rows, scratch), "numbered")), "targets")
+    length = F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(F.col("target") / FINE))).cast("long")
+    sources = sources.withColumn("length", length).withColumn("blocks", F.ceil(F.col("size") / F.col("length")).cast("long"))
+    quota = F.least(MOST * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))
+    sources = scratch.save(sources.select("sid", "source", F.col("size").alias("source_size"), "target", "length", "blocks", F.when(F.col("size") > 0, quota).otherwise(0).alias("quota")), "sources")
+    slots = _slots(scratch.save(drawn_counts(sources, shards, seed), "drawn"), seed)
+
+    names = sources.select("sid", F.col("source").alias("name"), "length")
+    named = rows.join(names, F.col("source").eqNullSafe(F.col("name"))).select("row", "doc_id", "sid", "size", "order", "length")
+    parts = max(512, rows.count() // 20_000)                 # a hot source is summed in that many parts
     named = named.withColumn("part", F.pmod("order", F.lit(parts)))
     totals = named.groupBy("sid", "part").agg(F.sum("size").alias("own"))
     base = totals.select("sid", "part", (F.sum("own").over(Window.partitionBy("sid").orderBy("part")) - F.col("own")).alias("base"))
     inside = Window.partitionBy("sid", "part").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     sized = named.withColumn("upto", F.sum("size").over(inside)).join(base, ["sid", "part"])
-    sized = scratch.save(sized.select("row", "doc_id", "sid", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("begin")), "sized")
+    sized = scratch.save(sized.select("row", "doc_id", "sid", "size", "length", (F.col("base") + F.col("upto") - F.col("size")).alias("begin")), "sized")
 
-    b = F.lit(block_words).cast("long")
+    b = F.col("length")
     end = F.col("begin") + F.col("size")
     spread = sized.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((end - 1) / b))))
     low, high = F.greatest("begin", F.col("block") * b), F.least(end, (F.col("block") + 1) * b)
     pieces = spread.select("row", "sid", "block", (low - F.col("begin")).alias("first"), (high - low).alias("words"))
-    return Mixture(sized, sources, slots, pieces, block_words), rows
+    return Mixture(sized.drop("length"), sources, slots, pieces), rows
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sid, source, size, weight) of every source, numbered by code point, null last."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).withColumn("last", F.col("source").isNull())
+    dealt = found.repartitionByRange("last", "source").sortWithinPartitions("last", "source").withColumn("at", F.monotonically_increasing_id())
+    dealt = scratch.save(dealt.withColumn("part", F.shiftright("at", 33)), "dealt")
+    counts = dealt.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("c"))      # a row a partition
+    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sid = (F.col("at") - F.col("first") + F.col("before")).cast("long")
+    numbered = dealt.join(counts.select("part", "first", before.alias("before")), "part").select(sid.alias("sid"), "source", "size")
+    return numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("sid") % len(WEIGHTS) + 1).cast("int")))
 
 
 def taken(documents: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row: how many words the mix takes of it."""
-    spark = documents.sparkSession
     mixture, _ = mix(documents, block_words, shards, seed)
     used = mixture.used().groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    names = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"]) for s in mixture.sources], "sid int, source string, source_size long, target double")
-    out = mixture.sized.join(used, "row", "left").join(F.broadcast(names), "sid")      # one row a source
+    out = mixture.sized.join(used, "row", "left").join(mixture.sources.select("sid", "source", "source_size", "target"), "sid")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -11,11 +11,72 @@ from . import edge
 SF001 = "/root/testdata/sf0.001"
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
-    got = mixing.targets([10, 500, 490], [5, 2, 1])           # the first stops at 30; 970 goes to the others 2 : 1
-    assert got[0] == 30 and np.allclose(got[1:], [970 * 2 / 3, 970 / 3])
-    assert mixing.targets([], []) == [] and mixing.targets([0, 7], [5, 2]) == [0, 7]
+def plain_targets(sizes, weights):
+    out, left, open_ = [0.0] * len(sizes), sum(sizes), set(range(len(sizes)))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        full = {i for i in open_ if left * weights[i] / total > 3 * sizes[i]}
+        if not full:
+            for i in open_:
+                out[i] = left * weights[i] / total
+            break
+        for i in full:
+            out[i] = 3.0 * sizes[i]
+        left -= sum(3 * sizes[i] for i in full)
+        open_ -= full
+    return out
+
+
+def test_targets(spark):
+    def got(sizes, weights):
+        frame = spark.createDataFrame(list(enumerate(zip(sizes, weights))), "i int, v struct<size:long,weight:int>").select("i", "v.*")
+        return [r.target for r in mixing.targets(frame).orderBy("i").collect()]
+
+    assert got([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
+    some = got([10, 500, 490], [5, 2, 1])                     # the first stops at 30; 970 goes to the others 2 : 1
+    assert some[0] == 30 and np.allclose(some[1:], [970 * 2 / 3, 970 / 3])
+    assert got([], []) == [] and got([0, 7], [5, 2]) == [0, 7]
+    sizes = [2**k for k in range(20)]
+    assert np.allclose(got(sizes, [5, 2, 1] * 6 + [5, 2]), plain_targets(sizes, [5, 2, 1] * 6 + [5, 2]), rtol=1e-12)
+
+
+def test_small_and_many_sources_come_near_their_targets(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(mixing, "RANGE", 7)                   # counts are drawn for several ranges of sources
+    rows = [(f"s{s:03d}{d}", f"s{s:03d}", " ".join(f"w{i}" for i in range(size))) for s, sizes in enumerate([[1], [2], [3, 0], [5], [10, 3], [40], [100, 90], [9] * 12, [200], [7, 1]] * 3) for d, size in enumerate(sizes)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, s, t) in enumerate(rows)] + [(-1, "a b c d e", None), (-2, None, "empty")], "doc_id long, text string, source string")
+    out = mixing.taken(docs).toPandas()
+    per = out.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"))
+    assert (abs(per.taken - per.target) <= np.maximum(0.05 * per.target, 1)).all()
+    names = sorted((x for x in per.index if isinstance(x, str))) + [None]
+    sizes = [int(per.loc[x, "size"]) if x else 5 for x in names]
+    want = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    assert np.allclose([per.loc[x, "target"] if x else per[per.index.isna()].target.iloc[0] for x in names], want)
+    assert (out.taken <= 3 * out["size"]).all()
+    three = spark.createDataFrame([(k, " ".join(f"{k}{i}" for i in range(100)), f"s{k}") for k in range(3)], "doc_id long, text string, source string")
+    assert all(abs(r.taken - r.target) <= max(1, 0.05 * r.target) for r in mixing.taken(three).collect())
+
+
+def test_taken_words_follow_from_slots_and_words(spark):
+    """Word by word: a slot takes the words of its block, wherever its documents begin."""
+    ship(spark)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    mixture, _ = mixing.mix(docs, 64, 4)
+    length = {r.sid: r.length for r in mixture.sources.collect()}
+    uses = {s: {} for s in length}
+    for r in mixture.slots.collect():
+        for word in range(r.block * length[r.sid], (r.block + 1) * length[r.sid]):
+            uses[r.sid][word] = uses[r.sid].get(word, 0) + 1
+    want = {r.doc_id: sum(uses[r.sid].get(w, 0) for w in range(r.begin, r.begin + r.size)) for r in mixture.sized.collect()}
+    assert {r.doc_id: r.taken for r in mixing.taken(docs, 64, 4).collect()} == want
+    begins = {}
+    for r in mixture.sized.collect():
+        begins.setdefault(r.sid, []).append((r.begin, r.size))
+    for own in begins.values():                               # documents fill their source without gaps
+        at = 0
+        for begin, size in sorted(own):
+            assert begin == at
+            at += size
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 64, 1000, 12345])
@@ -36,7 +97,7 @@ def test_slots_take_every_block_of_an_epoch_once(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     mixture, _ = mixing.mix(docs, 64, 4)
     slots = mixture.slots.toPandas()
-    for s in mixture.sources:
+    for s in mixture.sources.collect():
         own = slots[slots.sid == s["sid"]]
         assert len(own) == s["quota"] and not own.duplicated(["epoch", "block"]).any() and own.epoch.max() <= 2
         for epoch in range(s["quota"] // s["blocks"]):
