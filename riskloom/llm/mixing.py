@@ -98,7 +98,7 @@ class Mixture:
     def used(self) -> DataFrame:
         """(row, sid, block, first, words, uses): pieces with the number of slots that take them."""
         uses = self.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-        return self.pieces.join(uses, ["sid", "block"])
+        return self.pieces.join(uses.hint("merge"), ["sid", "block"])      # Spark takes the slots for as few as their draws
 
 
 def drawn_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -197,7 +197,7 @@ def taken(documents: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SH
     """(doc_id, source, size, source_size, target, taken) for every row: how many words the mix takes of it."""
     mixture, _ = mix(documents, block_words, shards, seed)
     used = mixture.used().groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    out = mixture.sized.join(used, "row", "left").join(mixture.sources.select("sid", "source", "source_size", "target"), "sid")
+    out = mixture.sized.join(used.hint("merge"), "row", "left").join(mixture.sources.select("sid", "source", "source_size", "target"), "sid")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -213,6 +213,6 @@ def mixed_documents(documents: DataFrame, block_words: int, shards: int = SHARDS
         starts[0] = 0
         return [text[starts[c.first]:starts[c.first + c.words]] for c in cuts for _ in range(c.uses)]
 
-    out = rows.join(cuts, "row").select("doc", F.explode(cut(F.col("doc.text").cast("string"), "cuts")).alias("piece"))
+    out = rows.join(cuts.hint("merge"), "row").select("doc", F.explode(cut(F.col("doc.text").cast("string"), "cuts")).alias("piece"))
     changed = {"text": F.col("piece"), "n_chars": F.length("piece").cast("long")}
     return out.select(*(changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in documents.columns))
