@@ -1101,10 +1101,10 @@ def q_dashboard_marts(spark, sf_dir):
 
 
 @register("panel_sample", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, body=f"""
-SELECT credit_id, report_date_as_of, balance_debt, dpd, utilization FROM prepared
+SELECT credit_id, report_date_as_of, total_debt, dpd, utilization FROM prepared
 ORDER BY md5(concat_ws('|', '{config.RANDOM_STATE}', CAST(credit_id AS VARCHAR), CAST(report_date_as_of AS VARCHAR)))
 LIMIT 1000"""))
 def q_panel_sample(spark, sf_dir):
     """1,000 rows of the prepared panel, those with the smallest keyed hash (the sampling operator)."""
     some = cleaning.sample_rows(prepared(spark, sf_dir), 1000, ["credit_id", "report_date_as_of"])
-    return some.select("credit_id", "report_date_as_of", "balance_debt", "dpd", "utilization")
+    return some.select("credit_id", "report_date_as_of", "total_debt", "dpd", "utilization")
