@@ -13,10 +13,12 @@ Rules, exact for every input up to 64-bit shingle hashes (two shingles that meet
    every remaining pair that joins two components.  Pairs inside one component need no check, since the result
    is components; no link between components is lost.
 
-A shingle so common that its groups would fill a task is dealt out in several parts (``fan``).
+A shingle so common that its groups would fill a task is dealt out in several parts (``fan``) in the first step, and to
+the cells of a grid (``_grid``) in the second.
 """
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -158,6 +160,28 @@ def _close(n1, p1, n2, p2, percent: int):
     return sizes & ((100 + percent) * rest >= percent * (n1 + n2))
 
 
+def _grid(one: DataFrame, two: DataFrame, percent: int, deal: int, scratch: Scratch):
+    """(one, two, keys): both sides of the second step cut so that a join key holds about ``deal`` rows a side.
+
+    Sizes that can link lie in the same or neighbouring bins of a logarithmic scale: the left side goes to three bins,
+    the right side to its own.  A bin with more rows is a grid: left rows are dealt to its lines and copied to all its
+    columns, right rows the other way round, so that each pair of a bin meets in one cell."""
+    step = math.log(100 / percent) + 0.01     # a little wider than the size filter, so that rounding loses no pair
+    scale = lambda c: F.when(F.col("kind") == 0, F.floor(F.log(F.col(c)) / step)).otherwise(F.lit(0)).cast("int")
+    near = F.when(F.col("kind") == 0, F.array(*(scale("n1") + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
+    one, two = one.withColumn("bin", F.explode(near)), two.withColumn("bin", scale("n2"))
+    at = ["kind", "token", "bin"]
+    sizes = one.select(*at, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(two.select(*at, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sizes = sizes.groupBy(*at).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 AND r > 0")
+    lines, columns = (F.expr(f"1 + {c} DIV {deal}").cast("int") for c in "lr")
+    sizes = scratch.save(sizes.select(*at, lines.alias("lines"), columns.alias("columns")), "cells")
+    deals = lambda c, n: F.pmod(F.xxhash64(f"gid{c}", f"label{c}"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = one.join(sizes.hint("merge"), at).withColumn("line", deals(1, "lines")).withColumn("column", copies("columns"))
+    two = two.join(sizes.hint("merge"), at).withColumn("column", deals(2, "columns")).withColumn("line", copies("lines"))
+    return one.drop("lines", "columns"), two.drop("lines", "columns"), [*at, "line", "column"]
+
+
 def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, deal: int = DEAL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents(doc_id, text)``.
 
@@ -214,7 +238,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     two = rest.select("kind", "token", "main", *(F.col(c).alias(f"{c}2") for c in ("gid", "label", "n", "pos")))
     cond = (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("label1") < F.col("label2")))
     cond &= (F.col("kind") == 1) | _close(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent)
-    left = one.join(two, ["kind", "token"]).where(cond).select("gid1", "label1", "gid2", "label2").distinct()
+    one, two, keys = _grid(one, two, percent, deal, scratch)
+    left = one.join(two, keys).where(cond).select("gid1", "label1", "gid2", "label2").distinct()
     m1 = members.select(F.col("gid").alias("gid1"), F.col("label").alias("label1"), F.col("id").alias("a"))
     m2 = members.select(F.col("gid").alias("gid2"), F.col("label").alias("label2"), F.col("id").alias("b"))
     pairs = left.join(m1, ["gid1", "label1"]).join(m2, ["gid2", "label2"])

@@ -62,6 +62,34 @@ def test_components_equal_all_pairs(spark, seed, percent, deal):
     assert got == components_by_hand(rows, percent=percent)
 
 
+def test_many_groups_of_one_template_below_the_limit(spark):
+    """Documents off one template that mostly do not link: their groups stay apart until the second step."""
+    ship(spark)
+    rng, base = random.Random(8), [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(120):                                  # 1 to 3 changed words: some pairs link, most do not
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3])):
+            w[at] = f"u{rng.randrange(30)}"
+        rows.append((i, " ".join(w[: rng.choice([48, 54, 60])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = components_by_hand(rows)
+    assert len({r[2] for r in expected}) > 5
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, deal=4).collect()), key=str) == expected
+
+
+def test_grid_cells_are_bounded_and_hold_each_pair_once(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), rng.choice([5, 5, 5, 6]), gid, gid % 9, rng.randrange(1, 400), 0) for gid in range(300)]
+    frame = spark.createDataFrame(rows, "kind int, token long, gid long, label long, n long, pos int")
+    one, two = (frame.select("kind", "token", *(frame[c].alias(f"{c}{s}") for c in ("gid", "label", "n", "pos"))) for s in (1, 2))
+    one, two, keys = ngram_join._grid(one, two, 80, 10, Scratch(spark, "grid"))
+    assert max(r["count"] for r in two.groupBy(*keys).count().collect()) <= 30
+    met = [(r.gid1, r.gid2) for r in one.join(two, keys).where("kind = 1 OR 100 * least(n1, n2) >= 80 * greatest(n1, n2)").collect()]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and (a[0] == 1 or 100 * min(a[4], b[4]) >= 80 * max(a[4], b[4]))}
+    assert len(met) == len(want) and set(met) == want
+
+
 def test_a_group_alone_in_its_part_meets_the_other_parts(spark):
     ship(spark)
     rng, rows = random.Random(5), []
