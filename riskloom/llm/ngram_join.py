@@ -160,26 +160,23 @@ def _close(n1, p1, n2, p2, percent: int):
     return sizes & ((100 + percent) * rest >= percent * (n1 + n2))
 
 
-def _grid(one: DataFrame, two: DataFrame, percent: int, deal: int, scratch: Scratch):
-    """(one, two, keys): both sides of the second step cut so that a join key holds about ``deal`` rows a side.
+def _grid(one: DataFrame, two: DataFrame, percent: int):
+    """(one, two, keys): both sides of the second step dealt to cells of about ``deal`` rows a side.
 
-    Sizes that can link lie in the same or neighbouring bins of a logarithmic scale: the left side goes to three bins,
-    the right side to its own.  A bin with more rows is a grid: left rows are dealt to its lines and copied to all its
-    columns, right rows the other way round, so that each pair of a bin meets in one cell."""
+    A token of ``lines`` > 1 or ``columns`` > 1 is cut by size and by a grid.  Sizes that can link lie in the same or
+    neighbouring bins of a logarithmic scale: the left side goes to three bins, the right side to its own.  Left rows
+    are dealt to lines and copied to all columns, right rows the other way round, so that each pair meets in one cell.
+    Every other token stays one cell, without copies."""
     step = math.log(100 / percent) + 0.01     # a little wider than the size filter, so that rounding loses no pair
-    scale = lambda c: F.when(F.col("kind") == 0, F.floor(F.log(F.col(c)) / step)).otherwise(F.lit(0)).cast("int")
-    near = F.when(F.col("kind") == 0, F.array(*(scale("n1") + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
-    one, two = one.withColumn("bin", F.explode(near)), two.withColumn("bin", scale("n2"))
-    at = ["kind", "token", "bin"]
-    sizes = one.select(*at, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(two.select(*at, F.lit(0).alias("l"), F.lit(1).alias("r")))
-    sizes = sizes.groupBy(*at).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 AND r > 0")
-    lines, columns = (F.expr(f"1 + {c} DIV {deal}").cast("int") for c in "lr")
-    sizes = scratch.save(sizes.select(*at, lines.alias("lines"), columns.alias("columns")), "cells")
-    deals = lambda c, n: F.pmod(F.xxhash64(f"gid{c}", f"label{c}"), F.col(n)).cast("int")
+    cut = ((F.col("lines") > 1) | (F.col("columns") > 1)) & (F.col("kind") == 0)
+    scale = lambda c: F.floor(F.log(F.col(c)) / step).cast("int")
+    near = F.when(cut, F.array(*(scale("n1") + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
+    one, two = one.withColumn("bin", F.explode(near)), two.withColumn("bin", F.when(cut, scale("n2")).otherwise(0))
+    deals = lambda side, n: F.pmod(F.xxhash64(f"gid{side}", f"label{side}"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = one.join(sizes.hint("merge"), at).withColumn("line", deals(1, "lines")).withColumn("column", copies("columns"))
-    two = two.join(sizes.hint("merge"), at).withColumn("column", deals(2, "columns")).withColumn("line", copies("lines"))
-    return one.drop("lines", "columns"), two.drop("lines", "columns"), [*at, "line", "column"]
+    one = one.withColumn("line", deals(1, "lines")).withColumn("column", copies("columns"))
+    two = two.withColumn("column", deals(2, "columns")).withColumn("line", copies("lines"))
+    return one.drop("lines", "columns"), two.drop("lines", "columns"), ["kind", "token", "bin", "line", "column"]
 
 
 def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, deal: int = DEAL) -> DataFrame:
@@ -231,14 +228,15 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     in_group = parts.select(F.col("gid").alias("token"), "gid", "label", F.lit(0).cast("long").alias("n"), F.lit(0).alias("pos"))
     rest = scratch.save(reduce(DataFrame.unionByName, [by_token.withColumn("kind", F.lit(0)), in_group.withColumn("kind", F.lit(1))]), "rest")
     per = rest.groupBy("kind", "token", "label").agg(F.count("*").alias("c"))
-    main = per.groupBy("kind", "token").agg(F.max(F.struct("c", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    main = main.where("lo <> hi").select("kind", "token", F.col("m.label").alias("main"))
+    main = per.groupBy("kind", "token").agg(F.max(F.struct("c", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("c").alias("all"))
+    parts_of = lambda rows, name: (1 + F.floor(rows / deal)).cast("int").alias(name)
+    main = main.where("lo <> hi").select("kind", "token", F.col("m.label").alias("main"), parts_of(F.col("all") - F.col("m.c"), "lines"), parts_of(F.col("all"), "columns"))
     rest = scratch.save(rest.join(main, ["kind", "token"]), "open")
-    one = rest.where("label <> main").select("kind", "token", *(F.col(c).alias(f"{c}1") for c in ("gid", "label", "n", "pos")))
-    two = rest.select("kind", "token", "main", *(F.col(c).alias(f"{c}2") for c in ("gid", "label", "n", "pos")))
+    one = rest.where("label <> main").select("kind", "token", "lines", "columns", *(F.col(c).alias(f"{c}1") for c in ("gid", "label", "n", "pos")))
+    two = rest.select("kind", "token", "lines", "columns", "main", *(F.col(c).alias(f"{c}2") for c in ("gid", "label", "n", "pos")))
     cond = (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("label1") < F.col("label2")))
     cond &= (F.col("kind") == 1) | _close(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent)
-    one, two, keys = _grid(one, two, percent, deal, scratch)
+    one, two, keys = _grid(one, two, percent)
     left = one.join(two, keys).where(cond).select("gid1", "label1", "gid2", "label2").distinct()
     m1 = members.select(F.col("gid").alias("gid1"), F.col("label").alias("label1"), F.col("id").alias("a"))
     m2 = members.select(F.col("gid").alias("gid2"), F.col("label").alias("label2"), F.col("id").alias("b"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import graph, ngram_join, topk
 from riskloom.llm.store import Scratch, ship
@@ -82,9 +83,11 @@ def test_grid_cells_are_bounded_and_hold_each_pair_once(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(2), rng.choice([5, 5, 5, 6]), gid, gid % 9, rng.randrange(1, 400), 0) for gid in range(300)]
     frame = spark.createDataFrame(rows, "kind int, token long, gid long, label long, n long, pos int")
-    one, two = (frame.select("kind", "token", *(frame[c].alias(f"{c}{s}") for c in ("gid", "label", "n", "pos"))) for s in (1, 2))
-    one, two, keys = ngram_join._grid(one, two, 80, 10, Scratch(spark, "grid"))
-    assert max(r["count"] for r in two.groupBy(*keys).count().collect()) <= 30
+    cells = frame.withColumns({"lines": F.when(F.col("token") == 5, 9).otherwise(1), "columns": F.when(F.col("token") == 5, 12).otherwise(1)})
+    one, two = (cells.select("kind", "token", "lines", "columns", *(F.col(c).alias(f"{c}{s}") for c in ("gid", "label", "n", "pos"))) for s in (1, 2))
+    one, two, keys = ngram_join._grid(one, two, 80)
+    for side in (one, two):
+        assert max(r["count"] for r in side.where("token = 5").groupBy(*keys).count().collect()) <= 40
     met = [(r.gid1, r.gid2) for r in one.join(two, keys).where("kind = 1 OR 100 * least(n1, n2) >= 80 * greatest(n1, n2)").collect()]
     want = {(a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and (a[0] == 1 or 100 * min(a[4], b[4]) >= 80 * max(a[4], b[4]))}
     assert len(met) == len(want) and set(met) == want
