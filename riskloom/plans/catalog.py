@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import cleaning, ews, targets
 from ..sources.fixture import raw_panel
+from . import marts
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1108,3 +1109,37 @@ def q_panel_sample(spark, sf_dir):
     """1,000 rows of the prepared panel, those with the smallest keyed hash (the sampling operator)."""
     some = cleaning.sample_rows(prepared(spark, sf_dir), 1000, ["credit_id", "report_date_as_of"])
     return some.select("credit_id", "report_date_as_of", "total_debt", "dpd", "utilization")
+
+
+def _fresh_marts(spark, sf_dir) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    out = os.path.join(ensure_checkpoint_dir(spark, allow_local_default=True), f"monthly-{uuid.uuid4().hex}")
+    marts.refresh_marts(raw_panel(spark, sf_dir), out)
+    return out
+
+
+@register("panel_mart", O.with_ctes(O.RAW_PANEL_SQL, O.PREPARED_SQL, FORWARD_SQL, body=f"""
+SELECT {', '.join(config.PANEL_MART_COLS)}, COALESCE(CAST(strftime(report_date_as_of, '%Y%m') AS INTEGER), 0) AS report_month FROM forward"""))
+def q_panel_mart(spark, sf_dir):
+    """S3: the panel mart by month and bucket, written and read back through its manifest."""
+    return marts.read_mart(spark, _fresh_marts(spark, sf_dir), "panel").select(*config.PANEL_MART_COLS, "report_month")
+
+
+@register("monthly_mart", ORACLE["default_rate_over_time"])
+def q_monthly_mart(spark, sf_dir):
+    """S3: the monthly series, written and read back through the manifest."""
+    series = marts.read_mart(spark, _fresh_marts(spark, sf_dir), "series").drop("report_month")
+    return rounded(series, {"total_debt": MONEY, "default_rate": RATE, "avg_dpd": RATE})
+
+
+@register("client_lookup", O.base("""
+SELECT credit_id, report_date_as_of, total_debt, dpd, pdn_current, payment_sum_1m, default_target FROM labelled
+WHERE credit_id IN (SELECT credit_id FROM last_slice ORDER BY total_debt DESC NULLS LAST, credit_id LIMIT 20)"""))
+def q_client_lookup(spark, sf_dir):
+    """The history of the 20 contracts with the largest debt, looked up by id in the bucketed mart."""
+    out = _fresh_marts(spark, sf_dir)
+    top = cleaning.last_slice(marts.read_mart(spark, out, "panel")).orderBy(F.desc_nulls_last("total_debt"), "credit_id").limit(20)
+    ids = [r["credit_id"] for r in top.select("credit_id").collect()]
+    return marts.client_lookup(spark, out, ids).select("credit_id", "report_date_as_of", "total_debt", "dpd", "pdn_current",
+                                                       "payment_sum_1m", "default_target")
