@@ -35,6 +35,43 @@ def side_histogram(reference: DataFrame, current: DataFrame, features: list[str]
         F.sum((F.col("side") == REF).cast("long")).alias("nr"), F.sum((F.col("side") == CUR).cast("long")).alias("nc")))
 
 
+def value_counts(df: DataFrame, num_features: list[str], cat_features: list[str], label: str | None = None,
+                 score: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """What the drift statistics need of one side, as a table that adds up: (by, kind, feature, value, level, n, pos).
+    ``num`` rows count the values of a numeric feature (missing ones left out), ``cat`` rows the levels of a
+    categorical one (a missing value is its own level), ``score`` rows the scores with their positive labels (rows with
+    both).  One pass and one shuffle for all features; counts of disjoint parts of a side sum to those of the side."""
+    none = F.lit(None)
+    def entry(kind, c, value=none, level=none, pos=none):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("feature"), value.cast("double").alias("value"),
+                        level.cast("string").alias("level"), pos.cast("long").alias("pos"))
+    every = [entry("num", c, F.col(c)) for c in num_features] + [entry("cat", c, level=F.col(c)) for c in cat_features]
+    if score is not None:
+        every.append(entry("score", score, F.col(score), pos=F.col(label)))
+    if not every:
+        raise ValueError("no feature to count")
+    by = list(by or [])
+    known = (F.col("e.kind") == "cat") | (F.col("e.value").isNotNull() & ((F.col("e.kind") == "num") | F.col("e.pos").isNotNull()))
+    return (df.select(*by, F.explode(F.array(*every)).alias("e")).filter(known)
+            .groupBy(*by, "e.kind", "e.feature", "e.value", "e.level")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("e.pos").alias("pos")))
+
+
+def side_counts(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """``value_counts`` of two sides next to each other: (kind, feature, value, level, nr, nc), written once."""
+    from ..session import materialize
+    zero = F.lit(0).cast("long")
+    keys = ["kind", "feature", "value", "level"]
+    both = reference.select(*keys, F.col("n").alias("nr"), zero.alias("nc")).unionByName(
+        current.select(*keys, zero.alias("nr"), F.col("n").alias("nc")))
+    return materialize(both.groupBy(*keys).agg(F.sum("nr").alias("nr"), F.sum("nc").alias("nc")))
+
+
+def numeric_sides(counts: DataFrame, kind: str = "num") -> DataFrame:
+    """The histogram (feature, value, nr, nc) that PSI and KS read, out of ``side_counts``."""
+    return counts.filter(F.col("kind") == kind).select("feature", "value", "nr", "nc")
+
+
 def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10,
         hist: DataFrame | None = None) -> DataFrame:
     """PSI per feature.  Edges are the distinct exact deciles of the reference; fewer than
@@ -96,9 +133,13 @@ def chi_square(reference: DataFrame, current: DataFrame, features: list[str]) ->
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in features])).alias("kv"))
     long = side(reference, REF).unionByName(side(current, CUR)).select("side", "kv.feature", "kv.v")
     from ..session import materialize
-    cells = materialize(long.groupBy("feature", "v").agg(
+    return chi_square_of_cells(materialize(long.groupBy("feature", "v").agg(
         (F.sum((F.col("side") == REF).cast("long")) + 1).alias("o_r"),
-        (F.sum((F.col("side") == CUR).cast("long")) + 1).alias("o_c")))
+        (F.sum((F.col("side") == CUR).cast("long")) + 1).alias("o_c"))), features)
+
+
+def chi_square_of_cells(cells: DataFrame, features: list[str]) -> DataFrame:
+    """X3 from the cells (feature, v, o_r, o_c), to which 1 was added."""
     # per-feature margins from a grouped total (one row per feature), not a window over values
     margins = cells.groupBy("feature").agg(F.sum("o_r").alias("R"), F.sum("o_c").alias("C"),
                                            F.count(F.lit(1)).alias("k"))
@@ -120,19 +161,29 @@ def data_drift(reference: DataFrame, current: DataFrame, num_features: list[str]
     (numeric: PSI > 0.25 or p < 0.01; categorical: p < 0.01); drifted first, then by PSI."""
     num = [f for f in num_features if f in reference.columns and f in current.columns]
     cat = [f for f in cat_features if f in reference.columns and f in current.columns]
+    return _drift_table(side_histogram(reference, current, num) if num else None, num,  # shared by PSI and KS
+                        chi_square(reference, current, cat) if cat else None)
+
+
+def data_drift_of_counts(counts: DataFrame, num_features: list[str], cat_features: list[str]) -> DataFrame:
+    """X4 from ``side_counts``: the same rows as ``data_drift`` of the two sides."""
+    cells = counts.filter(F.col("kind") == "cat").select("feature", F.col("level").alias("v"), (F.col("nr") + 1).alias("o_r"),
+                                                         (F.col("nc") + 1).alias("o_c"))
+    return _drift_table(numeric_sides(counts) if num_features else None, num_features,
+                        chi_square_of_cells(cells, cat_features) if cat_features else None)
+
+
+def _drift_table(hist: DataFrame | None, num: list[str], chi: DataFrame | None) -> DataFrame:
     parts = []
-    if num:
-        hist = side_histogram(reference, current, num)  # shared by PSI and KS
-        n = psi(reference, current, num, hist=hist).join(ks_two_sample(reference, current, num, hist=hist),
-                                                          "feature", "left")
+    if hist is not None:
+        n = psi(hist, hist, num, hist=hist).join(ks_two_sample(hist, hist, num, hist=hist), "feature", "left")
         parts.append(n.select(
             "feature", F.lit("num").alias("kind"), "psi", "ks_stat", "p_value",
             (truth(F.col("psi") > config.DRIFT_PSI_THRESHOLD)
              | (F.col("p_value").isNotNull() & ~F.isnan("p_value") & truth(F.col("p_value") < config.DRIFT_KS_PVALUE)))
             .alias("drift")))
-    if cat:
-        c = chi_square(reference, current, cat)
-        parts.append(c.select(
+    if chi is not None:
+        parts.append(chi.select(
             "feature", F.lit("cat").alias("kind"), F.lit(None).cast("double").alias("psi"),
             F.col("chi2").alias("ks_stat"), "p_value",
             (F.col("p_value").isNotNull() & ~F.isnan("p_value") & truth(F.col("p_value") < config.DRIFT_KS_PVALUE))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import cleaning, ews, targets
 from ..sources.fixture import raw_panel
-from . import marts
+from . import marts, profiles
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1143,3 +1143,29 @@ def q_client_lookup(spark, sf_dir):
     ids = [r["credit_id"] for r in top.select("credit_id").collect()]
     return marts.client_lookup(spark, out, ids).select("credit_id", "report_date_as_of", "total_debt", "dpd", "pdn_current",
                                                        "payment_sum_1m", "default_target")
+
+
+def _stored_sides(spark, sf_dir):
+    """The reference months saved in two parts as a profile, compared with the current period."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    ref, cur = drift_sides(spark, sf_dir)
+    out = os.path.join(ensure_checkpoint_dir(spark, allow_local_default=True), f"profile-{uuid.uuid4().hex}")
+    half = F.lit("1995-01-01").cast("timestamp_ntz")
+    for part in (ref.filter(F.col("report_date_as_of") < half), ref.filter(F.col("report_date_as_of") >= half)):
+        profiles.save_profile(part, out, DRIFT_NUM, DRIFT_CAT, label="default_target")
+    return profiles.compare(spark, out, cur, DRIFT_NUM, DRIFT_CAT)
+
+
+@register("stored_psi_drift", ORACLE["psi_drift"])
+def q_stored_psi_drift(spark, sf_dir):
+    """X1 against a stored reference: PSI from the months of a profile and the current rows."""
+    hist = drift.numeric_sides(_stored_sides(spark, sf_dir))
+    return rounded(drift.psi(hist, hist, DRIFT_NUM, hist=hist), {"psi": STAT})
+
+
+@register("stored_chi_square_drift", ORACLE["chi_square_drift"])
+def q_stored_chi_square_drift(spark, sf_dir):
+    """X3 against a stored reference: chi-square from the level counts of a profile and the current rows."""
+    out = drift.data_drift_of_counts(_stored_sides(spark, sf_dir), [], DRIFT_CAT)
+    return rounded(out.select("feature", F.col("ks_stat").alias("chi2")), {"chi2": 8})

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import cleaning, drift, ews, features, metrics, portfolio, segments, targets
-from ..session import keep
+from ..session import keep, materialize
 from ..sources.tables import select_existing
 
 
@@ -88,17 +88,54 @@ def drift_job(reference_raw: DataFrame, current_raw: DataFrame, num_features: li
     ref, cur = keep(score(ref)), keep(score(cur))
     feat = keep(drift.data_drift(ref, cur, num_features, cat_features))
     score_psi = drift.score_drift(ref, cur).first()["score_psi"]
-    reports = [metrics.binary_report(side, config.TARGET_COL, "risk_score").first().asDict() for side in (ref, cur)]
+    verdict = _verdict(feat, score_psi, [metrics.binary_report(side, config.TARGET_COL, "risk_score") for side in (ref, cur)], out_dir)
+    for d in (ref, cur, feat):
+        d.unpersist()
+    return verdict
+
+
+def _verdict(feat: DataFrame, score_psi: float | None, reports: list[DataFrame], out_dir: str | None) -> dict:
+    """X6 with the metric reports of the reference and the current side, written if ``out_dir`` is given."""
+    reports = [r.first().asDict() for r in reports]
     auc_ref, auc_cur = (r["roc_auc"] for r in reports)
     verdict = drift.drift_verdict(feat, score_psi, auc_ref, auc_cur)
     verdict["metrics_reference"], verdict["metrics_current"] = reports
     verdict["auc_reference"], verdict["auc_current"] = auc_ref, auc_cur
     if out_dir:
         write_json(feat, os.path.join(out_dir, "features"))
-        spark = reference_raw.sparkSession
-        write_json(spark.createDataFrame([(json.dumps(verdict),)], "report string"), os.path.join(out_dir, "verdict"))
-    for d in (ref, cur, feat):
-        d.unpersist()
+        write_json(feat.sparkSession.createDataFrame([(json.dumps(verdict),)], "report string"), os.path.join(out_dir, "verdict"))
+    return verdict
+
+
+def save_drift_reference(reference_raw: DataFrame, profile_dir: str, num_features: list[str], cat_features: list[str], model=None) -> list[int]:
+    """Prepare, score and count the reference once, in place of the profile before."""
+    from ..operators.modeling import predict_proba
+    from . import profiles
+    ref = prepare_side(reference_raw)
+    ref = predict_proba(model, ref) if model is not None else ews.formula_score(ref)
+    return profiles.save_profile(ref, profile_dir, num_features, cat_features, replace=True)
+
+
+def drift_job_stored(profile_dir: str, current_raw: DataFrame, num_features: list[str], cat_features: list[str],
+                     out_dir: str | None = None, model=None) -> dict:
+    """X7 against a stored reference: the report of ``drift_job``, from the profile and one count of the current side.
+    ``model`` must be the one that scored the reference."""
+    from ..operators.modeling import predict_proba
+    from . import profiles
+    spark, score = current_raw.sparkSession, "risk_score"
+    cur = prepare_side(current_raw)
+    cur = predict_proba(model, cur) if model is not None else ews.formula_score(cur)
+    num, cat = ([c for c in cols if c in cur.columns] for cols in (num_features, cat_features))
+    stored = profiles.read_profile(spark, profile_dir)
+    now = materialize(drift.value_counts(cur, num, cat, config.TARGET_COL, score))
+    counts = drift.side_counts(stored.where(F.col("feature").isin([*num, *cat, score])), now)
+    feat = keep(drift.data_drift_of_counts(counts, num, cat))
+    scores = drift.numeric_sides(counts, "score")
+    score_psi = drift.psi(scores, scores, [score], hist=scores).first()["psi"]
+    merged = stored.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    reports = [metrics.report_of_histogram(profiles.score_histogram(side)) for side in (merged, now)]
+    verdict = _verdict(feat, score_psi, reports, out_dir)
+    feat.unpersist()
     return verdict
 
 

@@ -48,12 +48,19 @@ def manifest(spark: SparkSession, out_dir: str) -> list:
     return spark.read.parquet(f"{out_dir}/manifests/v{done[-1]}").collect() if done else []
 
 
+def switch(spark: SparkSession, out_dir: str, rows: list[tuple]) -> None:
+    """Write the next manifest: from here on readers see its marts."""
+    done = _whole_manifests(spark, out_dir)
+    table = spark.createDataFrame(rows, "mart string, month int, root string, buckets int, schema string")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/manifests/v{done[-1] + 1 if done else 0}")
+
+
 def _write(df: DataFrame, root: str, by: list[str]) -> None:
     (df.write.partitionBy(*by).option("compression", "zstd").option("parquet.bloom.filter.enabled#credit_id", "true")
      .parquet(root))
 
 
-def _months(spark: SparkSession, root: str) -> list[int]:
+def written_months(spark: SparkSession, root: str) -> list[int]:
     """The months a write gave files for, from its folder names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -97,10 +104,8 @@ def refresh_marts(raw: DataFrame, out_dir: str, months: list[int] | None = None,
     _write(series, roots["series"], ["report_month"])
     schemas = {"panel": rows.schema.json(), "series": series.schema.json()}
     kept = [tuple(r) for r in old if wanted is not None and r["month"] not in wanted]
-    new = [(mart, m, roots[mart], buckets, schemas[mart]) for mart in roots for m in _months(spark, roots[mart])]
-    done = _whole_manifests(spark, out_dir)
-    table = spark.createDataFrame(kept + new, "mart string, month int, root string, buckets int, schema string")
-    table.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/manifests/v{done[-1] + 1 if done else 0}")
+    new = [(mart, m, roots[mart], buckets, schemas[mart]) for mart in roots for m in written_months(spark, roots[mart])]
+    switch(spark, out_dir, kept + new)
     return sorted({m for mart, m, *_ in new if mart == "panel"})
 
 
