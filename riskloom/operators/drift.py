@@ -19,20 +19,13 @@ from . import ranks
 REF, CUR = 0, 1
 
 
-def _stack_numeric(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+def side_histogram(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value) -> reference and current counts with running counts, written once to the checkpoint folder."""
     def side(df, flag):
-        return df.select(F.lit(flag).alias("side"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("kv"))
+        return df.select(*[F.col(c).cast("double").alias(c) for c in features], F.lit(flag).alias("_side"))
     both = side(reference, REF).unionByName(side(current, CUR))
-    return both.select("side", "kv.feature", "kv.x").filter(F.col("x").isNotNull())
-
-
-def side_histogram(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, value) -> reference and current counts, written once to the checkpoint folder."""
-    from ..session import materialize
-    long = _stack_numeric(reference, current, features)
-    return materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("nr"), F.sum((F.col("side") == CUR).cast("long")).alias("nc")))
+    counts = {"nr": (F.col("_side") == REF).cast("long"), "nc": (F.col("_side") == CUR).cast("long")}
+    return ranks.running_histogram(both, features, counts, {"nr": "long", "nc": "long"})
 
 
 def value_counts(df: DataFrame, num_features: list[str], cat_features: list[str], label: str | None = None,

@@ -125,23 +125,20 @@ NUMERIC_PROBS = [0.01, 0.05, 0.5, 0.95, 0.99]
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column count, mean, sample std, min, p1, p5, p50, p95, p99, max, missing
-    count and %.  One (column, value) histogram - combined map-side and written once to the
-    checkpoint folder - feeds the moments (two-pass std over the histogram) and the exact
-    percentiles (distributed prefix sums)."""
+    count and %.  One (column, value) histogram, written once to the checkpoint folder, feeds the
+    moments (two-pass std over the histogram) and, by its running counts, the exact percentiles."""
     from ..session import materialize
     cols = columns or [c for c in config.NUMERIC_COLS if c in df.columns]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("kv")
-    ).select("kv.feature", "kv.x")
-    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    vals = hist.filter(F.col("value").isNotNull())
-    first = hist.groupBy("feature").agg(
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-        F.sum("n").alias("_n"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    wide = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    vals = ranks.running_histogram(wide, cols, stored=True)
+    # a row a column, also for one without values
+    rows = (wide.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+            .select("_n", F.explode(F.array(*map(F.lit, cols))).alias("feature")))
+    known = vals.groupBy("feature").agg(
+        F.sum("n").alias("count"), F.try_divide(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    first = (rows.join(known, "feature", "left").fillna(0, ["count"])
+             .select("feature", "count", (F.col("_n") - F.col("count")).alias("n_missing"), "_n", "mean", "min", "max"))
     first = ranks.small_broadcast(first, len(cols))
     dev = (vals.join(first.select("feature", "mean", "count"), "feature")
            .groupBy("feature").agg(

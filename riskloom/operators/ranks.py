@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +76,99 @@ def value_histogram(df: DataFrame, group_cols: list[str], value: str | Column,
     return df.groupBy(*group_cols, vcol.alias("value")).agg(*aggs)
 
 
+def running_histogram(df: DataFrame, features: list[str], sums: dict[str, Column] | None = None,
+                      types: dict[str, str] | None = None, stored: bool = False, range_values: int = 1 << 20) -> DataFrame:
+    """(feature, value) -> ``n``, the named sums and the inclusive running sums ``cum_*`` of them all, for the non-null
+    values of numeric columns; written once, as are the columns it reads, unless the caller says they are ``stored``.
+
+    The rows are never unpivoted: a task sorts its part of each column, cuts it at bounds taken from a bounded sample
+    (as Spark's range partitioner does) and sends arrays of values with their sums.  One shuffle brings a range of a
+    feature together, which is merged and accumulated; ranges of about ``range_values`` rows bound a task's memory, and
+    the totals of the lower ranges, a small table, shift the sums."""
+    from ..session import materialize
+    sums, types = dict(sums or {}), dict(types or {})
+    names = ["n", *sums]
+    kinds = ["long", *[types.get(c, "double") for c in sums]]
+    arrow = {"long": pa.int64(), "double": pa.float64()}
+    k, n_sums = len(features), len(sums)
+    wide = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+                     *[c.cast(t).alias(f"s{j}") for j, (c, t) in enumerate(zip(sums.values(), kinds[1:], strict=True))])
+    wide = wide if stored else materialize(wide)
+    rows = wide.count()
+    ranges = max(1, -(-rows // range_values))
+    sample = wide.select(*[f"x{i}" for i in range(k)]).sample(False, min(1.0, 64.0 * ranges / max(rows, 1)), 42) if ranges > 1 else None
+    shares = [r / ranges for r in range(1, ranges)]
+    found = sample.agg(*[F.percentile_approx(f"x{i}", shares, max(1000, 4 * ranges)).alias(f"x{i}") for i in range(k)]).first() if ranges > 1 else [None] * k
+    cuts = [np.unique(np.array([c for c in found[i] or [] if c == c], float)) for i in range(k)]
+
+    def merged(x, parts):
+        """Distinct values in order, with their sums."""
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+        starts = np.flatnonzero(new)
+        return x[starts], [np.add.reduceat(p[order], starts) for p in parts]
+
+    lists = ["value", *names]
+    list_types = [pa.float64(), *[arrow[t] for t in kinds]]
+
+    def spread(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 18:
+                yield from cut(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from cut(pa.Table.from_batches(held))
+
+    def cut(table):
+        weights = [np.ones(table.num_rows, np.int64)]
+        weights += [pc.fill_null(table.column(k + j), 0).to_numpy() for j in range(n_sums)]
+        for i in range(k):
+            known = table.column(i).is_valid().to_numpy()
+            if not known.any():
+                continue
+            x = table.column(i).drop_null().to_numpy() + 0.0      # one zero
+            x, parts = merged(x, [w[known] for w in weights])
+            at = np.searchsorted(cuts[i], x, "left")
+            ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(x))
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            ranges_of = at[ends - 1].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ends), i, np.int32)), pa.array(ranges_of),
+                 *[pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in zip([x, *parts], list_types, strict=True)]],
+                ["i", "r", *lists])
+
+    def merge(table):
+        x, parts = merged(*(lambda a: (a[0], a[1:]))([pc.list_flatten(table.column(c)).to_numpy() for c in lists]))
+        out = [pa.array(np.full(len(x), table.column(c)[0].as_py(), np.int32)) for c in ("i", "r")]
+        out += [pa.array(x)] + [pa.array(p, arrow[t]) for p, t in zip(parts, kinds, strict=True)]
+        out += [pa.array(np.cumsum(p), arrow[t]) for p, t in zip(parts, kinds, strict=True)]
+        return pa.table(out, [*("i", "r"), *lists, *[f"_in_{c}" for c in names]])
+
+    typed = ", ".join(f"{c} {t}" for c, t in zip(names, kinds, strict=True))
+    sent = wide.mapInArrow(spread, "i int, r int, " + ", ".join(f"{c} array<{t}>" for c, t in zip(lists, ["double", *kinds], strict=True)))
+    cells = materialize(sent.groupBy("i", "r").applyInArrow(
+        merge, f"i int, r int, value double, {typed}, " + ", ".join(f"_in_{c} {t}" for c, t in zip(names, kinds, strict=True))))
+    below = Window.partitionBy("i").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy("i", "r").agg(*[F.sum(c).alias(c) for c in names])
+    offsets = totals.select("i", "r", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"_off_{c}") for c in names])
+    out = cells.join(small_broadcast(offsets, k * ranges), ["i", "r"])
+    return out.select(F.array(*map(F.lit, features))[F.col("i")].alias("feature"), "value", *names,
+                      *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in names])
+
+
 def prefix_sums(hist: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                 descending: bool = False, buckets: int | None = None, n_groups_bound: int = 10_000) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``sum_cols`` over ``order_col`` within each group.
 
-    ``order_col`` must be unique within a group (it is the value of a histogram)."""
+    ``order_col`` must be unique within a group (it is the value of a histogram).  A histogram that
+    has them already (``running_histogram``) is returned as it is."""
+    if not descending and all(f"cum_{c}" in hist.columns for c in sum_cols):
+        return hist
     buckets = buckets or _default_buckets(hist)
     hist, gcols = _with_group(hist, group_cols)
     key = F.col(order_col)
@@ -137,10 +228,9 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact median of each numeric column, nulls and NaN left out; a column without values has none."""
     if not columns:
         return {}
-    x = [F.struct(F.lit(c).alias("column"), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("x")) for c in columns]
-    long = df.select(F.explode(F.array(*x)).alias("v")).select("v.*")
-    found = exact_quantiles(long, ["column"], "x", [0.5], n_groups_bound=len(columns)).collect()
-    return {r["column"]: float(r["quantiles"][0]) for r in found}
+    hist = running_histogram(df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]), columns)
+    found = quantiles_from_histogram(hist, ["feature"], [0.5], n_groups_bound=len(columns)).collect()
+    return {r["feature"]: float(r["quantiles"][0]) for r in found}
 
 
 def fill_medians(df: DataFrame, medians: dict[str, float], suffix: str) -> DataFrame:
@@ -153,7 +243,8 @@ def quantiles_from_histogram(hist: DataFrame, group_cols: list[str], probs: list
                              n_groups_bound: int = 10_000, count_col: str = "n") -> DataFrame:
     """Exact quantiles from a (group, value, count) histogram of non-missing values."""
     gcols = list(group_cols)
-    hist = hist.select(*gcols, "value", F.col(count_col).alias("n")).filter(F.col("n") > 0)
+    running = [F.col(f"cum_{count_col}").alias("cum_n")] if f"cum_{count_col}" in hist.columns else []
+    hist = hist.select(*gcols, "value", F.col(count_col).alias("n"), *running).filter(F.col("n") > 0)
     cum = prefix_sums(hist, gcols, "value", ["n"], buckets=buckets, n_groups_bound=n_groups_bound)
     cum = cum.withColumn("_before", F.col("cum_n") - F.col("n"))
 
@@ -236,3 +327,43 @@ def row_positions(df: DataFrame, order: list[tuple[str, bool]], buckets: int | N
            .withColumn(pos_col, F.col("_off") + F.row_number().over(w) - 1)
            .drop("_key", "_off"))
     return out if keep_bucket else out.drop("_bucket")
+
+
+def cut_at(df: DataFrame, order: list[Column], share_after: float, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first rows of ``df`` in ascending ``order`` (nulls first) and the last ones, which are ``share_after`` of them.
+
+    Sampled bounds cut the keys into ranges; their row counts name the range of the row at the cut, and that range
+    alone is sorted.  Both parts are filters of ``df``: it is read several times and should be stored.  Of rows with
+    equal keys any may come first."""
+    buckets = buckets or _default_buckets(df)
+    n = df.count()
+    cut = int(n * (1 - share_after))
+    if cut >= n:
+        return df, df.where(F.lit(False))
+    columns = df.columns
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)]))
+    kinds = keyed.schema["_key"].dataType
+    literal = lambda t: F.struct(*[F.lit(v).cast(kinds[f"_k{i}"].dataType).alias(f"_k{i}") for i, v in enumerate(t)])
+    keys = keyed.select("_key")
+    cuts = _sample_cuts(keys.select("_key.*"), buckets)
+    if cuts:
+        width = max(1, math.isqrt(len(cuts)))
+        ranged = keys.withColumn("_bucket", _range_of(_two_levels(F.array(*map(literal, cuts)), width), F.col("_key"), width))
+    else:
+        ranged = keys.withColumn("_bucket", F.lit(0))
+    below, at = 0, 0
+    for at, size in sorted(tuple(r) for r in ranged.groupBy("_bucket").count().collect()):
+        if below + size > cut:
+            break
+        below += size
+    inside = ranged.where(F.col("_bucket") == at).select("_key")
+    first = literal(tuple(inside.orderBy("_key").offset(cut - below).limit(1).first()[0]))
+    lower = inside.where(F.col("_key") < first).count()
+    early = cut - below - lower                                   # of the rows with the key of the cut, those before it
+    before, after = keyed.where(F.col("_key") < first), keyed.where(F.col("_key") >= first)
+    if early:
+        # ties go by position among themselves alone
+        tied = keyed.where(F.col("_key") == first).withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(F.hash(*columns))))
+        before = before.unionByName(tied.where(F.col("_place") <= early).drop("_place"))
+        after = keyed.where(F.col("_key") > first).unionByName(tied.where(F.col("_place") > early).drop("_place"))
+    return before.select(*columns), after.select(*columns)

@@ -66,29 +66,24 @@ def multicollinear_pairs(df: DataFrame, features: list[str], threshold: float =
             .orderBy(F.desc("abs_corr"), "feature_a", "feature_b"))
 
 
-def _long(df: DataFrame, features: list[str], target_col: str) -> DataFrame:
-    """(feature, x, y) for non-missing x and y."""
-    return (df.select(F.col(target_col).cast("double").alias("y"),
-                      F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                                          for c in features])).alias("kv"))
-            .select("kv.feature", "kv.x", "y")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+def target_histogram(df: DataFrame, features: list[str], target_col: str = config.TARGET_COL, stored: bool = False) -> DataFrame:
+    """(feature, value) -> rows ``n``, target sums ``sy`` and ``syy`` over non-missing pairs, with running sums:
+    what Spearman and IV need of the rows."""
+    y = F.col(target_col).cast("double")
+    return ranks.running_histogram(df.where(y.isNotNull()), features, {"sy": y, "syy": y * y}, stored=stored)
 
 
 def target_correlation(df: DataFrame, features: list[str] | None = None, target_col: str = config.TARGET_COL,
-                       exclude_leaky: bool = True) -> DataFrame:
+                       exclude_leaky: bool = True, hist: DataFrame | None = None) -> DataFrame:
     """H1: Spearman correlation of each numeric feature with a 0/1 target on complete pairs,
     strongest first.
 
     For a two-valued target its ranks are an affine map of the target, so Spearman equals the
     Pearson correlation of the feature's average ranks with the target.  Everything is computed
-    on the (feature, value) histogram: average ranks from the two-phase prefix sum, then
-    cov / var sums per feature - rows are never joined back."""
-    from ..session import materialize
+    on the (feature, value) histogram (``hist``, if the caller has one): average ranks from its running
+    counts, then cov / var sums per feature - rows are never joined back."""
     features = features or numeric_candidates(df, target_col, exclude_leaky)
-    long = _long(df, features, target_col)
-    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
+    hist = target_histogram(df, features, target_col) if hist is None else hist.where(F.col("feature").isin(features))
     ranked = ranks.average_ranks(hist, ["feature"])
     tot = hist.groupBy("feature").agg(F.sum("n").alias("_tn"), F.sum("sy").alias("_tsy"), F.sum("syy").alias("_tsyy"))
     j = ranked.join(ranks.small_broadcast(tot, len(features)), "feature")
@@ -123,16 +118,14 @@ def _woe_from_counts(counts: DataFrame) -> DataFrame:
     return g.join(g.groupBy("feature").agg(F.sum("iv_part").alias("iv")), "feature")
 
 
-def numeric_bins(df: DataFrame, features: list[str], target_col: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:
+def numeric_bins(df: DataFrame, features: list[str], target_col: str, bins: int = 10,
+                 hist: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Decile bins per feature: edges are the distinct exact quantiles at numpy's
     linspace(0, 1, bins + 1); bin k holds (edge[k-1], edge[k]], the lowest edge included.
 
-    Everything comes from one (feature, value) histogram with row and target counts, written
-    once to the checkpoint folder.  Returns (per-bin bad / total counts, edges per feature)."""
-    from ..session import materialize
-    long = _long(df, features, target_col)
-    hist = materialize(long.groupBy("feature", F.col("x").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
+    Everything comes from one (feature, value) histogram with row and target counts (``hist``, if the
+    caller has one), written once to the checkpoint folder.  Returns (per-bin bad / total counts, edges per feature)."""
+    hist = target_histogram(df, features, target_col) if hist is None else hist.where(F.col("feature").isin(features))
     q = ranks.quantiles_from_histogram(hist, ["feature"], ranks.numpy_linspace(bins), n_groups_bound=len(features))
     edges = q.select("feature", F.array_distinct("quantiles").alias("edges"))
     counts = (hist.join(ranks.small_broadcast(edges, len(features)), "feature")
@@ -142,11 +135,12 @@ def numeric_bins(df: DataFrame, features: list[str], target_col: str, bins: int
     return counts, edges
 
 
-def woe_iv(df: DataFrame, features: list[str], target_col: str = config.TARGET_COL, bins: int = 10) -> DataFrame:
+def woe_iv(df: DataFrame, features: list[str], target_col: str = config.TARGET_COL, bins: int = 10,
+           hist: DataFrame | None = None) -> DataFrame:
     """H2 for numeric features: per (feature, bin) bad, total, good, distributions, WoE, IV
     part and the feature's IV; empty bins are kept with zero counts.  Features with fewer than
     two distinct edges (constant) have no bins."""
-    counts, edges = numeric_bins(df, features, target_col, bins)
+    counts, edges = numeric_bins(df, features, target_col, bins, hist)
     all_bins = (edges.filter(F.size("edges") >= 2)
                 .select("feature", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin")))
     full = (all_bins.join(counts, ["feature", "bin"], "left")
@@ -168,12 +162,12 @@ def woe_iv_categorical(df: DataFrame, features: list[str], target_col: str = con
 
 
 def iv_ranking(df: DataFrame, numeric: list[str], categorical: list[str] | None = None,
-               target_col: str = config.TARGET_COL, bins: int = 10) -> DataFrame:
+               target_col: str = config.TARGET_COL, bins: int = 10, hist: DataFrame | None = None) -> DataFrame:
     """H3: IV per feature (numeric by deciles, categorical by value), highest first, with its
     strength class; features without usable bins are left out."""
     parts = []
     if numeric:
-        parts.append(woe_iv(df, numeric, target_col, bins).select("feature", "iv"))
+        parts.append(woe_iv(df, numeric, target_col, bins, hist).select("feature", "iv"))
     if categorical:
         parts.append(woe_iv_categorical(df, categorical, target_col).select("feature", "iv"))
     if not parts:
@@ -192,9 +186,13 @@ def key_indicators(df: DataFrame, features: list[str], target_col: str = config.
 
     Statistics, ranks and the pairs that suppress each other come from Spark tables with a row a
     feature or a row a pair of features; the driver walks down the ranked list once."""
+    from ..session import materialize
+    # the rows are read three times, the histogram serves both statistics
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target_col).cast("double").alias(target_col)))
+    hist = target_histogram(df, features, target_col, stored=True)
     place = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
-    both = (iv_ranking(df, features, None, target_col).select("feature", "iv")
-            .join(target_correlation(df, features, target_col).where("abs_corr IS NOT NULL"), "feature"))
+    both = (iv_ranking(df, features, None, target_col, hist=hist).select("feature", "iv")
+            .join(target_correlation(df, features, target_col, hist=hist).where("abs_corr IS NOT NULL"), "feature"))
 
     def shared_rank(column):
         of = Window.partitionBy(F.lit(0)).orderBy(column)                 # at most a row a feature
@@ -214,5 +212,6 @@ def shortlist(df: DataFrame, features: list[str], target_col: str = config.TARGE
               n_iv: int = 25) -> DataFrame:
     """L4: the ``n_corr`` features most correlated (|Spearman|) with the target, then the
     ``n_iv`` of those with the highest IV."""
-    top = [r["feature"] for r in target_correlation(df, features, target_col).limit(n_corr).collect()]
-    return iv_ranking(df, top, None, target_col).limit(n_iv)
+    hist = target_histogram(df, features, target_col)
+    top = [r["feature"] for r in target_correlation(df, features, target_col, hist=hist).limit(n_corr).collect()]
+    return iv_ranking(df, top, None, target_col, hist=hist).limit(n_iv)
