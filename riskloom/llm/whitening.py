@@ -25,6 +25,7 @@ RESIDUAL = 1e-14               # of the largest eigenvalue: certified at once
 ACCEPTED = 1e-11               # certified if more cycles don't lessen it
 LEAST = 1e-11                  # eigenvalues below this share of the largest count as 0
 SEED = 11
+PART = 32 << 20                # bytes of vectors in a task of a pass, unless there are fewer tasks than cores then
 _HALF = 1 << 26
 
 
@@ -131,7 +132,9 @@ def whiten(vectors: DataFrame, components: int = 8, scale: int = 1024, shift: in
             y = (d / unit).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(deviations(d), pa.int64()), pa.array([r.tobytes() for r in y], pa.binary())], ["id", "deviation", "packed"])
 
-    data = scratch.save(rows.mapInArrow(centre, "id long, deviation long, packed binary"), "centred")
+    # each of some fifty passes starts a task a part: as many as the data need, however finely the input is dealt
+    parts = max(spark.sparkContext.defaultParallelism, -(-n * size * 8 // PART))
+    data = scratch.save(rows.coalesce(parts).mapInArrow(centre, "id long, deviation long, packed binary"), "centred")
     packed = data.select("packed")
 
     def times(q: np.ndarray) -> np.ndarray:

@@ -245,3 +245,20 @@ def test_a_changed_record_is_noticed(spark):
     broken = made.pages[0].selectExpr("tree", "idx", "n", "digest", "height", "transform(records, (r, i) -> if(i = 2, struct(r.digest, reverse(r.children) as children), r)) as records")
     with pytest.raises(Exception, match="does not have its digest"):
         merkle.proofs(merkle.Manifest(made.leaves, [broken], made.roots), made.leaves, begin, scratch, "c").count()
+
+
+def test_passes_of_whitening_take_few_tasks_however_finely_the_input_is_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((128, 12)))]
+    parts, real = [], whitening.sum_over
+    monkeypatch.setattr(whitening, "sum_over", lambda df, part, shape: parts.append(df.rdd.getNumPartitions()) or real(df, part, shape))
+    conf = {"spark.sql.files.openCostInBytes": "64k", "spark.sql.files.maxPartitionBytes": "64k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = whitening.whiten(vectors(spark, rows).repartition(32)).toPandas()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 8 * 128 and got["identity_error"].max() < 1e-9
+    assert max(parts[1:]) <= 2 * spark.sparkContext.defaultParallelism          # the first one reads the rows as they came
