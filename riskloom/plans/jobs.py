@@ -51,7 +51,8 @@ def build_marts(raw: DataFrame, out_dir: str, model=None) -> dict:
     """S3: panel mart (21 columns, partitioned by report month), scored last slice (panel columns
     + score, zone, rules, recommendations, segment, priority), monthly series."""
     panel = targets.forward_target_monthly(features.feature_set(cleaning.prepare_panel(raw), split_hot=True))
-    panel = keep(segments.rule_segment(panel))
+    # not cached: the features' rows are stored, and each mart reads of them the columns that it needs
+    panel = segments.rule_segment(panel)
     last = cleaning.last_slice(panel)
     # a month's rows go to a few tasks, so that a mart holds a few files a month
     month_first = F.pmod(F.xxhash64("credit_id"), F.lit(MONTH_FILES))
@@ -62,14 +63,15 @@ def build_marts(raw: DataFrame, out_dir: str, model=None) -> dict:
         last = ews.formula_score(last)
     scored = ews.score_and_zone(last)
     month = F.date_format("report_date_as_of", "yyyy-MM").alias("report_month")
+    rows = select_existing(panel, config.PANEL_MART_COLS).withColumn("report_month", month)
     paths = {
-        "panel": _parquet(select_existing(panel, config.PANEL_MART_COLS).withColumn("report_month", month)
-                          .repartition("report_month", month_first), os.path.join(out_dir, "panel"), ["report_month"]),
+        "panel": _parquet(rows.repartition("report_month", month_first), os.path.join(out_dir, "panel"), ["report_month"]),
         "scored": _parquet(select_existing(scored, config.PANEL_MART_COLS + config.SCORED_EXTRA_COLS),
                            os.path.join(out_dir, "scored")),
-        "timeseries": _parquet(portfolio.default_rate_over_time(panel), os.path.join(out_dir, "timeseries")),
     }
-    panel.unpersist()
+    # the series is read off the mart just written
+    written = panel.sparkSession.read.schema(rows.schema).parquet(paths["panel"])
+    paths["timeseries"] = _parquet(portfolio.default_rate_over_time(written), os.path.join(out_dir, "timeseries"))
     return paths
 
 
