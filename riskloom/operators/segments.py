@@ -78,9 +78,13 @@ def segment_policy(summary: DataFrame, rate_col: str = "default_rate", high: flo
 
 def kmeans_matrix(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Adds ``_km_x``, the behaviour features with missing values replaced by the column's exact
-    median (a column without values counts as 0), z-scored."""
+    median (a column without values counts as 0), z-scored.  The rows are written once: medians, moments, the passes of
+    a clustering and what follows read them there."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from ..session import materialize
+    df = materialize(df)
     feats = [c for c in (features or config.BEHAVIOR_FEATURES) if c in df.columns]
     imp = [f"{c}__km" for c in feats]
     filled = ranks.fill_medians(df, dict.fromkeys(feats, 0.0) | ranks.column_medians(df, feats), "__km")
