@@ -2,6 +2,10 @@
 histograms, client card (A1-A3, A6-A8, V3-V4)."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,44 +78,103 @@ def _as_string(c: str, dtype: T.DataType) -> F.Column:
     return F.col(c).cast("string")
 
 
+def _key_of(f: T.StructField) -> F.Column:
+    """A value that is equal for two values of the column exactly if their strings are: a double, a long or a string."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return c.cast("double")
+    if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+        return c.cast("long")
+    if isinstance(f.dataType, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(f.dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.hex(c) if isinstance(f.dataType, T.BinaryType) else _as_string(f"`{f.name}`", f.dataType)
+
+
+def distinct_counts(keys: DataFrame, range_values: int = 1 << 20) -> DataFrame:
+    """(i, n_unique): exact number of different non-null values of the i-th column, of doubles, longs and strings.
+
+    Rows are never unpivoted: a task takes the different values of its part of each column and deals them by a hash to
+    ranges, sent as arrays; a range holds the values of about ``range_values`` rows.  -0.0 and 0.0 are two values, all
+    NaN are one."""
+    ranges = max(1, -(-keys.count() // range_values))
+
+    def spread(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 18:
+                yield from deal(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from deal(pa.Table.from_batches(held))
+
+    def deal(table):
+        for i, column in enumerate(table.columns):
+            column = column.drop_null().combine_chunks()
+            if not len(column):
+                continue
+            if pa.types.is_string(column.type):
+                found = pc.unique(column)
+                at = pd.util.hash_array(found.to_numpy(zero_copy_only=False), categorize=False) if ranges > 1 else np.zeros(len(found), np.uint64)
+            else:
+                x = column.to_numpy()
+                if x.dtype == np.float64:
+                    x = np.where(np.isnan(x), np.nan, x).view(np.int64)          # one NaN
+                found = np.unique(x)
+                at = found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            at = (at % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)),
+                                             found.take(pa.array(order)) if pa.types.is_string(column.type) else pa.array(found[order]))
+            none = pa.nulls(len(ends), pa.list_(pa.int64() if pa.types.is_string(column.type) else pa.string()))
+            both = [none, lists] if pa.types.is_string(column.type) else [lists, none]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), i, np.int32)), pa.array(at[ends - 1]), *both],
+                                             ["i", "r", "longs", "texts"])
+
+    def count(table):
+        n = sum(pc.count_distinct(pc.list_flatten(table.column(c))).as_py() for c in ("longs", "texts"))
+        return pa.table([pa.array([table.column("i")[0].as_py()], pa.int32()), pa.array([n], pa.int64())], ["i", "n_unique"])
+
+    sent = keys.mapInArrow(spread, "i int, r int, longs array<long>, texts array<string>")
+    return sent.groupBy("i", "r").applyInArrow(count, "i int, n_unique long").groupBy("i").agg(F.sum("n_unique").alias("n_unique"))
+
+
 def schema_profile(df: DataFrame, exact: bool = True, with_sample: bool = True,
                    order_cols: tuple[str, ...] = ("credit_id", "report_date_as_of")) -> DataFrame:
     """Per column type, missing count and %, distinct non-missing values and a sample
     (the first non-missing value in ``order_cols`` order); most-missing first.
 
-    One unpivot to (column, value); distinct counts come from a (column, value) histogram that
-    Spark pre-aggregates map-side (``exact=False`` uses HyperLogLog in one pass instead)."""
+    Counts and samples of all columns come from one pass each; distinct counts from the different values that each
+    task finds (``distinct_counts``; ``exact=False`` uses HyperLogLog instead)."""
+    from ..session import materialize
     fields = df.schema.fields
-    types = {f.name: f.dataType.simpleString() for f in fields}
-    order = [c for c in order_cols if c in df.columns]
-    long = df.select(
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), _as_string(f.name, f.dataType).alias("value"))
-                            for f in fields])).alias("kv"),
-    ).select(*[f"_o{i}" for i in range(len(order))], "kv.column", "kv.value")
-
-    if exact:
-        # one (column, value) histogram, combined map-side, gives count, missing and distinct
-        hist = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
-        base = hist.groupBy("column").agg(
-            F.sum("_c").alias("_n"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_c"))), F.lit(0)).alias("n_missing"),
-            F.count("value").alias("n_unique"))
-    else:
-        base = long.groupBy("column").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(F.col("value").isNull().cast("long")).alias("n_missing"),
-            F.approx_count_distinct("value").alias("n_unique"))
+    order = [F.col(c) for c in order_cols if c in df.columns]
+    text = [_as_string(f"`{f.name}`", f.dataType) for f in fields]
+    keys = materialize(df.select(*[_key_of(f).alias(f"k{i}") for i, f in enumerate(fields)])) if exact else None
+
+    def by_column(table, one):
+        """The row of an aggregate over all rows as a row a column."""
+        row = table.agg(F.count(F.lit(1)).alias("_n"), *[one(i).alias(f"v{i}") for i in range(len(fields))]).where("_n > 0")
+        cells = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(len(fields))]
+        return row.select("_n", F.explode(F.array(*cells)).alias("c")).select("_n", "c.i", "c.v")
+
+    known = (lambda i: F.count(f"k{i}")) if exact else lambda i: F.count(text[i])
+    base = by_column(keys if exact else df, known).select("i", "_n", (F.col("_n") - F.col("v")).alias("n_missing"))
+    unique = (distinct_counts(keys) if exact else
+              by_column(df, lambda i: F.approx_count_distinct(text[i])).select("i", F.col("v").alias("n_unique")))
+    base = base.join(ranks.small_broadcast(unique, len(fields)), "i", "left").fillna(0, ["n_unique"])
     if with_sample:
-        base = base.join(
-            long.filter(F.col("value").isNotNull()).groupBy("column").agg(
-                F.min_by("value", F.struct(*[F.col(f"_o{i}") for i in range(len(order))]) if order
-                         else F.lit(0)).alias("sample")),
-            "column", "left")
-    type_map = F.create_map(*[x for name, t in types.items() for x in (F.lit(name), F.lit(t))])
+        def first(i):
+            return F.min_by(text[i], F.when(text[i].isNotNull(), F.struct(*order))) if order else F.first(text[i], ignorenulls=True)
+        base = base.join(ranks.small_broadcast(by_column(df, first).select("i", F.col("v").alias("sample")), len(fields)), "i", "left")
     out = base.select(
-        "column",
-        type_map[F.col("column")].alias("dtype"),
+        F.array(*[F.lit(f.name) for f in fields])[F.col("i")].alias("column"),
+        F.array(*[F.lit(f.dataType.simpleString()) for f in fields])[F.col("i")].alias("dtype"),
         F.col("n_missing"),
         F.bround(F.col("n_missing") / F.col("_n") * 100, 2).alias("pct_missing"),
         F.col("n_unique").cast("long").alias("n_unique"),
