@@ -7,7 +7,9 @@ Rules, exact for every input up to 64-bit shingle hashes (two shingles that meet
    shingles: documents that link share a prefix shingle.
 2. Documents with the same prefix and size collapse into one *group*, and equal sets into one *class* of a group.
    Only groups are dealt out by prefix shingle.
-3. Group pairs pass the size and position filters and are expanded to classes, whose sets are then intersected.
+3. Group pairs pass the size and position filters and are expanded to classes.  Each document has a parity bit map of
+   its set, one or two bits a shingle: bits that differ are shingles that differ, so a pair with too many of them is
+   dropped without its sets (``_likely``).  The sets of the other pairs are fetched and intersected.
    Pairs are asked for in two steps so that a large group of near copies is not paired with itself: first each
    group against the first group of each shingle; then, over shingles whose groups are not yet in one component,
    every remaining pair that joins two components.  Pairs inside one component need no check, since the result
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .store import Scratch, plain, tree_sum
+from .store import FLAT_PARTS, Scratch, plain, tree_sum
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 22          # 2^22 counters of 4 bytes: 16 MB, whatever the input
 FILTER_BITS = 23          # bits of the filter of documents to fetch: 1 MB, whatever the input
 DEAL = 20_000             # groups of one shingle that are dealt to one task
+SPLITS = 8                # splits of the input that one task counts, so that fewer sketches are handed on
 _NO_ID = 1 << 62          # rows without doc_id carry a key from here on; doc_ids are below
 
 
@@ -62,6 +65,7 @@ def sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.
     def add(x, y):
         return x + np.minimum(y, ~x)  # stays at the largest count instead of overflowing
 
+    texts = texts.coalesce(max(FLAT_PARTS, texts.rdd.getNumPartitions() // SPLITS))
     got = tree_sum(texts.mapInArrow(count, "counts binary"), "counts", np.uint32, add)
     return np.zeros(1 << bits, np.uint32) if got is None else got
 
@@ -81,8 +85,37 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def _parity(hashes: np.ndarray, rows: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bit map a row with the parity of its hashes by their last bits: a power of two of n bits or more, 64 at least."""
+    size = np.where(n > 0, np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64), 0)
+    begin = np.cumsum(size) - size
+    at = begin[rows] + (hashes & (size[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(size.sum())) & 1).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(size // 8)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def _differing(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """How many bits differ in each pair of bit maps; the longer one is folded to the length of the shorter."""
+    def maps(column):
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets)
+
+    (x, at_x, len_x), (y, at_y, len_y) = maps(one), maps(two)
+    out = np.zeros(len(one), np.int64)
+    for a, b in np.unique(np.stack([len_x, len_y], 1), axis=0):
+        rows = np.flatnonzero((len_x == a) & (len_y == b))
+        step = max(1, (4 << 20) // max(a, b, 1))          # so many maps at a time
+        for part in (rows[i:i + step] for i in range(0, len(rows), step)):
+            both = [data[at[part][:, None] + np.arange(size)] for data, at, size in ((x, at_x, a), (y, at_y, b))]
+            short = min(a, b)
+            both = [np.bitwise_xor.reduce(m.reshape(len(part), -1, short), axis=1) if short else m[:, :0] for m in both]
+            out[part] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def signatures(texts: DataFrame, counts, width: int = WIDTH, percent: int = PERCENT, deal: int = DEAL) -> DataFrame:
-    """A row for each document: key, n, set hash (h1, h2), prefix hash g, prefix shingles and their fan."""
+    """A row for each document: key, n, set hash (h1, h2), prefix hash g, prefix shingles, their fan, parity bit map."""
     bits = int(np.log2(len(counts.value)))
 
     def sign(batches):
@@ -105,10 +138,10 @@ def signatures(texts: DataFrame, counts, width: int = WIDTH, percent: int = PERC
                 fan = 1 + seen[head] // deal
                 yield pa.RecordBatch.from_arrays([
                     keys, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (h1, h2, g)),
-                    _lists(hashes[head].view(np.int64), keep, pa.int64()), _lists(fan.astype(np.int32), keep, pa.int32())],
-                    ["doc", "n", "h1", "h2", "g", "prefix", "fan"])
+                    _lists(hashes[head].view(np.int64), keep, pa.int64()), _lists(fan.astype(np.int32), keep, pa.int32()), _parity(hashes, rows, n)],
+                    ["doc", "n", "h1", "h2", "g", "prefix", "fan", "odd"])
 
-    return texts.mapInArrow(sign, "doc long, n long, h1 long, h2 long, g long, prefix array<long>, fan array<int>")
+    return texts.mapInArrow(sign, "doc long, n long, h1 long, h2 long, g long, prefix array<long>, fan array<int>, odd binary")
 
 
 def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -127,6 +160,33 @@ def _wanted(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.zeros((1 << bits) // 8, np.uint8) if got is None else got
 
 
+def _among(ids: DataFrame, bits: int = FILTER_BITS):
+    """A condition on a long column that holds for every id (and some others)."""
+    wanted = ids.sparkSession.sparkContext.broadcast(_wanted(ids, bits))
+
+    @F.arrow_udf("boolean")
+    def among(keys: pa.Array) -> pa.Array:
+        at = _bit(keys.to_numpy(zero_copy_only=False), bits)
+        return pa.array((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return among
+
+
+def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bit maps leave room for the similarity: every pair that reaches it, and few others."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    maps = signed.where("n > 0").where(_among(ids)("doc")).select("doc", "n", "odd").distinct()
+    one, two = (maps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}")) for c in "ab")
+
+    def keep(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            common = np.minimum((na + nb - _differing(batch.column("odda"), batch.column("oddb"))) // 2, np.minimum(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * common >= percent * (na + nb)))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "odda", "oddb").mapInArrow(keep, "a long, b long").distinct()
+
+
 def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, set) of the documents in ``ids``; a bit map keeps most others from being dealt out."""
     spark, bits = texts.sparkSession, FILTER_BITS
@@ -160,6 +220,37 @@ def _close(n1, p1, n2, p2, percent: int):
     return sizes & ((100 + percent) * rest >= percent * (n1 + n2))
 
 
+def _groups(filled: DataFrame, gids: DataFrame) -> DataFrame:
+    """(gid, n, prefix, fan) of each group.  Only rows whose group may have several (by a bit map) are grouped, so that
+    other prefixes are not moved."""
+    key = F.xxhash64("g", "n")
+    several = _among(gids.where("copies > 1").select(key.alias("id")))(key)
+    alone = filled.where(~several).select(F.col("doc").alias("gid"), "n", "prefix", "fan")
+    more = filled.where(several).groupBy("g", "n").agg(F.min("doc").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("fan").alias("fan"))
+    return alone.unionByName(more.select("gid", "n", "prefix", "fan"))
+
+
+def _shared(groups: DataFrame, percent: int) -> DataFrame:
+    """(token, part, gid, n, pos, hub) of the groups that may link with another one at a prefix shingle.
+
+    Each prefix shingle is moved once, as four longs with size and position in one.  Part 0 holds a whole shingle, parts
+    from 1 on those of a common one, whose groups may meet groups of other parts.  A group of a whole shingle stays only
+    if size and position filters leave room for another group: of two groups, for each other; of more, for the smallest
+    size there that could link."""
+    dealt = groups.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "fan")).alias("pos", "at"))
+    part = F.when(F.col("at.fan") > 1, 1 + F.pmod(F.xxhash64("gid"), F.col("at.fan"))).otherwise(0).cast("long")
+    dealt = dealt.select(part.alias("part"), F.col("at.prefix").alias("token"), (F.shiftleft("n", 32) + F.col("pos")).alias("place"), "gid")
+    same = Window.partitionBy("token", "part")
+    me = F.struct("gid", "place")
+    met = dealt.withColumns({"hub": F.min(me).over(same), "last": F.max(me).over(same), "least": F.min("place").over(same), "groups": F.count("*").over(same)})
+    n, pos = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int"))
+    close = _close(n("hub.place"), pos("hub.place"), n("last.place"), pos("last.place"), percent)
+    room = (100 + percent) * 100 * (n("place") - pos("place")) >= percent * (100 * n("place") + F.greatest(100 * n("least"), percent * n("place")))
+    met = met.where((F.col("part") > 0) | (F.col("hub.gid") != F.col("last.gid")) & F.when(F.col("groups") == 2, close).otherwise(room))
+    hub = F.struct(F.col("hub.gid").alias("gid"), n("hub.place").alias("n"), pos("hub.place").alias("pos"))
+    return met.select("token", "part", "gid", n("place").alias("n"), pos("place").alias("pos"), hub.alias("hub"))
+
+
 def _grid(one: DataFrame, two: DataFrame, percent: int):
     """(one, two, keys): both sides of the second step dealt to cells of about ``deal`` rows a side.
 
@@ -198,14 +289,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     filled = signed.where("n > 0")
     classes = filled.groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.min("n").alias("n"), F.min("g").alias("g"))
     classes = scratch.save(classes, "classes")
-    groups = filled.groupBy("g", "n").agg(F.min("doc").alias("gid"), F.any_value("prefix").alias("prefix"), F.any_value("fan").alias("fan"))
-    dealt = groups.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "fan")).alias("pos", "at"))
-    dealt = dealt.select(F.col("at.prefix").alias("token"), F.pmod(F.xxhash64("gid"), F.col("at.fan")).cast("int").alias("part"), F.col("at.fan").alias("fan"), "gid", "n", "pos")
-    same = Window.partitionBy("token", "part")
-    me = F.struct("gid", "n", "pos")
-    shared = dealt.withColumns({"hub": F.min(me).over(same), "last": F.max("gid").over(same)})
-    # a group alone in its part may meet groups in the token's other parts
-    shared = scratch.save(shared.where("hub.gid <> last OR fan > 1").drop("last", "fan"), "shared")
+    gids = scratch.save(filled.groupBy("g", "n").agg(F.min("doc").alias("gid"), F.count("*").alias("copies")), "gids")
+    shared = scratch.save(_shared(_groups(filled, gids), percent), "shared")
 
     hubs = shared.groupBy("token").agg(F.min("hub").alias("top"), F.max("part").alias("parts")).where("parts > 0")
     first = shared.where("gid <> hub.gid").select("gid", "n", "pos", "hub")
@@ -213,11 +298,10 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     first = first.unionByName(over.select("hub.gid", "hub.n", "hub.pos", F.col("top").alias("hub")))
     first = first.where(_close(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     first = first.select(F.col("hub.gid").alias("a"), "gid").distinct()
-    gids = filled.groupBy("g", "n").agg(F.min("doc").alias("gid"))
     members = scratch.save(classes.join(gids, ["g", "n"]).select("gid", "id"), "members")
     pairs = first.join(members, "gid").select("a", F.col("id").alias("b"))
     pairs = pairs.unionByName(members.where("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct()
-    pairs = scratch.save(pairs, "pairs1")
+    pairs = scratch.save(_likely(scratch.save(pairs, "pairs1"), signed, percent), "likely1")
     links = scratch.save(_verified(pairs, texts, width, percent), "links1")
     labels = components(links, scratch, "first")
 
@@ -242,6 +326,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     m2 = members.select(F.col("gid").alias("gid2"), F.col("label").alias("label2"), F.col("id").alias("b"))
     pairs = left.join(m1, ["gid1", "label1"]).join(m2, ["gid2", "label2"])
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2")
+    pairs = scratch.save(_likely(pairs, signed, percent), "likely2")
     links = links.unionByName(scratch.save(_verified(pairs, texts, width, percent), "links2"))
     labels = components(links, scratch, "last")
 

@@ -104,6 +104,78 @@ def test_a_group_alone_in_its_part_meets_the_other_parts(spark):
     assert got == components_by_hand(rows)
 
 
+def test_differing_bits_never_exceed_differing_shingles():
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 2, 63, 64, 65, 130, 500, 3000, 400, 410]
+    base = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(n) < share, rng.integers(0, 2**64, n, dtype=np.uint64), base[:n])) for n in sizes for share in (0, 0.1, 1)]
+    maps = ngram_join._parity(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([len(s) for s in sets]))
+    assert all(len(m.as_py()) == (max(64, 1 << (len(s) - 1).bit_length()) // 8 if len(s) else 0) for m, s in zip(maps, sets))
+    a, b = (x.ravel() for x in np.meshgrid(*[np.arange(len(sets))] * 2))
+    found = ngram_join._differing(maps.take(a), maps.take(b))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (found <= apart).all() and (found[apart == 0] == 0).all()
+    large = [(len(sets[i]), len(sets[j])) == (500, 500) for i, j in zip(a, b)]
+    assert (found[(apart > 900) & large] > 0.111 * 1000).all()             # unrelated sets are told apart
+    part = maps.take(a).slice(5, 200)
+    assert (ngram_join._differing(part, maps.take(b).slice(5, 200)) == found[5:205]).all()
+
+
+def test_sets_are_fetched_for_likely_pairs_only(spark, monkeypatch):
+    """Texts of two blocks, each block in nine texts: they share prefix shingles, yet none reaches the similarity."""
+    ship(spark)
+    rng, asked, verified = random.Random(6), [], ngram_join._verified
+    blocks = [edge.words(rng, 40, f"b{i}x") for i in range(10)]
+    rows = [(10 * i + j, f"{blocks[i]} {blocks[j]}") for i in range(10) for j in range(i + 1, 10)]
+    near = edge.words(rng, 90, "near")
+    rows += [(1000 + i, f"{near} tail{i}") for i in range(6)]
+
+    def spy(pairs, *rest):
+        asked.extend(map(tuple, pairs.collect()))
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()), key=str)
+    assert got == components_by_hand(rows)
+    assert len(asked) >= 5 and min(min(p) for p in asked) >= 1000
+
+
+def test_groups_without_a_possible_partner_are_left_out(spark):
+    rng, percent = random.Random(12), 80
+    groups = [(gid, n, [t for t in rng.sample(range(400), 400) if t % 40 == gid % 40 or rng.random() < 0.02][:n // 5 + 1]) for gid, n in ((g, rng.choice([20, 60, 70, 300])) for g in range(150))]
+    groups = [(gid, n, prefix, [2 if t % 50 == 0 else 1 for t in prefix]) for gid, n, prefix in groups]
+    frame = spark.createDataFrame(groups, "gid long, n long, prefix array<long>, fan array<int>")
+    got = {(r.token, r.gid): r for r in ngram_join._shared(frame, percent).collect()}
+    by = defaultdict(list)
+    for gid, n, prefix, _ in groups:
+        for pos, token in enumerate(prefix):
+            by[token].append((gid, n, pos))
+
+    def close(x, y):
+        rest = min(x[1] - x[2], y[1] - y[2])
+        return 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and (100 + percent) * rest >= percent * (x[1] + y[1])
+
+    needed = {(t, x[0]) for t, rows in by.items() for x in rows if t % 50 == 0 or any(x != y and close(x, y) for y in rows)}
+    paired = {(t, x[0]) for t, rows in by.items() if len(rows) == 2 and t % 50 for x in rows}
+    assert needed <= set(got) and len(got) < sum(map(len, by.values()))
+    assert paired & set(got) == paired & needed
+    for (token, gid), r in got.items():
+        assert (gid, r.n, r.pos) in by[token] and (r.part > 0) == (token % 50 == 0)
+        assert r.part > 0 or tuple(r.hub) == min(by[token])
+
+
+def test_groups_of_copies_are_one(spark):
+    ship(spark)
+    rows = [(i, i % 5 if i < 40 else i, 7 if i % 3 else 9, [i % 5 if i < 40 else i], [1]) for i in range(60)]
+    filled = spark.createDataFrame(rows, "doc long, g long, n long, prefix array<long>, fan array<int>")
+    gids = filled.groupBy("g", "n").agg(F.min("doc").alias("gid"), F.count("*").alias("copies"))
+    first = {}
+    for doc, g, n, prefix, fan in rows:
+        first.setdefault((g, n), (doc, n, prefix, fan))
+    assert sorted(map(tuple, ngram_join._groups(filled, gids).collect())) == sorted(first.values())
+
+
 def test_components_of_odd_rows(spark):
     ship(spark)
     docs = edge.frame(spark)
