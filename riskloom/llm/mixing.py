@@ -44,13 +44,13 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     full = F.lit(False)
     left, total = sums(full)
     while total:
-        again = F.lit(left) * F.col("weight") / F.lit(total) > most * F.col("size")
+        again = F.lit(left).cast("long") * F.col("weight") / F.lit(total) > most * F.col("size")      # int times int overflows
         now = sums(again)
         if tuple(now) == (left, total):
             full = again
             break
         left, total = now
-    share = F.lit(left or 0) * F.col("weight") / F.lit(total or 1)
+    share = F.lit(left or 0).cast("long") * F.col("weight") / F.lit(total or 1)
     return sources.withColumn("target", F.when(full, most * F.col("size")).otherwise(share).cast("double"))
 
 

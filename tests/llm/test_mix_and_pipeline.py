@@ -161,3 +161,10 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF001).where("n_tokens IS NULL").count() == 0
+
+
+def test_targets_of_sources_that_are_larger_together_than_an_int(spark):
+    sources = spark.createDataFrame([(0, 900_000_000, 5), (1, 500_000_000, 2), (2, 40_000_000, 1)], "sid int, size long, weight int")
+    got = {r["sid"]: r["target"] for r in mixing.targets(sources).collect()}
+    assert got[2] == 3 * 40_000_000
+    assert np.allclose([got[0], got[1]], [1_320_000_000 * 5 / 7, 1_320_000_000 * 2 / 7], rtol=1e-12)
