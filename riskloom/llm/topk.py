@@ -3,8 +3,10 @@
 Vectors are grouped by dimension and length (buckets whose lengths differ by at most a tenth), a bucket with many
 vectors into several blocks.  A first pass against the block of the longest vectors gives each query a lower bound of
 its k-th score.  That bound, the query's length and a block's largest length give the cosine a hit must reach there:
-above 1 the block is left out, from ``COORDINATE_FROM`` on the feasible intervals of the query's largest coordinates
-choose the candidates, below it the vectors' lengths do.  Candidates are verified by exact integer products.
+above 1 the block is left out, else the vectors' lengths choose the candidates.  Products of a block of queries with a
+block of vectors are one matrix product of whole numbers, exact in doubles up to 2**53.  Beyond that a query goes alone:
+from ``COORDINATE_FROM`` on the feasible intervals of its largest coordinates choose the candidates, which are verified
+by exact integer products.
 """
 from __future__ import annotations
 
@@ -19,7 +21,8 @@ from .store import Scratch, plain
 
 STEP = math.log(1.1)           # width of a length bucket
 BLOCK_NUMBERS = 1 << 18        # numbers in a block of vectors: 2 MB
-QUERY_NUMBERS = 1 << 15        # numbers in a block of queries
+QUERY_NUMBERS = 1 << 17        # numbers in a block of queries
+PRODUCTS = 1 << 21             # products held at once: 16 MB
 COORDINATE_FROM, FOCUS = 0.5, 3
 SLACK = 1e-9                   # bounds give way by this much, so that rounding never drops a hit
 
@@ -107,15 +110,52 @@ def hits(query: int, q: np.ndarray, length: float, bound: int | None, ids: np.nd
     return [(int(score[i]), int(ids[chosen[i]])) for i in best]
 
 
+def block_hits(queries: np.ndarray, q: np.ndarray, bounds: list[int | None], ids: np.ndarray, numbers: np.ndarray, norms: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(place, score, id) of the k best of a block for each query of a block, as ``hits`` finds them; ``queries`` are the
+    queries' rows.  Products must be below 2**53."""
+    known = np.array([b is not None for b in bounds], bool)
+    least = np.array([-np.inf if b is None else b for b in bounds], np.float64)
+    lengths = np.sqrt(np.square(q).sum(axis=1))
+    need = np.where((least > 0) & (lengths > 0), least / np.where(lengths > 0, lengths, 1) * (1 - SLACK), -np.inf)
+    alive = np.flatnonzero(need <= norms[0] * (1 + SLACK)) if len(rows) else np.zeros(0, np.int64)
+    out: list[tuple[int, int, int]] = []
+    for low in range(0, len(alive), max(1, PRODUCTS // max(len(rows), 1))):
+        some = alive[low:low + max(1, PRODUCTS // max(len(rows), 1))]
+        many = int(np.searchsorted(-norms, -need[some].min(), "right"))
+        score = q[some] @ rows[:many].T
+        score[queries[some][:, None] == numbers[None, :many]] = -np.inf         # its own row
+        if many > k:
+            own = np.partition(score, many - k, axis=1)[:, many - k] if not known[some].all() else least[some]
+            floor = np.where(known[some], least[some], own)
+        else:
+            floor = least[some]
+        at, who = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        for i, found in zip(*_runs(at, who), strict=True):
+            own = score[i, found]
+            best = np.lexsort((ids[found], -own))[:k]
+            out += [(int(some[i]), int(own[j]), int(ids[found[j]])) for j in best]
+    return out
+
+
+def _runs(at: np.ndarray, who: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The different values of the sorted ``at``, and the part of ``who`` that goes with each."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first].tolist(), np.split(who, first[1:]) if len(first) else []
+
+
 def _scan(pairs: DataFrame, k: int) -> DataFrame:
     """(query, query_id, vec_id, score) of each block pair's best; ``query`` is the query's row."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 ids, numbers, norms, rows = np.array(r["ids"]), np.array(r["rows"]), np.array(r["norms"]), _matrix(r["matrix"], r["dim"])
-                unit = rows / np.where(norms > 0, norms, 1)[:, None]
-                out = [(query, query_id, i, s) for query, query_id, q, b in zip(r["q_rows"], r["q_ids"], _matrix(r["q_matrix"], r["dim"]), r["bounds"], strict=True)
-                       for s, i in hits(query, q, float(np.sqrt(q @ q)), b, ids, numbers, norms, rows, unit, k)]
+                queries, asked, bounds = np.array(r["q_rows"]), _matrix(r["q_matrix"], r["dim"]), r["bounds"]
+                if not rows.size or float(np.abs(rows).max()) * float(np.abs(asked).max()) * r["dim"] < 2**53:
+                    out = [(r["q_rows"][at], r["q_ids"][at], i, s) for at, s, i in block_hits(queries, asked, bounds, ids, numbers, norms, rows, k)]
+                else:
+                    unit = rows / np.where(norms > 0, norms, 1)[:, None]
+                    out = [(query, query_id, i, s) for query, query_id, q, b in zip(r["q_rows"], r["q_ids"], asked, bounds, strict=True)
+                           for s, i in hits(query, q, float(np.sqrt(q @ q)), b, ids, numbers, norms, rows, unit, k)]
                 columns = list(zip(*out, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
 

@@ -252,3 +252,21 @@ def test_rows_count_each_for_itself_in_operator_and_sql(spark):
     con = duckdb.connect()
     con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
     assert got == sorted(con.sql(topk.SQL).fetchall()) == top_by_hand(rows, 5, 50)
+
+
+def test_products_of_two_blocks_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-20, 20, (300, 6)).astype(float)
+    rows[50:60] = rows[40]                                     # ties
+    norms = np.sqrt(np.square(rows).sum(axis=1))
+    order = np.argsort(-norms, kind="stable")
+    rows, norms, ids, numbers = rows[order], norms[order], rng.permutation(300)[order], order
+    unit = rows / np.where(norms > 0, norms, 1)[:, None]
+    queries = np.array([*range(0, 300, 7), 1000])              # the last one is of another block
+    place = {int(n): i for i, n in enumerate(numbers)}
+    q = np.array([rows[place[n]] if n in place else rng.integers(-20, 20, 6).astype(float) for n in queries.tolist()])
+    monkeypatch.setattr(topk, "PRODUCTS", 3000)
+    for bounds in ([None] * len(q), [900] * len(q), [None if i % 3 else (-50 if i % 2 else 1500) for i in range(len(q))]):
+        want = [(i, s, v) for i, (n, x, b) in enumerate(zip(queries.tolist(), q, bounds, strict=True))
+                for s, v in topk.hits(n, x, float(np.sqrt(x @ x)), b, ids, numbers, norms, rows, unit, 5)]
+        assert want and sorted(topk.block_hits(queries, q, bounds, ids, numbers, norms, rows, 5)) == sorted(want)
