@@ -154,3 +154,23 @@ def test_shapley_values_equal_all_coalitions(spark):
             assert abs(got[row, f] - want) < 1e-12
     spread = {r["id"]: r["phi"] for r in B.with_shapley(df, booster, "x", "phi").collect()}
     assert all(np.allclose(spread[i], got[i], atol=1e-14) for i in range(400))
+
+
+def test_one_task_grows_the_trees_of_many(fitted, monkeypatch):
+    _, _, _, df, booster = fitted
+    monkeypatch.setattr(B, "TASK_ROWS", 0)
+    params = B.BoostParams(n_estimators=B.REFRESH + 2, num_leaves=9, min_child_samples=15, max_bins=20)
+    many = B.fit(df, "x", "y", "w", 4, params)
+    assert len(many.trees) == B.REFRESH + 2
+    for a, b in zip(many.trees, booster.trees, strict=False):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value, atol=1e-12)
+
+
+def test_a_small_table_takes_few_jobs(spark, fitted):
+    df = fitted[3]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-task trees", "")
+    B.fit(df, "x", "y", "w", 4, PARAMS)
+    jobs = tracker.getJobIdsForGroup("one-task trees")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 25                                  # 25 trees took a job for every few leaves
