@@ -70,3 +70,14 @@ def test_kmeans_segments_cover_all_rows(spark):
     assert seg.select("cluster").distinct().count() <= 3
     search = segments.kmeans_k_search(last, (2, 3)).collect()
     assert [r.k for r in search] == [2, 3] and all(r.inertia >= 0 for r in search)
+
+
+def test_tree_metrics_fit_the_whole_model(monkeypatch):
+    from riskloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog, "trained", lambda spark, sf_dir, *how, **more: seen.append((how, more)))
+    monkeypatch.setattr(catalog, "_metrics_rows", lambda spark, m: None)
+    catalog.QUERIES["model_metrics_gbt"](None, "")
+    catalog.QUERIES["model_metrics_leafwise"](None, "")
+    assert seen == [(("gbt",), {}), (("leafwise",), {})]         # the default number of trees, with folds
